@@ -20,11 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or (in tests, where it is unset) a fresh local one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("poolstrata.shared.dir", None)
     if not where:
         where = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("poolstrata.shared.dir", where) if not spark.conf.get("poolstrata.shared.dir", None) else None
-        where = spark.conf.get("poolstrata.shared.dir")
+        spark.conf.set("poolstrata.shared.dir", where)
     return where
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .media_gif import op5_media
+from .secrets import op8_secrets
 
-QUERIES = {"op5_media": op5_media}
+QUERIES = {"op5_media": op5_media, "op8_secrets": op8_secrets}
 ORACLE_SQL: dict[str, str] = {}
