@@ -7,6 +7,7 @@ from .media_gif import op5_media
 from .packing import op10_packing
 from .secrets import op8_secrets
 from .simhash import op4_simhash
+from .toxicity import op7_toxicity
 
-QUERIES = {"op3_language": op3_language, "op4_simhash": op4_simhash, "op5_media": op5_media, "op8_secrets": op8_secrets, "op10_packing": op10_packing}
+QUERIES = {"op3_language": op3_language, "op4_simhash": op4_simhash, "op5_media": op5_media, "op7_toxicity": op7_toxicity, "op8_secrets": op8_secrets, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
