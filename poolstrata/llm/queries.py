@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontaminate
 from .language import op3_language
 from .media_gif import op5_media
 from .packing import op10_packing
@@ -9,5 +10,5 @@ from .secrets import op8_secrets
 from .simhash import op4_simhash
 from .toxicity import op7_toxicity
 
-QUERIES = {"op3_language": op3_language, "op4_simhash": op4_simhash, "op5_media": op5_media, "op7_toxicity": op7_toxicity, "op8_secrets": op8_secrets, "op10_packing": op10_packing}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_language": op3_language, "op4_simhash": op4_simhash, "op5_media": op5_media, "op7_toxicity": op7_toxicity, "op8_secrets": op8_secrets, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
