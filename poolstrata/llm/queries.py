@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op1_decontaminate
+from .html_text import op9_html
 from .language import op3_language
 from .licenses import op2_licenses
 from .media_gif import op5_media
@@ -12,5 +13,5 @@ from .secrets import op8_secrets
 from .simhash import op4_simhash
 from .toxicity import op7_toxicity
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_licenses": op2_licenses, "op3_language": op3_language, "op4_simhash": op4_simhash, "op5_media": op5_media, "op6_ngrams": op6_ngrams, "op7_toxicity": op7_toxicity, "op8_secrets": op8_secrets, "op10_packing": op10_packing}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_licenses": op2_licenses, "op3_language": op3_language, "op4_simhash": op4_simhash, "op5_media": op5_media, "op6_ngrams": op6_ngrams, "op7_toxicity": op7_toxicity, "op8_secrets": op8_secrets, "op9_html": op9_html, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
