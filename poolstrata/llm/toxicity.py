@@ -1,5 +1,7 @@
 """Toxicity by maximum-scoring segments.
 
+Fitting takes a bounded sample of the labels (``LABELLED``); scoring and its passages cover every whole text.
+
 Token scores. Log-odds of a token between toxic and other labelled texts, with an informative Dirichlet prior from both
 classes together (Monroe et al., 2008), over texts that hold the token; equal texts count once, so a group of copies says
 no more than one text. A token scores if the lower bound of its log-odds passes ``LEAST_BOUND``; every other token gets
@@ -33,6 +35,8 @@ from .common import crc_mod, materialise, table
 WORD = re.compile(r"[^\W\d_]+")
 PRIOR_SHARE, PRIOR_LEAST = 0.01, 0.5
 LEAST_BOUND, BOUND_SD, LEAST_TEXTS = 1.0, 2.6, 3
+#: Bound of the labelled sample that the model is fitted on: where there are more labels, a share of them drawn by hash.
+LABELLED = 250_000
 #: Most tokens that may carry a score of their own (the model's size): the highest bounds stay.
 VOCABULARY = 1 << 16
 SIGNIFICANT = 0.05
@@ -97,11 +101,17 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
 
-def labelled(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """body and toxic for each different labelled text of df, in the shared folder."""
-    marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("_toxic"))
+def labelled(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = LABELLED) -> DataFrame:
+    """body and toxic for each different labelled text of df, in the shared folder; of about ``bound`` labels at most.
+
+    The labels that take part are few by that bound, so they go to the texts (broadcast) and unlabelled texts don't move.
+    """
+    marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
+    share = min(1.0, bound / max(1, marks.count()))
+    drawn = marks.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(13)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    drawn = drawn.groupBy(key).agg(F.max(F.col(label).cast("int")).alias("_toxic"))
     body = F.coalesce(F.col(text), F.lit("")).alias("body")
-    return materialise(df.join(marks, key).select(body, "_toxic").groupBy("body").agg(F.max("_toxic").alias("toxic")), "labelled")
+    return materialise(df.join(F.broadcast(drawn), key).select(body, "_toxic").groupBy("body").agg(F.max("_toxic").alias("toxic")), "labelled")
 
 
 def token_counts(known: DataFrame) -> DataFrame:
@@ -173,7 +183,7 @@ def logistic(evidence: np.ndarray, toxic: np.ndarray, other: np.ndarray) -> tupl
 
 
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """A model from every labelled text of df."""
+    """A model from the labelled texts of df."""
     known = labelled(df, labels, key, text, label)
     weights, rest, share = token_scores(token_counts(known))
     model = Model(weights, rest, decay(weights, rest, share))
