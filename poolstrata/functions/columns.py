@@ -99,7 +99,7 @@ def violation_signature(status: Column | str, violated: Column | str, unknown: C
 
 def foundation_rule(violated: Column | str) -> Column:
     """The highest violated rule."""
-    return F.element_at(F.array_sort(F.transform(c(violated), lambda r: F.array_position(F.array(*map(F.lit, RULES)), r))), -1)
+    return F.array_max(F.transform(c(violated), lambda r: F.array_position(F.array(*map(F.lit, RULES)), r)))
 
 
 def region_key(status: Column | str, violated: Column | str, unknown: Column | str) -> Column:

@@ -20,6 +20,7 @@ def compare(entries: DataFrame, left: str, right: str, keep: tuple[str, ...] = F
     """txid, region, same_wtxid, and the kept columns of either side: a full outer equi-join on txid."""
     if left == right:
         raise NotComparable("a source can't be compared with itself")
+    keep = tuple(dict.fromkeys(("wtxid", *keep)))
     side = lambda name, s: entries.where(F.col("source_id") == s).select("txid", F.struct(*keep).alias(name))
     joined = side("left", left).join(side("right", right), "txid", "full_outer")
     region = F.when(F.col("right").isNull(), "left_only").when(F.col("left").isNull(), "right_only").otherwise("common")

@@ -2,7 +2,7 @@
 
 transactions: source_id, txid, wtxid, version, is_coinbase. outputs: txid, vout, value_sats, script (one row an output).
 inputs: source_id, txid, vin, prev_txid, script_sig, sequence, witness, script (NULL where unknown).
-Instruction lists are decoded once for each distinct script (``decoded_scripts``) and joined back.
+Only instruction lists are decoded in Python, in Arrow batches where the rows lie and only for scripts that need it.
 """
 
 from __future__ import annotations
@@ -25,14 +25,14 @@ CNTRPRTY, OMNI, BURN_KEYS = b"CNTRPRTY", b"omni", tuple(bytes([a]) + bytes([b])
 STAMP_MARKERS, ORD_BYTES = (b"stamp:", b"STAMP:", b"stamps:", b"STAMPS:"), bytes.fromhex("0063036f7264")
 
 
-def decoded_scripts(scripts: DataFrame, column: str = "script") -> DataFrame:
-    """(script, decoded) once for each distinct script."""
-    return scripts.where(F.col(column).isNotNull()).select(F.col(column).alias("script")).distinct().withColumn("decoded", S.decode("script"))
+def with_decoded(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with the instructions of a script column, in one Arrow pass without a shuffle (NULL costs nothing)."""
+    return rows.withColumn(name, S.decode(column))
 
 
-def with_decoded(rows: DataFrame, column: str, name: str) -> DataFrame:
-    found = decoded_scripts(rows, column).select(F.col("script").alias(column), F.col("decoded").alias(name))
-    return rows.join(found, column, "left")
+def multisig_candidate(script: str = "script") -> Column:
+    """The script where it could be bare multisig, so that only those are decoded."""
+    return F.when(F.endswith(script, S.x("AE")), F.col(script))
 
 
 def result(state: Column, labels: Column, primary: Column, missing: Column) -> list[Column]:
@@ -67,8 +67,8 @@ def most_repeated_output(outputs: DataFrame, keys: list[str] = KEYS) -> DataFram
 def families(outputs: DataFrame, inputs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """keys and family, one row for each output and each known input script."""
     scripts = outputs.select(*keys, "script").unionByName(inputs.where(F.col("script").isNotNull()).select(*keys, "script"))
-    named = decoded_scripts(scripts).select("script", S.script_family("script", F.col("decoded")).alias("family"))
-    return scripts.join(named, "script").select(*keys, "family")
+    named = scripts.withColumn("_decoded", S.decode(multisig_candidate()))
+    return named.select(*keys, S.script_family("script", F.col("_decoded")).alias("family"))
 
 
 def family_counts(rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -156,8 +156,8 @@ def any_marker(data: Column) -> Column:
 
 
 def multisig_detections(outputs: DataFrame, arc4_keys: DataFrame) -> DataFrame:
-    carriers = decoded_scripts(outputs).withColumn("multisig", S.bare_multisig(F.col("decoded"))).where("multisig is not null").select("script", "multisig")
-    rows = outputs.join(carriers, "script").withColumn("keys", F.col("multisig.keys"))
+    candidates = outputs.where(F.endswith("script", S.x("AE"))).withColumn("multisig", S.bare_multisig(S.decode("script")))
+    rows = candidates.where("multisig is not null").withColumn("keys", F.col("multisig.keys"))
     key = lambda n: F.try_element_at("keys", F.lit(n))
     pair = F.concat(S.key_payload(key(1)), S.key_payload(key(2)))
     run = S.number_at(key(2), 0)

@@ -48,7 +48,7 @@ def fold_polls(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -
         else:
             error = row.error
     state.update((generation, observed, n, error, dropped, revision))
-    yield pd.DataFrame([[key[0], generation, observed, n, error, _status_of(observed is not None, error), dropped, revision]], columns=[c.split(" ")[0] for c in STATUS.split(", ")]).astype({"observed_at_ms": "Int64", "n_entries": "Int64"})
+    yield pd.DataFrame([[key[0], generation, observed, n, error, _status_of(observed is not None, error), dropped, revision]], columns=[c.split(" ")[0] for c in STATUS.split(", ")]).astype({"observed_at_ms": "Int64", "n_entries": "Int64", "last_error": "object"})
 
 
 def source_status(polls: DataFrame) -> DataFrame:
