@@ -237,7 +237,7 @@ def policy_assessments(spark, sf_dir):
 def consensus_mode(spark, sf_dir):
     """H5: coins by height; a fifth of the heights is unknown."""
     t, o, i = chain(spark, sf_dir)
-    height = F.when(F.pmod(F.xxhash64("prev_txid"), F.lit(5)) > 0, F.pmod(F.xxhash64("prev_txid", F.lit(1)), F.lit(2000)).cast("int"))
+    height = F.when(~F.substring("prev_txid", 4, 1).isin("0", "1", "2"), F.conv(F.substring("prev_txid", 1, 3), 16, 10).cast("int") % 2000)
     return lenses.rule_details(t, o, i.withColumn("creation_height", height), 1000).groupBy("source_id", "rule", "verdict").agg(F.count("*").alias("n"))
 
 
@@ -615,7 +615,7 @@ def revision_merge(spark, sf_dir):
 def fact_memory(spark, sf_dir):
     """Found scripts only, contested outpoints out."""
     a = confirmed(spark, sf_dir).withColumn("fetch", F.col("outcome"))
-    known = a.where("fetch = 'found'").withColumn("script", F.when(F.crc32(F.col("prev_txid").cast("binary")) % 13 == 0, F.unhex(F.lit("51"))).otherwise(F.col("script")))
+    known = a.where("fetch = 'found'").withColumn("script", F.when(F.conv(F.substring("prev_txid", 1, 4), 16, 10).cast("int") % 13 == 0, F.unhex(F.lit("51"))).otherwise(F.col("script")))
     return state.remember_scripts(known, a).agg(F.count("*").alias("n"), F.count_if(F.startswith("script", S.x("5120"))).alias("taproot"))
 
 
