@@ -49,7 +49,8 @@ START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 def packed(a: np.ndarray) -> bytes:
     """Unsigned integers by byte planes, compressed: high planes of small numbers cost nothing."""
-    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes(), 1)
+    planes = a.view(np.uint8).reshape(len(a), -1).T if len(a) else a
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
 def unpacked(data: bytes, dtype=np.uint64) -> np.ndarray:
