@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import table
 
 SAMPLE = 1500
-EXAMPLE_WEIGHT = 40
+EXAMPLE_WEIGHT = 5
 STRENGTH = 0.45  # of node features against pair potentials
 
 # fixed values: element kinds of HTML
@@ -57,6 +57,8 @@ EXAMPLES = (
     '<body data-label="0"><div class="container"><div class="row"><div id="header"><h2>The Site</h2><p>Words that matter to all of us, every day of the week.</p></div><div id="main" data-label="1"><h2>On rivers</h2><p>Rivers carry water from hills to the sea, and with it much that lives there.</p><p>Some are long.</p><table><tr><td>Length</td><td>Six hundred miles</td></tr></table><div class="ad" data-label="0"><p>Buy two, get one free, today only in our shop.</p></div><p>Others are short, and fall steeply.</p></div><div id="sidebar"><div class="widget"><h4>Popular</h4><p>What people read most in this week of the year.</p></div></div><form class="newsletter"><p>Sign up for our newsletter and never miss a story.</p></form><div id="footer"><p>Contact</p><p>Terms and privacy</p></div></div></div></body>',
     '<body data-label="0"><div class="wrap"><div class="navbar"><a href="/">Start</a><a href="/x">More</a></div><main data-label="1"><section><h1>How to bake</h1><p>Take flour, water and salt; mix them and let them rest for a night.</p><ol><li>Heat the oven.</li><li>Bake for an hour.</li></ol><pre>220 C</pre></section><section class="share" data-label="0"><p>Share this</p><a href="#">Post</a></section><section class="comments" data-label="0"><p>Great recipe, thank you so much for sharing it with us all!</p><p>Mine burnt.</p></section></main><div class="banner promo"><p>Subscribe now for the best price of the year.</p></div><footer class="foot"><ul><li><a href="/t">Terms</a></li></ul></footer></div></body>',
     '<body data-label="0"><header><h1>The daily paper</h1><p>News and views since the year it began.</p></header><div class="topbar"><p>Log in</p></div><div class="post" data-label="1"><h1>A walk</h1><p>We set out at dawn and came back late at night.</p><ul><li>Bread and cheese for the way</li><li>A map of the hills</li><li>Good boots, worn in</li></ul><p>It rained.</p><ol><li>First we went north.</li><li>Then we turned back</li></ol><h2>What we saw</h2><dl><dt>Hares</dt><dd>Two of them, in the long grass.</dd></dl><div><p>There were no other people.</p></div></div><section class="comments"><h2>Three replies</h2><article><p>We did the same walk last year and loved every minute.</p></article><article><p>Me too.</p></article></section><section class="promo"><h2>Our shop</h2><p>Maps and books for every walk in the hills.</p></section></body>',
+    '<body data-label="0"><nav><a href="/1">One</a><a href="/2">Two</a></nav><div class="ad">Cheap flights to all islands, book today.</div><article data-label="1"><h1>Of bees</h1><p>Bees live in hives and gather nectar from flowers.</p><p>A hive has one queen.</p></article><section class="related"><p>More about insects in our archive.</p></section><footer>All rights reserved.</footer></body>',
+    '<body data-label="0"><header><h1>Weekly</h1></header><div class="menu"><ul><li><a href="/x">Home</a></li></ul></div><article data-label="1"><h2>Salt</h2><p>Salt was once worth its weight in silver.</p><blockquote>So it is said.</blockquote><p>It is cheap now.</p></article><div class="sidebar"><p>Other stories of the week.</p></div><footer><p>Imprint</p></footer></body>',
     '<body data-label="0"><article data-label="1"><header><h1>The title in a header of the article</h1></header><p>Plain text of an article that goes on for a while and ends.</p><div><p>Nested paragraph, which belongs to the text as well.</p></div><aside data-label="0"><p>See also our guide to everything else on this site.</p></aside><p>The end.</p><footer data-label="0"><p>Filed under news</p></footer></article><div class="related-posts"><h3>Read next</h3><p>Ten things that you did not know about rivers.</p></div><div class="alert notice"><p>This page was archived and may be out of date.</p></div></body>',
 )
 
@@ -162,19 +164,35 @@ def leaf_text(node: Node) -> str:
     return " ".join((entities.unescape(text) if "&" in text else text).split())
 
 
+def named_words(node: Node) -> set[str]:
+    """Lower-case words of a node's class, id and role."""
+    return set(map(str.lower, WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", node.names))))
+
+
 def features(nodes: list[Node], plain: bool = False) -> list[list[str]]:
     """Feature names of each node. ``plain``: as if telling tags and names weren't there."""
-    out = []
-    for node in nodes:
+    out: list[list[str]] = []
+    under = ["no"] * len(nodes)  # what a node stands in: a part for something else, a header outside articles, or neither
+    for k, node in enumerate(nodes):
+        above = under[node.parent] if node.parent >= 0 else "no"
+        if plain or node.leaf or node.tag in TOP or above == "aside":
+            under[k] = above
+        elif node.tag in ("nav", "aside", "footer", "form") or node.names and named_words(node) & ASIDE_WORDS:
+            under[k] = "aside"
+        elif node.tag == "article":
+            under[k] = "article"
+        else:
+            under[k] = "header" if node.tag == "header" and above == "no" else above
         if node.leaf:
             n = sum(map(len, node.text))
             tail = next((t.rstrip() for t in reversed(node.text) if t.strip()), "")
             share = node.linked / max(1, n)
             got = [f"size:{min(8, int(math.log2(n + 1)))}", f"links:{0 if share < 0.05 else 1 if share < 0.6 else 2}", f"ends:{tail[-1:] in '.!?' and bool(tail)}", f"in:{'div' if plain and node.tag in TELLING else node.tag}"]
+            got += [] if plain else [f"under:{under[k]}"]
         else:
             got = [f"tag:{'div' if plain and node.tag in TELLING else node.tag}"]
             if node.names and not plain:
-                words = set(map(str.lower, WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", node.names))))
+                words = named_words(node)
                 if words & ASIDE_WORDS:
                     got.append("names:aside")
                 elif words & CONTENT_WORDS:

@@ -379,8 +379,11 @@ def test_pages_against_their_articles(spark):
         assert got[r.page_id].text == "\n".join(b for b in blocks if b) and got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
+@here
 def test_page_cases(spark):
-    model = html_text.train(spark.createDataFrame([], "page_id long, url string, html string"))
+    untrained = html_text.train(spark.createDataFrame([], "page_id long, url string, html string"))  # the examples alone
+    assert untrained.text("") == "" and isinstance(untrained.text("<p>x"), str)
+    model = html_text.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
     for page in html_text.EXAMPLES:
         text = model.text(re.sub(r' data-label="."', "", page))
         kept, off = set(), set()
