@@ -130,7 +130,7 @@ def first_keys(inputs: DataFrame) -> DataFrame:
 def witness_detections(inputs: DataFrame) -> DataFrame:
     rows = inputs.where(F.size("witness") > 0).withColumn("spend", S.taproot(F.col("witness")))
     control = F.col("spend.control")
-    leaf = F.when(S.aligned_control(control) & (S.number_at(control, 0).bitwiseAND(0xFE) == 0xC0), F.col("spend.script"))
+    leaf = F.when(S.aligned_control(control) & (S.number_at(control, 0).bitwiseAND(0xFE) == 0xC0) & S.contains_bytes(F.col("spend.script"), b"ord"), F.col("spend.script"))
     rows = with_decoded(rows.withColumn("leaf", leaf), "leaf", "leaf_decoded").withColumn("envelope", S.ord_envelope(F.col("leaf_decoded")))
     strong = F.coalesce(F.col("envelope.found"), F.lit(False))
     weak = ~strong & F.exists("witness", lambda w: S.contains_bytes(w, ORD_BYTES))
@@ -255,12 +255,16 @@ def taproot_matches() -> Column:
 def input_matches(inputs: DataFrame) -> DataFrame:
     """inputs with ``matches``: rule matches 2 to 7 in check order; NULL where the spent script is unknown."""
     rows = inputs.withColumn("spend", S.taproot(F.col("witness"))).withColumn("last", F.try_element_at("witness", F.lit(-1))).withColumn("leaf", F.col("spend.script"))
-    for column in ("script", "script_sig", "last", "leaf"):
-        rows = with_decoded(rows, column, f"{column}_decoded")
+    p2sh = (F.length("script") == 23) & F.startswith("script", S.x("A914")) & F.endswith("script", S.x("87"))
+    p2tr = (F.length("script") == 34) & F.startswith("script", S.x("5120"))
+    long = lambda name: F.length(name) > MAX_ELEMENT  # noqa: E731  a shorter script can't push more than that
+    needed = {"script": long("script"), "script_sig": p2sh | long("script_sig"), "last": long("last"), "leaf": p2tr}
+    for column, condition in needed.items():
+        rows = rows.withColumn(f"{column}_decoded", S.decode(F.when(condition, F.col(column))))
     ops = F.col("script_sig_decoded.ops")
     last_op = F.try_element_at(ops, F.lit(-1))
-    p2sh = (F.length("script") == 23) & F.startswith("script", S.x("A914")) & F.endswith("script", S.x("87"))
-    rows = with_decoded(rows.withColumn("redeem", F.when(p2sh & S.push_only(F.col("script_sig_decoded")), last_op["data"])), "redeem", "redeem_decoded")
+    rows = rows.withColumn("redeem", F.when(p2sh & S.push_only(F.col("script_sig_decoded")), last_op["data"]))
+    rows = rows.withColumn("redeem_decoded", S.decode(F.when(long("redeem"), F.col("redeem"))))
     before = F.struct(F.col("script_sig_decoded.ok").alias("ok"), F.slice(ops, 1, F.greatest(F.size(ops) - 1, F.lit(0))).alias("ops"))
     nested_version = S.witness_version("redeem")
     nested = F.when((F.size(ops) == 1) & S.canonical_single_push(F.col("script_sig"), F.col("redeem")) & nested_version.isNotNull(), witness_matches(nested_version, F.col("redeem"), True)).otherwise(F.expr(NONE))
