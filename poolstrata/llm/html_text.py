@@ -34,7 +34,7 @@ STRENGTH = 0.45  # of node features against pair potentials
 # fixed values: element kinds of HTML
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template iframe object svg math canvas audio video select option button textarea input head title".split())
+SILENT = frozenset("script style noscript template iframe object svg annotation annotation-xml canvas audio video select option button textarea input head title".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"])}
 SCOPE = frozenset("ul ol table dl body html article section div td th blockquote main aside nav form".split())
@@ -45,7 +45,9 @@ CONTENT_WORDS = frozenset("article articlebody body content entry main mainconte
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[a-zA-Z/!?][^>]*$", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
+HIDDEN = re.compile(r"hidden|display\s*:\s*none", re.I)  # what attributes that hide an element hold
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 WORD = re.compile(r"[a-zA-Z]+")
 REGION = TELLING | frozenset("div table center dialog details fieldset menu".split())
 TOP = frozenset("#root html body".split())
@@ -72,10 +74,21 @@ class Node:
         self.linked = 0
 
 
+def hides(attributes: str) -> bool:
+    """Whether a start tag's attributes hide its element."""
+    if not HIDDEN.search(attributes):
+        return False
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 def parse(page: str) -> list[Node]:
     """The page's nodes, parents before children, in page order. The first is the root."""
     nodes = [Node(-1, "#root")]
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and the block node that holds them
+    stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # open elements, the block node that holds them, whether they silence
     leaf: Node | None = None
     silent, links, at = 0, 0, 0
 
@@ -95,10 +108,10 @@ def parse(page: str) -> list[Node]:
 
     def close(n: int) -> None:
         nonlocal leaf, silent, links
-        for tag, _ in stack[n:]:
+        for tag, _, quiet in stack[n:]:
             if tag in BLOCK:
                 leaf = None
-            silent -= tag in SILENT or tag == "#hidden"
+            silent -= quiet
             links -= tag == "a"
         del stack[n:]
 
@@ -116,7 +129,7 @@ def parse(page: str) -> list[Node]:
         tag, rest = tag.lower(), found[3]
         if found[1]:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag or stack[k][0] == "#hidden" and nodes[stack[k][1]].tag == tag:
+                if stack[k][0] == tag:
                     close(k)
                     break
             if tag in BLOCK:
@@ -145,12 +158,9 @@ def parse(page: str) -> list[Node]:
             mark = LABEL.search(rest) if "data-label" in rest else None
             nodes.append(Node(holder, tag, names, label=int(mark[1]) if mark else nodes[holder].label))
             holder = len(nodes) - 1
-        stack.append((tag, holder))
-        if rest and HIDDEN.search(rest):
-            stack[-1] = ("#hidden", holder)
-            silent += 1
-        elif tag in SILENT:
-            silent += 1
+        quiet = tag in SILENT or bool(rest) and hides(rest)
+        stack.append((tag, holder, quiet))
+        silent += quiet
         links += tag == "a"
         if tag in RAW:
             stop = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
