@@ -1,7 +1,8 @@
 """Media columns: bytes kept as GIF, and GIF decoded to timed frames with colour histograms.
 
 ``store_gif``   text or binary column -> a binary GIF column. Samples are palette indexes of a grey ramp, so storage is lossless.
-``decode_gif``  binary GIF column -> frames after palettes, interlacing, transparency and disposal, with delays and histograms.
+``decode_gif``  binary GIF column -> index planes as stored, and frames as displayed after palettes, interlacing, transparency
+                and disposal: place, delay, digest of the canvas and its colour histogram.
 
 Both run as Arrow maps: no shuffle, and memory holds one document (and its frames) at a time.
 
@@ -13,6 +14,7 @@ output names, in which case the operator's column wins.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -273,6 +275,15 @@ def colour_histogram(frame: dict, bins: int = BINS) -> list[int]:
     return [int(n) for k in range(3) for n in np.bincount(place[:, k], weights=counts, minlength=bins)]
 
 
+def canvas_histogram(canvas: np.ndarray, bins: int = BINS) -> list[int]:
+    """The same over a displayed frame (its transparent pixels apart)."""
+    pixels = canvas.reshape(-1, 4)
+    solid = pixels[:, 3] == 255
+    pixels = pixels if solid.all() else pixels[solid]
+    place = np.arange(256) * bins // 256
+    return [int(n) for k in range(3) for n in np.bincount(place, weights=np.bincount(pixels[:, k], minlength=256), minlength=bins)]
+
+
 # ---- operators -------------------------------------------------------------------------------------------------------
 
 
@@ -301,16 +312,17 @@ def store_gif(df: DataFrame, payload: str = "text", key: str = "doc_id") -> Data
     return source.mapInArrow(run, schema)
 
 
-FRAME = "array<struct<delay_ms: int, left: int, top: int, width: int, height: int, histogram: array<bigint>>>"
+FRAME = "array<struct<delay_ms: int, left: int, top: int, width: int, height: int, canvas_sha256: string, histogram: array<bigint>>>"
 
 
 def decode_gif(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with samples (the frames' index planes, joined), frames (times, places, histograms) and error."""
+    """df with samples (the frames' index planes, joined), frames (times, places, and of each displayed canvas the SHA-256 of its
+    RGBA bytes and the histogram) and error."""
     keep = [f for f in df.schema.fields if f.name not in ("samples", "frames", "error")]
     names = [f.name for f in keep]
     frame_type = T._parse_datatype_string(FRAME)
     schema = T.StructType([*keep, T.StructField("samples", T.BinaryType()), T.StructField("frames", frame_type), T.StructField("error", T.StringType())])
-    arrow_frame = pa.list_(pa.struct([("delay_ms", pa.int32()), ("left", pa.int32()), ("top", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64()))]))
+    arrow_frame = pa.list_(pa.struct([("delay_ms", pa.int32()), ("left", pa.int32()), ("top", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("canvas_sha256", pa.string()), ("histogram", pa.list_(pa.int64()))]))
 
     def run(batches):
         for batch in batches:
@@ -322,9 +334,9 @@ def decode_gif(df: DataFrame, media: str = "media") -> DataFrame:
                     data = batch.column(where)[n].as_py()
                     planes, frames, error = [], [], None
                     try:
-                        for x in gif_frames(data or b"", draw=False):
+                        for x in gif_frames(data or b""):
                             planes.append(x["index"].tobytes())
-                            frames.append({k: x[k] for k in ("delay_ms", "left", "top", "width", "height")} | {"histogram": colour_histogram(x)})
+                            frames.append({k: x[k] for k in ("delay_ms", "left", "top", "width", "height")} | {"canvas_sha256": hashlib.sha256(x["canvas"]).hexdigest(), "histogram": canvas_histogram(x["canvas"])})
                     except NotGif as e:
                         error = str(e)
                     yield [*(c[n].as_py() for c in batch.columns), b"".join(planes), frames, error], len(data or b"") + sum(map(len, planes))

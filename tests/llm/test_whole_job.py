@@ -20,3 +20,16 @@ def test_hidden_inline_elements_end_where_they_end():
     assert leaves('<p title="a hidden gem" data-x="display:none">Kept</p><p>x <math><mi>y</mi><annotation>z</annotation></math></p>') == ["Kept", "x y"]
     heading = html_text.parse('<h2><a aria-hidden="true" href="#a">#</a>Title of the part</h2>')[-1]
     assert html_text.leaf_text(heading) == "Title of the part" and heading.linked == 0
+
+
+def test_decoded_frames_are_what_is_displayed(spark):
+    palette = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9])
+    image = lambda left, top, w, h, samples: b"\x2c" + struct.pack("<HHHHB", left, top, w, h, 0) + b"\x02" + media_gif.sub_blocks(media_gif.pack_codes(media_gif.lzw_codes(bytes(samples), 2), 2))
+    control = lambda disposal, clear=None: b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | (clear is not None), 1, clear or 0) + b"\0"
+    gif = b"GIF89a" + struct.pack("<HHBBB", 2, 2, 0x81, 0, 0) + palette + control(1) + image(0, 0, 2, 2, [0, 0, 0, 0]) + control(3, 1) + image(0, 0, 2, 1, [1, 2]) + control(2) + image(1, 1, 1, 1, [1]) + control(0) + image(0, 0, 1, 1, [2]) + b"\x3b"
+    r, g, b, gone = (255, 0, 0, 255), (0, 255, 0, 255), (0, 0, 255, 255), (0, 0, 0, 0)
+    shown = [[r, r, r, r], [r, b, r, r], [r, r, r, g], [b, r, r, gone]]
+    row = media_gif.decode_gif(spark.createDataFrame([(1, bytearray(gif))], "doc_id int, media binary")).first()
+    assert bytes(row.samples) == bytes([0, 0, 0, 0, 1, 2, 1, 2])
+    assert [f.canvas_sha256 for f in row.frames] == [hashlib.sha256(np.array(x, np.uint8).tobytes()).hexdigest() for x in shown]
+    assert [(f.histogram[15], f.histogram[31], f.histogram[47]) for f in row.frames] == [(4, 0, 0), (3, 0, 1), (3, 1, 0), (2, 0, 1)]
