@@ -144,26 +144,49 @@ def _then_none(batches):
     yield None
 
 
-def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
-    """key, fp and component_id (the least key that links lead to) for every row of df."""
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, most: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
+    """Rows (_id and fp, for every row of df), and for every different fp: component_id (the least key that links lead to) and
+    first_fp (the fingerprint that has this key; the least one if several of the component do)."""
     rows = materialise(fingerprints(df, key, text, words).withColumnRenamed(key, "_id"), "fingerprints")
     distinct = materialise(rows.groupBy("fp").agg(F.min("_id").alias("least")), "distinct-fingerprints")
     joined = materialise(connected_components(links(distinct, most=most)), "components")
     members = materialise(joined.join(distinct, joined["node"] == distinct["fp"]).select("fp", "component", "least"), "members")
-    best = materialise(members.groupBy("component").agg(F.min("least").alias("component_id")), "best")
-    linked = materialise(members.join(best, "component").select("fp", "component_id"), "linked")
-    named = materialise(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("component_id"), F.col("fp").alias("first_fp"))).alias("first")
+    best = materialise(members.groupBy("component").agg(first).select("component", "first.component_id", "first.first_fp"), "best")
+    linked = materialise(members.join(best, "component").select("fp", "component_id", "first_fp"), "linked")
+    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("first_fp", "fp").alias("first_fp"))
+    return rows, materialise(named, "named")
+
+
+def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
+    """key, fp and component_id (the least key that links lead to) for every row of df."""
+    rows, named = groups(df, key, text, words, most)
     return rows.join(named, "fp").select(F.col("_id").alias(key), "fp", "component_id")
 
 
+def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df and each row's fingerprint in the column ``name``."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+    where = df.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            fps = pa.array([simhash(x.as_py()) for x in batch.column(where)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*batch.schema.names, name])
+
+    return df.mapInArrow(run, schema)
+
+
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of df without near-duplicates: of each component the row with the least key. Rows that share that key count as
-    copies, of which one stays. Columns and their order are df's."""
-    groups = components(df, key, text)
-    keep = materialise(groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_keep")), "keep")
-    kept = df.join(keep.distinct(), F.col(key).eqNullSafe(F.col("_keep")), "left_semi")
-    repeated = keep.groupBy("_keep").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([key]) if repeated else kept
+    """Rows of df without near-duplicates: of each component one row with the least key (nulls last). Rows are told apart by key
+    and fingerprint, so different texts that share a key, or have none, each stay. Columns and their order are df's."""
+    rows, named = groups(df, key, text)
+    keep = materialise(named.where("fp = first_fp").select(F.col("component_id").alias("_keep"), F.col("fp").alias("_keep_fp")), "keep")
+    if not rows.groupBy("_id").count().where("count > 1").limit(1).count():
+        return df.join(keep.select("_keep"), F.col(key).eqNullSafe(F.col("_keep")), "left_semi")
+    kept = df.join(keep.select("_keep").distinct(), F.col(key).eqNullSafe(F.col("_keep")), "left_semi")
+    marked = with_fingerprint(kept, text, "_row_fp")
+    return marked.join(keep, F.col(key).eqNullSafe(F.col("_keep")) & (F.col("_row_fp") == F.col("_keep_fp")), "left_semi").dropDuplicates([key, "_row_fp"]).drop("_row_fp")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,3 +33,11 @@ def test_decoded_frames_are_what_is_displayed(spark):
     assert bytes(row.samples) == bytes([0, 0, 0, 0, 1, 2, 1, 2])
     assert [f.canvas_sha256 for f in row.frames] == [hashlib.sha256(np.array(x, np.uint8).tobytes()).hexdigest() for x in shown]
     assert [(f.histogram[15], f.histogram[31], f.histogram[47]) for f in row.frames] == [(4, 0, 0), (3, 0, 1), (3, 1, 0), (2, 0, 1)]
+
+
+def test_only_linked_rows_are_dropped(spark):
+    other = lambda seed: " ".join(str(x) for x in np.random.default_rng(seed).integers(0, 1 << 30, 60))
+    rows = [(None, other(1)), (None, other(2)), (None, other(2)), (5, other(3)), (5, other(4)), (6, other(5)), (7, other(5)), (None, other(5)), (6, other(6)), (8, other(7)), (7, other(7))]
+    got = [(r.doc_id, r.text) for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(None, other(1)), (None, other(2)), (5, other(3)), (5, other(4)), (6, other(5)), (6, other(6)), (7, other(7))]
+    assert sorted(got, key=str) == sorted(want, key=str)
