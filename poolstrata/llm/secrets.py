@@ -6,7 +6,7 @@ back to all paths that hold the blob. Equal blobs are scanned once, however many
 costs one scan; the join back is on the blob's hash with the path's key alone, never with texts.
 
 Rules. ``assign``, ``access`` and ``hex`` are the base kinds. ``pem``, ``jwt`` and ``vendor`` add spans that those don't
-describe. A match is leftmost and non-overlapping for its kind; matches that fail the kind's least length are dropped
+describe; ``pem`` is a whole block from its BEGIN line through its END line, or through its base64 where END is missing. A match is leftmost and non-overlapping for its kind; matches that fail the kind's least length are dropped
 after matching, so they still use up their characters.
 
 Defined cases: a null text is the empty blob; an empty table gives an empty result; equal rows each keep a row; a null key
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-RULE_VERSION = 1
+RULE_VERSION = 2
 
 
 @dataclass(frozen=True)
@@ -35,13 +35,22 @@ class Rule:
 
 
 # fixed values: the rules
+# quantifiers are possessive where they repeat groups: Java takes those without recursion, however long a block is
+GAP = r"""(?:[\s"'>,;]|\\[nrt])"""
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:(?:[^-]++|-{1,4}+(?!-))*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{GAP}*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:{GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+"
+    # a last line is shorter; on the same line a run of letters alone is a word
+    rf"""(?:(?<=[A-Za-z0-9+/=]{{16}})(?:(?:\r?\n|\\n)[ \t"'>]*+|{GAP}++(?=[A-Za-z]*+[0-9+/=]))[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?![^\s"'\\]))?)"""
+)
 BASE = (
     Rule("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2),
     Rule("access", r"AKIA[A-Z0-9]+", 18),
     Rule("hex", r"[0-9a-f]{16,}", 16),  # the same spans as runs of any length with those under 16 dropped
 )
 ADDED = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1),
+    Rule("pem", PEM, 1),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 1),
     Rule("vendor", r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", 1),
 )
