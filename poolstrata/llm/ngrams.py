@@ -1,12 +1,14 @@
-"""Perplexity by an interpolated modified Kneser-Ney bigram model, counted in Spark (Chen and Goodman, 1999).
+"""Perplexity by interpolated modified Kneser-Ney models of orders 2 and 3, counted in Spark (Chen and Goodman, 1999).
 
 The corpus is cut in chunks of whole texts. A chunk knows its own n-grams; what it lacks are totals over the corpus. It
 asks for them in sorted arrays of 64-bit hashes, split by hash range in shards, with its own counts beside them:
 
-  bigrams  chunk -> shard: hash, count in training texts      shard -> chunk: count in all, and whether this chunk is the
-                                                              first to have it (so each bigram is counted once below)
-  words    chunk -> shard: hash, count, left contexts,        shard -> chunk: the same, summed over the corpus
-           followers seen once, twice, more often
+  trigrams chunk -> shard: hash, count in training texts      shard -> chunk: count in all, and whether this chunk is the
+                                                              first to have it (so each trigram is counted once below)
+  bigrams  chunk -> shard: hash, count, left contexts,        shard -> chunk: the same, summed over the corpus, and whether
+           followers seen once, twice, more often             this chunk is the first
+  words    chunk -> shard: the same, and the same of left     shard -> chunk: the same, summed over the corpus
+           contexts instead of counts
 
 A shard task merges what it is asked into one sorted hash array with its counts, keeps it in a file that it memory-maps,
 and answers each chunk from it by binary search. Shards are ranges of hashes, so a word that makes up a third of the corpus
@@ -16,7 +18,8 @@ Data moved: each chunk's different bigrams and words, packed to about 6 bytes ea
 The chunks' texts are written once, bucketed by chunk, and don't move again.
 
 Model. p(w | v) = max(c(v w) - D, 0) / c(v) + g(v) p(w); p(w) = max(left(w) - D', 0) / bigrams + g' / (V + 1), so unknown
-words share one slot. A text starts in a start context and ends with the end token.
+words share one slot. The trigram model is p(w | u v) = max(c(u v w) - D, 0) / c(u v) + g(u v) p'(w | v), where p' is the bigram
+formula over left contexts instead of counts; a bigram at a text's start has none but the start, and keeps its count. A text starts in a start context and ends with the end token.
 
 Defined cases: a null text is empty (one token, the end); with no training text every word has probability 1 / (V + 1) = 1;
 repeated rows each get a row; null ids are kept. Only id, text and the hold-out mark are read.
@@ -99,18 +102,37 @@ class Chunk:
         key = mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens)
         self.bigrams, at, self.bigram = np.unique(key, return_index=True, return_inverse=True)
         self.of_word, self.of_context = self.word[at], self.context[at]
+        self.later = np.flatnonzero(~starts)  # tokens with two before them, the start context counted
+        key = mix(self.bigrams[self.bigram[self.later - 1]] * np.uint64(0x9E3779B97F4A7C15) + tokens[self.later])
+        self.trigrams, at, self.trigram = np.unique(key, return_index=True, return_inverse=True)
+        self.of_first, self.of_last = self.bigram[self.later - 1][at], self.bigram[self.later][at]  # a trigram's two bigrams
+        self.first = np.flatnonzero(starts)
+        self.at_start = np.isin(np.arange(len(self.bigrams)), self.bigram[self.first])
+
+    def trigram_counts(self) -> np.ndarray:
+        return np.bincount(self.trigram, weights=self.train[self.later], minlength=len(self.trigrams)).astype(np.uint32)
+
+    def bigram_stats(self, total: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        """count, left contexts, followers seen once, twice, more: this chunk's part of the sums over the corpus."""
+        n, count, own = len(self.bigrams), self.bigram_counts(), first & (total > 0)
+        left = np.where(self.at_start, count, np.bincount(self.of_last[own], minlength=n))
+        return [count, *(x.astype(np.uint32) for x in (left, *(np.bincount(self.of_first[own & which], minlength=n) for which in (total == 1, total == 2, total > 2))))]
 
     def bigram_counts(self) -> np.ndarray:
         return np.bincount(self.bigram, weights=self.train, minlength=len(self.bigrams)).astype(np.uint32)
 
-    def word_stats(self, total: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """count, left contexts, followers seen once, twice, more: this chunk's part of the sums over the corpus."""
+    def word_stats(self, total: np.ndarray, first: np.ndarray, left: np.ndarray | None = None) -> list[np.ndarray]:
+        """count, left contexts, followers seen once, twice, more; with the bigrams' left contexts also their sum, and followers
+        with one, two, more: this chunk's part of the sums over the corpus."""
         n = len(self.words)
         count = np.bincount(self.word, weights=self.train, minlength=n)
         count[np.searchsorted(self.words, START) if START in self.words else slice(0, 0)] += self.train_texts
         own = first & (total > 0)
-        follow = lambda which: np.bincount(self.of_context[own & which], minlength=n)
-        return [x.astype(np.uint32) for x in (count, np.bincount(self.of_word[own], minlength=n), follow(total == 1), follow(total == 2), follow(total > 2))]
+        follow = lambda x: [np.bincount(self.of_context[own & which], minlength=n) for which in (x == 1, x == 2, x > 2)]
+        got = [count, np.bincount(self.of_word[own], minlength=n), *follow(total)]
+        if left is not None:
+            got += [np.bincount(self.of_context[own], weights=left[own], minlength=n), *follow(left)]
+        return [x.astype(np.uint32) for x in got]
 
 
 def write_chunks(df: DataFrame, key: str, text: str, held: Column, buckets: int) -> str:
@@ -188,7 +210,7 @@ def answers(asked: DataFrame, respond) -> DataFrame:
     return materialise(asked.groupBy("shard").applyInArrow(run, ANSWER), "ngram-answers")
 
 
-def count_bigrams(size: int, places: list[np.ndarray], values: list[list[np.ndarray]]):
+def count_ngrams(size: int, places: list[np.ndarray], values: list[list[np.ndarray]]):
     total, first = np.zeros(size, np.uint32), np.full(size, -1, np.int32)
     for n, (at, (count,)) in enumerate(zip(places, values)):
         total[at] += count
@@ -198,8 +220,17 @@ def count_bigrams(size: int, places: list[np.ndarray], values: list[list[np.ndar
     return replies, [int((total == k).sum()) for k in (1, 2, 3, 4)]
 
 
+def sum_bigrams(size: int, places: list[np.ndarray], values: list[list[np.ndarray]]):
+    replies, totals = count_ngrams(size, places, [columns[:1] for columns in values])
+    sums = np.zeros((4, size), np.uint32)
+    for at, columns in zip(places, values):
+        for row, column in zip(sums, columns[1:]):
+            row[at] += column
+    return [[*reply, *(row[at] for row in sums)] for reply, at in zip(replies, places)], totals + [int((sums[0] == k).sum()) for k in (1, 2, 3, 4)]
+
+
 def sum_words(size: int, places: list[np.ndarray], values: list[list[np.ndarray]]):
-    sums = np.zeros((5, size), np.uint32)
+    sums = np.zeros((max(map(len, values)), size), np.uint32)
     for at, columns in zip(places, values):
         for row, column in zip(sums, columns):
             row[at] += column
@@ -211,7 +242,7 @@ def sum_words(size: int, places: list[np.ndarray], values: list[list[np.ndarray]
 def gathered(chunks: DataFrame, replies: DataFrame, name: str) -> DataFrame:
     """chunks with the answers of all shards, in the order of the shards."""
     own = replies.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("shard", "values"))).alias(name))
-    return chunks.join(own, "chunk")
+    return chunks.join(own, "chunk", "left")
 
 
 def joined(parts: list[dict], column: int) -> np.ndarray:
@@ -227,34 +258,57 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.array(out)
 
 
-def score(df: DataFrame, held: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity for every row; rows that ``held``
-    marks aren't learned from."""
+def interpolated(count: np.ndarray, d: np.ndarray, context: np.ndarray, followers: list[np.ndarray], at: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Probabilities of n-grams: their counts; counts and followers of contexts, the place of each one's there; the lower order's."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        back = np.where(context > 0, sum(d[k + 1] * f for k, f in enumerate(followers)) / context, 1.0)
+    seen = np.where(context[at] > 0, np.maximum(count - d[np.minimum(count, 3)], 0) / np.maximum(context[at], 1), 0.0)
+    return seen + back[at] * lower
+
+
+def score(df: DataFrame, held: Column, key: str = "doc_id", text: str = "text", order: int = 3) -> DataFrame:
+    """key, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity (of the bigram model) for every row, and with
+    order 3 trigram_score and trigram_perplexity; rows that ``held`` marks aren't learned from."""
+    if order not in (2, 3):
+        raise ValueError("models have order 2 or 3")
     spark = df.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = spark.table(write_chunks(df, key, text, held, shards))
+    trigrams, known = None, chunks.select("chunk", "texts", "held")
+    counted = lambda reply: (reply >> 1, (reply & 1).astype(bool))
+
+    if order == 3:
+
+        def ask_trigrams(batches):
+            for row in rows_of(batches):
+                c = chunk_of(row)
+                yield from ask(row["chunk"], c.trigrams, [c.trigram_counts()], shards)
+
+        trigrams = answers(known.mapInArrow(ask_trigrams, ASK), count_ngrams)
+        known = gathered(known, trigrams, "trigrams")
 
     def ask_bigrams(batches):
         for row in rows_of(batches):
             c = chunk_of(row)
-            yield from ask(row["chunk"], c.bigrams, [c.bigram_counts()], shards)
+            stats = c.bigram_stats(*counted(joined(row["trigrams"] or [], 0))) if order == 3 else [c.bigram_counts()]
+            yield from ask(row["chunk"], c.bigrams, stats, shards)
 
-    bigrams = answers(chunks.select("chunk", "texts", "held").mapInArrow(ask_bigrams, ASK), count_bigrams)
+    bigrams = answers(known.mapInArrow(ask_bigrams, ASK), sum_bigrams if order == 3 else count_ngrams)
 
     def ask_words(batches):
         for row in rows_of(batches):
             c = chunk_of(row)
-            reply = joined(row["bigrams"], 0)
-            yield from ask(row["chunk"], c.words, c.word_stats(reply >> 1, (reply & 1).astype(bool)), shards)
+            left = joined(row["bigrams"], 1) if order == 3 else None
+            yield from ask(row["chunk"], c.words, c.word_stats(*counted(joined(row["bigrams"], 0)), left), shards)
 
-    known = gathered(chunks.select("chunk", "texts", "held"), bigrams, "bigrams")
-    word_sums = answers(known.mapInArrow(ask_words, ASK), sum_words)
+    word_sums = answers(gathered(chunks.select("chunk", "texts", "held"), bigrams, "bigrams").mapInArrow(ask_words, ASK), sum_words)
 
     def totals(replies: DataFrame, n: int) -> list[int]:
         row = replies.agg(*(F.sum(F.element_at("totals", k + 1)).alias(f"t{k}") for k in range(n))).first()
         return [int(x or 0) for x in row]
 
-    d2 = discounts(totals(bigrams, 4))
+    d2, d2_left = (discounts((found := totals(bigrams, 8 if order == 3 else 4))[:4]), discounts(found[4:] or [0] * 4))
+    d3 = discounts(totals(trigrams, 4)) if order == 3 else None
     vocabulary, tokens, types, *left_counts, left_more = totals(word_sums, 8)
     train_texts = df.where(~held).count()
     vocabulary, tokens = vocabulary - bool(train_texts), tokens - train_texts  # the start context is no token
@@ -265,26 +319,33 @@ def score(df: DataFrame, held: Column, key: str = "doc_id", text: str = "text")
         for row in rows_of(batches):
             c = chunk_of(row)
             count2 = (joined(row["bigrams"], 0) >> 1).astype(np.int64)
-            count, left, f1, f2, f3 = (joined(row["words"], k).astype(np.float64) for k in range(5))
+            words = [joined(row["words"], k).astype(np.float64) for k in range(9 if order == 3 else 5)]
+            count, left = words[:2]
             p1 = np.maximum(left - d1[np.minimum(left, 3).astype(int)], 0) / max(types, 1) + spare / (vocabulary + 1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                back = np.where(count > 0, (d2[1] * f1 + d2[2] * f2 + d2[3] * f3) / count, 1.0)
-            v = c.of_context
-            seen = np.where(count[v] > 0, np.maximum(count2 - d2[np.minimum(count2, 3)], 0) / np.maximum(count[v], 1), 0.0)
-            logs = np.log10(seen + back[v] * p1[c.of_word])
+            logs = np.log10(interpolated(count2, d2, count, words[2:5], c.of_context, p1[c.of_word]))
             base = np.log10((count + 1) / (tokens + vocabulary + 1))
             n = len(row["ids"])
             sums = lambda x, n=n, c=c: np.bincount(c.text, weights=x, minlength=n)
             n_tokens = np.bincount(c.text, minlength=n)
             scores = sums(logs[c.bigram])
+            more = []
+            if order == 3:
+                left2, *followers = (joined(row["bigrams"], k).astype(np.int64) for k in range(1, 5))
+                lower = interpolated(left2, d2_left, words[5], words[6:9], c.of_context, p1[c.of_word])
+                count3 = (joined(row["trigrams"] or [], 0) >> 1).astype(np.int64)
+                logs3 = np.log10(interpolated(count3, d3, count2, followers, c.of_first, lower[c.of_last]))
+                own = np.empty(len(c.text))
+                own[c.first], own[c.later] = np.log10(lower)[c.bigram[c.first]], logs3[c.trigram]
+                more = [own := sums(own), 10 ** (-own / n_tokens)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(row["ids"], id_type), pa.array(row["held"], pa.bool_()), pa.array(n_tokens, pa.int64()), pa.array(sums((count > 0)[c.word]).astype(np.int64)),
-                pa.array(np.full(n, tokens, np.int64)), pa.array(sums(base[c.word])), pa.array(scores), pa.array(10 ** (-scores / n_tokens)),
-            ], names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+                pa.array(np.full(n, tokens, np.int64)), pa.array(sums(base[c.word])), pa.array(scores), pa.array(10 ** (-scores / n_tokens)), *map(pa.array, more),
+            ], names=out.names)
 
     id_type = to_arrow_type(df.schema[key].dataType)
-    out = T.StructType([df.schema[key], T.StructField("held_out", T.BooleanType()), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(x, T.DoubleType()) for x in ("base_score", "score", "perplexity"))])
-    return gathered(gathered(chunks, bigrams, "bigrams"), word_sums, "words").mapInArrow(finish, out)
+    out = T.StructType([df.schema[key], T.StructField("held_out", T.BooleanType()), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(x, T.DoubleType()) for x in ("base_score", "score", "perplexity", *(["trigram_score", "trigram_perplexity"] if order == 3 else [])))])
+    asked = gathered(gathered(chunks, bigrams, "bigrams"), word_sums, "words")
+    return (gathered(asked, trigrams, "trigrams") if order == 3 else asked).mapInArrow(finish, out)
 
 
 def op6_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,53 @@ def test_only_linked_rows_are_dropped(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_trigrams_against_brute_force(spark):
+    import collections
+    import math
+    import random
+
+    rng = random.Random(6)
+    rows = [(n, " ".join(rng.choice("aaaabbbccdefg") for _ in range(rng.randrange(30)))) for n in range(60)] + [(60, None), (61, "zz a"), (62, "zz qq a b"), (5, "a b c")]
+    held = lambda i: i % 5 == 2
+    tok = lambda t: (t or "").split() + ["</s>"]
+    tri, bi = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        if not held(i):
+            w = ["<s>", *tok(t)]
+            tri.update(zip(w, w[1:], w[2:]))
+            bi.update(zip(w, w[1:]))
+    left2 = collections.Counter(g[1:] for g in tri) + collections.Counter({g: n for g, n in bi.items() if g[0] == "<s>"})
+    left1 = collections.Counter(w for _, w in bi)
+
+    def discount(values):
+        k = [sum(x == j for x in values) for j in (1, 2, 3, 4)]
+        y = k[0] / (k[0] + 2 * k[1]) if all(k) else 0
+        return [0, *(min(j, max(0, j - (j + 1) * y * k[j] / k[j - 1])) for j in (1, 2, 3))] if all(k) else [0, 0.5, 1.0, 1.5]
+
+    def level(counts):
+        d, total, spare = discount(list(counts.values())), collections.Counter(), collections.Counter()
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            spare[g[:-1]] += d[min(n, 3)]
+        return lambda g, low: max(counts.get(g, 0) - d[min(counts.get(g, 0), 3)], 0) / total[g[:-1]] + spare[g[:-1]] / total[g[:-1]] * low if total[g[:-1]] else low
+
+    three, two, one, v = level(tri), level(left2), level({(w,): n for w, n in left1.items()}), len(left1)
+    p2 = lambda x, w: two((x, w), one((w,), 1 / (v + 1)))
+    assert abs(sum(three(("a", "b", w), p2("b", w)) for w in left1) + three(("a", "b", "?"), p2("b", "?")) - 1) < 1e-9
+    got = collections.defaultdict(list)
+    scored = ngrams.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5 == 2)
+    for r in scored.collect():
+        got[r.doc_id].append(r.trigram_score)
+        assert math.isclose(r.trigram_perplexity, 10 ** (-r.trigram_score / r.n_tokens))
+    want = collections.defaultdict(list)
+    for i, t in rows:
+        w = ["<s>", *tok(t)]
+        want[i].append(math.log10(p2(*w[:2])) + sum(math.log10(three(g, p2(*g[1:]))) for g in zip(w, w[1:], w[2:])))
+    assert all(np.allclose(sorted(got[i]), sorted(want[i]), rtol=1e-9) for i in want) and len(got) == len(want)
+    lone = ngrams.score(spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string"), F.lit(False))
+    assert lone.count() == 2 and "trigram_score" not in ngrams.score(lone.select("doc_id", F.lit("a").alias("text")), F.lit(False), order=2).columns
+
+
 def test_redaction_takes_whole_private_keys(spark):
     line = "MIIEvQIBADANBgkqhkiG9w0BAQEFAASCBKcwggSjAgEAAoIBAQC7VJTUt9Us8cKj"
     key = "\n".join([line] * 3 + ["Kv3pX/a9+Q=="])
