@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import mmap
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (in tests, where it is unset) a fresh local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a fresh local one will do if driver
+    and executors are one process (local mode); on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("poolstrata.shared.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("poolstrata.shared.dir", where)
     return where
@@ -35,6 +42,49 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(what: DataFrame | SparkSession, path: str | None = None) -> None:
+    """Delete a folder of the shared one: by its path, or the one that a frame of ``materialise`` reads (nothing may read it later)."""
+    spark = what.sparkSession if isinstance(what, DataFrame) else what
+    folders = [path] if path else {name.rsplit("/", 1)[0] for name in what.inputFiles()}
+    for folder in folders:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def local_path(path: str) -> Path | None:
+    """The path that the operating system knows, if the file system is a mounted one."""
+    parts = urlparse(path)
+    return Path(unquote(parts.path)) if parts.scheme in ("", "file") else None
+
+
+def write_bytes(path: str, data: bytes) -> None:
+    """Write a file of the shared folder from a task: under another name first, so a file is whole or not there."""
+    where = local_path(path)
+    if where:
+        where.parent.mkdir(parents=True, exist_ok=True)
+        part = where.with_name(f".{where.name}-{uuid.uuid4().hex}")
+        part.write_bytes(data)
+        part.replace(where)
+        return
+    system, name = pyarrow.fs.FileSystem.from_uri(path)
+    system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    part = f"{name}-{uuid.uuid4().hex}.part"
+    with system.open_output_stream(part) as out:
+        out.write(data)
+    system.move(part, name)
+
+
+def read_bytes(path: str) -> memoryview:
+    """A file of the shared folder, mapped in memory where the folder is mounted, else fetched."""
+    where = local_path(path)
+    if where:
+        with where.open("rb") as file:
+            return memoryview(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
+    system, name = pyarrow.fs.FileSystem.from_uri(path)
+    with system.open_input_file(name) as file:
+        return memoryview(file.read_buffer())
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the contracts' train and held-out split."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

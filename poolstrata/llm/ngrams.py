@@ -10,29 +10,40 @@ asks for them in sorted arrays of 64-bit hashes, split by hash range in shards,
   words    chunk -> shard: the same, and the same of left     shard -> chunk: the same, summed over the corpus
            contexts instead of counts
 
-A shard task merges what it is asked into one sorted hash array with its counts, keeps it in a file that it memory-maps,
-and answers each chunk from it by binary search. Shards are ranges of hashes, so a word that makes up a third of the corpus
-is one entry of each chunk's request; a chunk's request holds each n-gram once. Nothing is broadcast but a dozen totals.
+The model is what the shards keep: a file for each order and hash range in the shared folder, with the sorted hashes of
+all n-grams of the training texts and the code of each one's counts (``write_shard``). A worker that answers chunks maps
+its shard's file in memory and looks their n-grams up there. ``train`` leaves the model for ``score_with``, which
+scores other texts by mapping the same files; ``score`` learns from a table and scores it in one go, so that the
+n-grams of its texts move once. Shards are ranges of hashes, so a word that makes up a third of the corpus is one entry of
+each chunk's request. Their number follows from the text's bytes (``SHARD_BYTES``), so a shard's arrays don't grow
+with the corpus. Nothing is broadcast but two dozen totals.
 
-Data moved: each chunk's different bigrams and words, packed to about 6 bytes each, once there and about one byte back.
-The chunks' texts are written once, bucketed by chunk, and don't move again.
+Data moved: each chunk's different n-grams, packed to about 6 bytes each, once there and about one byte back. As in any
+shuffle each task has a block for each shard. The chunks' texts are written once, bucketed by chunk, and don't move again;
+they and the answers are deleted when the scores are written.
+
+A stored key is the place of its bucket (four keys each on average) and 32 more bits, so a lookup meets a wrong n-gram with
+a probability of about 1e-9, however large the model is.
 
 Model. p(w | v) = max(c(v w) - D, 0) / c(v) + g(v) p(w); p(w) = max(left(w) - D', 0) / bigrams + g' / (V + 1), so unknown
 words share one slot. The trigram model is p(w | u v) = max(c(u v w) - D, 0) / c(u v) + g(u v) p'(w | v), where p' is the bigram
 formula over left contexts instead of counts; a bigram at a text's start has none but the start, and keeps its count. A text starts in a start context and ends with the end token.
 
 Defined cases: a null text is empty (one token, the end); with no training text every word has probability 1 / (V + 1) = 1;
-repeated rows each get a row; null ids are kept. Only id, text and the hold-out mark are read.
+repeated rows each get a row; null ids are kept, and a row whose hold-out mark is null counts as not held out, for
+learning as for the totals. Only id, text and the hold-out mark are read.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
+import json
 import uuid
+from dataclasses import asdict, dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,10 +51,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import crc_mod, materialise, table
+from .common import crc_mod, delete, materialise, read_bytes, shared_dir, table, write_bytes
 from .words import NOT_SPACE, gather, hashes, mix, words
 
 CHUNK_BYTES = 6 << 20
+#: Bytes of text whose n-grams a shard holds, about.
+SHARD_BYTES = 32 << 20
+ORDER = 3
+LEVELS = ("words", "bigrams", "trigrams")
+K = np.uint64(0x9E3779B97F4A7C15)
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -79,6 +95,24 @@ def shard_bounds(sorted_keys: np.ndarray, shards: int) -> np.ndarray:
 # ---- chunks ----------------------------------------------------------------------------------------------------------
 
 
+def sorted_order(h: np.ndarray) -> np.ndarray:
+    """What argsort gives for 64-bit hashes, by sorting their high bits with the places in the low ones."""
+    bits = np.uint64(len(h).bit_length())
+    both = h >> bits << bits | np.arange(len(h), dtype=np.uint64)
+    both.sort()
+    order = (both & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
+    got = h[order]
+    return order if (got[1:] >= got[:-1]).all() else np.argsort(h, kind="stable")
+
+
+def ranked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of hashes, and each one's rank."""
+    order = sorted_order(h)
+    rank = np.empty(len(h), np.int64)
+    rank[order] = np.arange(len(h))
+    return order, rank
+
+
 class Chunk:
     """Token arrays of a chunk's texts: each token's text, its word, the word before it."""
 
@@ -95,50 +129,62 @@ class Chunk:
         self.text = np.concatenate(owners) if owners else np.zeros(0, np.int64)
         self.train = ~held[self.text]
         starts = np.concatenate(([True], self.text[1:] != self.text[:-1])) if len(tokens) else np.zeros(0, bool)
-        before = np.where(starts, START, np.concatenate((tokens[:1], tokens[:-1])))
-        self.words, place = np.unique(np.concatenate((tokens, before)), return_inverse=True)
-        self.word, self.context = place[: len(tokens)], place[len(tokens) :]
+        code, found = pd.factorize(tokens)
+        found = np.append(found.astype(np.uint64), START)
+        order, rank = ranked(found)
+        self.words, self.start_word = found[order], int(rank[-1])
+        self.word = rank[code]
+        self.context = np.where(starts, self.start_word, np.concatenate((self.word[:1], self.word[:-1])))
         self.train_texts = int((~held).sum())
-        key = mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens)
-        self.bigrams, at, self.bigram = np.unique(key, return_index=True, return_inverse=True)
-        self.of_word, self.of_context = self.word[at], self.context[at]
+        width = len(self.words)
+        code, found = pd.factorize(self.context * width + self.word)
+        key = mix(self.words[found // width] * K + self.words[found % width])
+        order, rank = ranked(key)
+        self.bigrams, self.bigram = key[order], rank[code]
+        self.of_context, self.of_word = found[order] // width, found[order] % width
         self.later = np.flatnonzero(~starts)  # tokens with two before them, the start context counted
-        key = mix(self.bigrams[self.bigram[self.later - 1]] * np.uint64(0x9E3779B97F4A7C15) + tokens[self.later])
-        self.trigrams, at, self.trigram = np.unique(key, return_index=True, return_inverse=True)
-        self.of_first, self.of_last = self.bigram[self.later - 1][at], self.bigram[self.later][at]  # a trigram's two bigrams
+        code, found = pd.factorize(self.bigram[self.later - 1] * width + self.word[self.later])
+        key = mix(self.bigrams[found // width] * K + self.words[found % width])
+        order, rank = ranked(key)
+        self.trigrams, self.trigram = key[order], rank[code]
+        # a trigram's two bigrams
+        self.of_first = found[order] // width
+        self.of_last = np.empty(len(self.trigrams), np.int64)
+        self.of_last[self.trigram] = self.bigram[self.later]
         self.first = np.flatnonzero(starts)
-        self.at_start = np.isin(np.arange(len(self.bigrams)), self.bigram[self.first])
+        self.at_start = np.zeros(len(self.bigrams), bool)
+        self.at_start[self.bigram[self.first]] = True
 
     def trigram_counts(self) -> np.ndarray:
-        return np.bincount(self.trigram, weights=self.train[self.later], minlength=len(self.trigrams)).astype(np.uint32)
+        return np.bincount(self.trigram, weights=self.train[self.later], minlength=len(self.trigrams)).astype(np.uint64)
 
     def bigram_stats(self, total: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         """count, left contexts, followers seen once, twice, more: this chunk's part of the sums over the corpus."""
         n, count, own = len(self.bigrams), self.bigram_counts(), first & (total > 0)
         left = np.where(self.at_start, count, np.bincount(self.of_last[own], minlength=n))
-        return [count, *(x.astype(np.uint32) for x in (left, *(np.bincount(self.of_first[own & which], minlength=n) for which in (total == 1, total == 2, total > 2))))]
+        return [count, *(x.astype(np.uint64) for x in (left, *(np.bincount(self.of_first[own & which], minlength=n) for which in (total == 1, total == 2, total > 2))))]
 
     def bigram_counts(self) -> np.ndarray:
-        return np.bincount(self.bigram, weights=self.train, minlength=len(self.bigrams)).astype(np.uint32)
+        return np.bincount(self.bigram, weights=self.train, minlength=len(self.bigrams)).astype(np.uint64)
 
     def word_stats(self, total: np.ndarray, first: np.ndarray, left: np.ndarray | None = None) -> list[np.ndarray]:
         """count, left contexts, followers seen once, twice, more; with the bigrams' left contexts also their sum, and followers
         with one, two, more: this chunk's part of the sums over the corpus."""
         n = len(self.words)
         count = np.bincount(self.word, weights=self.train, minlength=n)
-        count[np.searchsorted(self.words, START) if START in self.words else slice(0, 0)] += self.train_texts
+        count[self.start_word] += self.train_texts
         own = first & (total > 0)
         follow = lambda x: [np.bincount(self.of_context[own & which], minlength=n) for which in (x == 1, x == 2, x > 2)]
         got = [count, np.bincount(self.of_word[own], minlength=n), *follow(total)]
         if left is not None:
             got += [np.bincount(self.of_context[own], weights=left[own], minlength=n), *follow(left)]
-        return [x.astype(np.uint32) for x in got]
+        return [x.astype(np.uint64) for x in got]
 
 
 def write_chunks(df: DataFrame, key: str, text: str, held: Column, buckets: int) -> str:
     """A table of chunks, bucketed by chunk, and its name."""
     source = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), held.alias("held"))
-    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(df.schema[key].dataType)), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("held", T.ArrayType(T.BooleanType()))])
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("size", T.LongType()), T.StructField("ids", T.ArrayType(df.schema[key].dataType)), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("held", T.ArrayType(T.BooleanType()))])
 
     def run(batches):
         part, n = TaskContext.get().partitionId(), 0
@@ -151,13 +197,13 @@ def write_chunks(df: DataFrame, key: str, text: str, held: Column, buckets: int)
                     column.append(value)
                 size += len(row[1]) + 16
                 if size >= CHUNK_BYTES:
-                    yield of(part, n, rows, kind)
+                    yield of(part, n, size, rows, kind)
                     rows, size, n = ([], [], []), 0, n + 1
         if rows[0]:
-            yield of(part, n, rows, kind)
+            yield of(part, n, size, rows, kind)
 
-    def of(part, n, rows, kind):
-        return pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), pa.array([rows[0]], pa.list_(kind)), pa.array([rows[1]], pa.list_(pa.string())), pa.array([rows[2]], pa.list_(pa.bool_()))], names=["chunk", "ids", "texts", "held"])
+    def of(part, n, size, rows, kind):
+        return pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), pa.array([size], pa.int64()), pa.array([rows[0]], pa.list_(kind)), pa.array([rows[1]], pa.list_(pa.string())), pa.array([rows[2]], pa.list_(pa.bool_()))], names=["chunk", "size", "ids", "texts", "held"])
 
     name = f"ngram_chunks_{uuid.uuid4().hex}"
     source.mapInArrow(run, schema).write.option("compression", "zstd").bucketBy(buckets, "chunk").format("parquet").saveAsTable(name)
@@ -174,6 +220,65 @@ def rows_of(batches):
             yield {name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns)}
 
 
+# ---- the stored model ------------------------------------------------------------------------------------------------
+
+
+def write_shard(path: str, keys: np.ndarray, columns: list[np.ndarray], shards: int) -> None:
+    """A file of one shard's n-grams: sorted different hashes of its range, and each one's counts as the code of a row of a
+    table of the different rows. A hash is kept as its bucket (an index of where each begins) and the 32 bits after it."""
+    seen = np.any(columns, axis=0)  # n-grams of held-out texts alone aren't part of the model
+    x, columns = keys[seen] * np.uint64(shards), [c[seen] for c in columns]
+    bits = max(1, int(len(x) // 4).bit_length())
+    row = columns[0]
+    for column in columns[1:]:
+        row = mix(row * K + column)
+    code, _ = pd.factorize(row)
+    first = np.flatnonzero(~pd.Series(code).duplicated().to_numpy())
+    rows = np.stack([c[first] for c in columns], 1).astype(np.uint64).reshape(-1, len(columns))
+    kind = np.uint8 if len(rows) <= 1 << 8 else np.uint16 if len(rows) <= 1 << 16 else np.uint32
+    index = np.searchsorted(x >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
+    suffix = (x >> np.uint64(32 - bits)).astype(np.uint32)
+    header = np.array([len(x), bits, np.dtype(kind).itemsize, *rows.shape], np.int64)
+    write_bytes(path, b"".join(part.tobytes() for part in (header, rows, index, suffix, code.astype(kind))))
+
+
+class Shard:
+    """A shard's file, mapped in memory."""
+
+    def __init__(self, path: str, shards: int):
+        raw, at = read_bytes(path), 40
+        n, bits, size, n_rows, n_columns = (int(v) for v in np.frombuffer(raw, np.int64, 5))
+        self.shards, self.bits, self.n = np.uint64(shards), bits, n
+        parts = []
+        for kind, count in ((np.uint64, n_rows * n_columns), (np.uint32, (1 << bits) + 1), (np.uint32, n), ({1: np.uint8, 2: np.uint16, 4: np.uint32}[size], n)):
+            parts.append(np.frombuffer(raw, kind, count, at))
+            at += parts[-1].nbytes
+        self.rows, self.index, self.suffix, self.code = parts[0].reshape(n_rows, n_columns), *parts[1:]
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key of this shard's range is kept, or -1."""
+        x = keys * self.shards
+        bucket = (x >> np.uint64(64 - self.bits)).astype(np.int64)
+        suffix = (x >> np.uint64(32 - self.bits)).astype(np.uint32)
+        at, stop = self.index[bucket].astype(np.int64), self.index[bucket + 1].astype(np.int64)
+        out = np.full(len(keys), -1)
+        todo = np.flatnonzero(at < stop)
+        while len(todo):
+            same = self.suffix[at[todo]] == suffix[todo]
+            out[todo[same]] = at[todo[same]]
+            todo = todo[~same]
+            at[todo] += 1
+            todo = todo[at[todo] < stop[todo]]
+        return out
+
+    def counts(self, places: np.ndarray) -> list[np.ndarray]:
+        """The columns of counts at places; zeros for -1."""
+        if not self.n:
+            return [np.zeros(len(places), np.uint64) for _ in range(self.rows.shape[1])]
+        code = self.code[places]
+        return [np.where(places >= 0, column[code], np.uint64(0)) for column in self.rows.T]
+
+
 # ---- questions and answers -------------------------------------------------------------------------------------------
 
 ASK = "shard int, chunk long, keys binary, values array<binary>"
@@ -190,53 +295,75 @@ def ask(chunk: int, keys: np.ndarray, values: list[np.ndarray], shards: int):
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([s], [chunk], [packed_sorted(keys[a:b])], [[packed(v[a:b]) for v in values]]), ASK_ARROW)], schema=ASK_ARROW)
 
 
-def answers(asked: DataFrame, respond) -> DataFrame:
-    """Each shard's questions are merged by ``respond``; the answers are in the shared folder."""
+def shard_path(folder: str, level: str, shard: int) -> str:
+    return f"{folder}/{level}-{shard:06d}"
+
+
+def learned(asked: DataFrame, folder: str, level: str, shards: int, totals) -> DataFrame:
+    """Each shard's questions are summed and kept as its file of the model; the answers are looked up there, with a last column
+    that says which n-grams this chunk is the first to have in a training text. ``totals`` of the shard's sums go with one of the answers.
+    A task that runs again writes the same file."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["chunk"])
-        keys = [unpacked_sorted(r["keys"]) for r in rows]
-        values = [[unpacked(v, np.uint32) for v in r["values"]] for r in rows]
-        with tempfile.TemporaryDirectory() as folder:
-            path = os.path.join(folder, "keys")
-            np.unique(np.concatenate(keys)).tofile(path)
-            merged = np.memmap(path, np.uint64, "r")
-            places = [np.searchsorted(merged, k) for k in keys]
-            replies, totals = respond(len(merged), places, values)
-            del merged
-        out = [{"shard": r["shard"], "chunk": r["chunk"], "values": [packed(v) for v in reply], "totals": totals if k == 0 else None} for k, (r, reply) in enumerate(zip(rows, replies))]
+        group = group.sort_by("chunk")
+        number, keys, values = group["shard"][0].as_py(), group["keys"], group["values"]
+        merged = np.zeros(0, np.uint64)
+        held: list[np.ndarray] = []
+        for k in range(len(keys)):
+            held.append(unpacked_sorted(keys[k].as_py()))
+            if k + 1 == len(keys) or sum(map(len, held)) > max(1 << 20, len(merged)):
+                merged, held = np.unique(np.concatenate([merged, *held])), []
+        sums = np.zeros((len(values[0]), len(merged)), np.uint64)
+        first = np.full(len(merged), -1, np.int32)
+        for k in range(len(keys)):
+            at = np.searchsorted(merged, unpacked_sorted(keys[k].as_py()))
+            own = [unpacked(v) for v in values[k].as_py()]
+            for row, column in zip(sums, own):
+                row[at] += column
+            first[at[(own[0] > 0) & (first[at] < 0)]] = k
+        path = shard_path(folder, level, number)
+        write_shard(path, merged, list(sums), shards)
+        of_shard, first = totals(sums), first[np.any(sums, axis=0)]
+        del merged, sums
+        shard, out = Shard(path, shards), []
+        for k in range(len(keys)):
+            place = shard.places(unpacked_sorted(keys[k].as_py()))
+            mine = first[place] == k if len(first) else np.zeros(len(place), bool)
+            out.append({"shard": number, "chunk": group["chunk"][k].as_py(), "values": [*map(packed, shard.counts(place)), packed((mine & (place >= 0)).astype(np.uint8))], "totals": of_shard if k == 0 else None})
         return pa.Table.from_pylist(out, schema=ANSWER_ARROW)
 
-    return materialise(asked.groupBy("shard").applyInArrow(run, ANSWER), "ngram-answers")
+    return materialise(asked.groupBy("shard").applyInArrow(run, ANSWER), f"ngram-{level}")
 
 
-def count_ngrams(size: int, places: list[np.ndarray], values: list[list[np.ndarray]]):
-    total, first = np.zeros(size, np.uint32), np.full(size, -1, np.int32)
-    for n, (at, (count,)) in enumerate(zip(places, values)):
-        total[at] += count
-        new = at[(count > 0) & (first[at] < 0)]
-        first[new] = n
-    replies = [[total[at] << np.uint32(1) | (first[at] == n)] for n, at in enumerate(places)]
-    return replies, [int((total == k).sum()) for k in (1, 2, 3, 4)]
+def recalled(asked: DataFrame, folder: str, level: str, shards: int) -> DataFrame:
+    """Answers to questions without counts, looked up in the model's files."""
+
+    def run(batches):
+        shard, number = None, None
+        for batch in batches:
+            for s, chunk, keys in zip(*(batch.column(n).to_pylist() for n in ("shard", "chunk", "keys"))):
+                if s != number:
+                    shard, number = Shard(shard_path(folder, level, s), shards), s
+                values = [packed(c) for c in shard.counts(shard.places(unpacked_sorted(keys)))]
+                yield pa.RecordBatch.from_pylist([{"shard": s, "chunk": chunk, "values": values, "totals": None}], schema=ANSWER_ARROW)
 
+    return materialise(asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, ANSWER), f"ngram-{level}")
 
-def sum_bigrams(size: int, places: list[np.ndarray], values: list[list[np.ndarray]]):
-    replies, totals = count_ngrams(size, places, [columns[:1] for columns in values])
-    sums = np.zeros((4, size), np.uint32)
-    for at, columns in zip(places, values):
-        for row, column in zip(sums, columns[1:]):
-            row[at] += column
-    return [[*reply, *(row[at] for row in sums)] for reply, at in zip(replies, places)], totals + [int((sums[0] == k).sum()) for k in (1, 2, 3, 4)]
 
+def how_many(counts: np.ndarray) -> list[int]:
+    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
-def sum_words(size: int, places: list[np.ndarray], values: list[list[np.ndarray]]):
-    sums = np.zeros((max(map(len, values)), size), np.uint32)
-    for at, columns in zip(places, values):
-        for row, column in zip(sums, columns):
-            row[at] += column
-    count, left = sums[0].astype(np.int64), sums[1].astype(np.int64)
-    totals = [int((count > 0).sum()), int(count.sum()), int(left.sum()), *(int((left == k).sum()) for k in (1, 2, 3, 4)), int((left > 2).sum())]
-    return [[row[at] for row in sums] for at in places], totals
+
+def trigram_totals(sums: np.ndarray) -> list[int]:
+    return how_many(sums[0])
+
+
+def bigram_totals(sums: np.ndarray) -> list[int]:
+    return how_many(sums[0]) + (how_many(sums[1]) if len(sums) > 1 else [0] * 4)
+
+
+def word_totals(sums: np.ndarray) -> list[int]:
+    return [int((sums[0] > 0).sum()), int(sums[0].sum()), int(sums[1].sum()), *how_many(sums[1]), int((sums[1] > 2).sum())]
 
 
 def gathered(chunks: DataFrame, replies: DataFrame, name: str) -> DataFrame:
@@ -245,8 +372,16 @@ def gathered(chunks: DataFrame, replies: DataFrame, name: str) -> DataFrame:
     return chunks.join(own, "chunk", "left")
 
 
-def joined(parts: list[dict], column: int) -> np.ndarray:
-    return np.concatenate([unpacked(p["values"][column], np.uint32) for p in parts]) if parts else np.zeros(0, np.uint32)
+def joined(parts: list[dict] | None, column: int, kind=np.uint64) -> np.ndarray:
+    """A column of a chunk's answers, all shards' in a row; -1 is the mark of first occurrence."""
+    return np.concatenate([unpacked(p["values"][column], kind) for p in parts]) if parts else np.zeros(0, kind)
+
+
+def firsts(parts: list[dict] | None) -> np.ndarray:
+    return joined(parts, -1, np.uint8).astype(bool)
+
+
+# ---- learning --------------------------------------------------------------------------------------------------------
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -258,6 +393,73 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.array(out)
 
 
+@dataclass(frozen=True)
+class Model:
+    """What is known of the corpus besides the shards' files."""
+
+    folder: str
+    order: int
+    shards: int
+    tokens: int  # of training texts, ends counted
+    vocabulary: int
+    types: int  # different bigrams
+    words: tuple[int, ...]  # how many words have one to four left contexts, and more than two
+    bigrams: tuple[int, ...]  # how many bigrams occur once to four times; then how many have one to four left contexts
+    trigrams: tuple[int, ...]
+
+    def logs(self, c: Chunk, count1: list[np.ndarray], count2: list[np.ndarray], count3: np.ndarray | None) -> dict[int, np.ndarray]:
+        """log10 probability of each token by the models of each order, from the counts of the chunk's n-grams."""
+        d1, spare = discounts(list(self.words[:4])), 1.0
+        if self.types:
+            spare = (d1[1] * self.words[0] + d1[2] * self.words[1] + d1[3] * self.words[4]) / self.types
+        number = lambda columns: [x.astype(np.float64) for x in columns]
+        count1, pairs = number(count1), count2[0].astype(np.int64)
+        count, left = count1[:2]
+        p1 = np.maximum(left - d1[np.minimum(left, 3).astype(int)], 0) / max(self.types, 1) + spare / (self.vocabulary + 1)
+        out = {2: np.log10(interpolated(pairs, discounts(list(self.bigrams[:4])), count, count1[2:5], c.of_context, p1[c.of_word]))[c.bigram]}
+        if self.order == 3:
+            left2, *followers = (x.astype(np.int64) for x in count2[1:5])
+            lower = interpolated(left2, discounts(list(self.bigrams[4:])), count1[5], count1[6:9], c.of_context, p1[c.of_word])
+            whole = np.log10(interpolated(count3.astype(np.int64), discounts(list(self.trigrams)), pairs, followers, c.of_first, lower[c.of_last]))
+            out[3] = np.log10(lower)[c.bigram]
+            out[3][c.later] = whole[c.trigram]
+        return out
+
+    def rows(self, chunk: dict, count1: list[np.ndarray], count2: list[np.ndarray], count3: np.ndarray | None, c: Chunk, id_type: pa.DataType) -> pa.RecordBatch:
+        """Scores of a chunk's texts."""
+        n, count = len(chunk["ids"]), count1[0].astype(np.float64)
+        sums = lambda x: np.bincount(c.text, weights=x, minlength=n)
+        n_tokens = np.bincount(c.text, minlength=n)
+        base = np.log10((count + 1) / (self.tokens + self.vocabulary + 1))
+        scores = {order: sums(x) for order, x in self.logs(c, count1, count2, count3).items()}
+        perplexity = lambda x: pa.array(10 ** (-x / n_tokens))
+        arrays = [
+            pa.array(chunk["ids"], id_type), pa.array(chunk["held"], pa.bool_()), pa.array(n_tokens, pa.int64()), pa.array(sums((count > 0)[c.word]).astype(np.int64)), pa.array(np.full(n, self.tokens, np.int64)),
+            pa.array(sums(base[c.word])), pa.array(scores[self.order]), perplexity(scores[self.order]),
+        ]
+        for order in sorted(scores):
+            arrays += [pa.array(scores[order]), perplexity(scores[order])]
+        return pa.RecordBatch.from_arrays(arrays, names=score_names(self.order))
+
+    def save(self) -> None:
+        write_bytes(f"{self.folder}/model.json", json.dumps(asdict(self)).encode())
+
+    @staticmethod
+    def load(folder: str) -> Model:
+        got = json.loads(bytes(read_bytes(f"{folder}/model.json")))
+        return Model(**{k: tuple(v) if isinstance(v, list) else v for k, v in got.items()} | {"folder": folder})
+
+
+def score_names(order: int) -> list[str]:
+    own = [f"{name}_{x}" for name in ("bigram", "trigram")[: order - 1] for x in ("score", "perplexity")]
+    return ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity", *own]
+
+
+def score_schema(key: T.StructField, order: int) -> T.StructType:
+    kinds = [T.BooleanType(), *[T.LongType()] * 3, *[T.DoubleType()] * (2 * order + 1)]
+    return T.StructType([key, *(T.StructField(n, k) for n, k in zip(score_names(order)[1:], kinds))])
+
+
 def interpolated(count: np.ndarray, d: np.ndarray, context: np.ndarray, followers: list[np.ndarray], at: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """Probabilities of n-grams: their counts; counts and followers of contexts, the place of each one's there; the lower order's."""
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -266,16 +468,43 @@ def interpolated(count: np.ndarray, d: np.ndarray, context: np.ndarray, follower
     return seen + back[at] * lower
 
 
-def score(df: DataFrame, held: Column, key: str = "doc_id", text: str = "text", order: int = 3) -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity (of the bigram model) for every row, and with
-    order 3 trigram_score and trigram_perplexity; rows that ``held`` marks aren't learned from."""
+class Corpus:
+    """A table cut in chunks, and what is to be deleted once it is scored."""
+
+    def __init__(self, df: DataFrame, held: Column, key: str, text: str):
+        self.spark, self.field = df.sparkSession, df.schema[key]
+        self.table = write_chunks(df, key, text, F.coalesce(held, F.lit(False)), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        self.chunks = self.spark.table(self.table)
+        self.texts = self.chunks.select("chunk", "texts", "held")
+        self.kept: list[DataFrame] = []
+
+    def shards(self) -> int:
+        size = self.chunks.agg(F.sum("size")).first()[0] or 0
+        return max(self.spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
+
+    def keep(self, answers: DataFrame) -> DataFrame:
+        self.kept.append(answers)
+        return answers
+
+    def finished(self, scores: DataFrame) -> DataFrame:
+        """The scores, written; what led to them is deleted."""
+        out = materialise(scores, "ngram-scores")
+        self.clear()
+        return out
+
+    def clear(self) -> None:
+        for answers in self.kept:
+            delete(answers)
+        self.spark.sql(f"drop table if exists {self.table}")
+
+
+def fit(corpus: Corpus, order: int, folder: str | None) -> tuple[Model, dict[str, DataFrame]]:
+    """The model of a corpus, its files in ``folder`` (a fresh one in the shared folder by default), and the answers that its
+    chunks got by the way."""
     if order not in (2, 3):
         raise ValueError("models have order 2 or 3")
-    spark = df.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = spark.table(write_chunks(df, key, text, held, shards))
-    trigrams, known = None, chunks.select("chunk", "texts", "held")
-    counted = lambda reply: (reply >> 1, (reply & 1).astype(bool))
+    spark, shards, known, replies = corpus.spark, corpus.shards(), corpus.texts, {}
+    folder = folder or f"{shared_dir(spark)}/ngram-model-{uuid.uuid4().hex}"
 
     if order == 3:
 
@@ -284,69 +513,93 @@ def score(df: DataFrame, held: Column, key: str = "doc_id", text: str = "text",
                 c = chunk_of(row)
                 yield from ask(row["chunk"], c.trigrams, [c.trigram_counts()], shards)
 
-        trigrams = answers(known.mapInArrow(ask_trigrams, ASK), count_ngrams)
-        known = gathered(known, trigrams, "trigrams")
+        replies["trigrams"] = corpus.keep(learned(known.mapInArrow(ask_trigrams, ASK), folder, "trigrams", shards, trigram_totals))
+        known = gathered(known, replies["trigrams"], "trigrams")
 
     def ask_bigrams(batches):
         for row in rows_of(batches):
             c = chunk_of(row)
-            stats = c.bigram_stats(*counted(joined(row["trigrams"] or [], 0))) if order == 3 else [c.bigram_counts()]
+            stats = c.bigram_stats(joined(row["trigrams"], 0), firsts(row["trigrams"])) if order == 3 else [c.bigram_counts()]
             yield from ask(row["chunk"], c.bigrams, stats, shards)
 
-    bigrams = answers(known.mapInArrow(ask_bigrams, ASK), sum_bigrams if order == 3 else count_ngrams)
+    replies["bigrams"] = corpus.keep(learned(known.mapInArrow(ask_bigrams, ASK), folder, "bigrams", shards, bigram_totals))
 
     def ask_words(batches):
         for row in rows_of(batches):
             c = chunk_of(row)
             left = joined(row["bigrams"], 1) if order == 3 else None
-            yield from ask(row["chunk"], c.words, c.word_stats(*counted(joined(row["bigrams"], 0)), left), shards)
+            yield from ask(row["chunk"], c.words, c.word_stats(joined(row["bigrams"], 0), firsts(row["bigrams"]), left), shards)
+
+    replies["words"] = corpus.keep(learned(gathered(corpus.texts, replies["bigrams"], "bigrams").mapInArrow(ask_words, ASK), folder, "words", shards, word_totals))
+
+    def totals(level: str, n: int) -> tuple[int, ...]:
+        row = replies[level].agg(*(F.sum(F.element_at("totals", k + 1)).alias(f"t{k}") for k in range(n))).first()
+        return tuple(int(x or 0) for x in row)
 
-    word_sums = answers(gathered(chunks.select("chunk", "texts", "held"), bigrams, "bigrams").mapInArrow(ask_words, ASK), sum_words)
+    vocabulary, tokens, types, *left_counts = totals("words", 8)
+    trained = corpus.chunks.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
+    # the start context is no token
+    model = Model(folder, order, shards, tokens - trained, vocabulary - bool(trained), types, tuple(left_counts), totals("bigrams", 8), totals("trigrams", 4) if order == 3 else ())
+    model.save()
+    return model, replies
 
-    def totals(replies: DataFrame, n: int) -> list[int]:
-        row = replies.agg(*(F.sum(F.element_at("totals", k + 1)).alias(f"t{k}") for k in range(n))).first()
-        return [int(x or 0) for x in row]
 
-    d2, d2_left = (discounts((found := totals(bigrams, 8 if order == 3 else 4))[:4]), discounts(found[4:] or [0] * 4))
-    d3 = discounts(totals(trigrams, 4)) if order == 3 else None
-    vocabulary, tokens, types, *left_counts, left_more = totals(word_sums, 8)
-    train_texts = df.where(~held).count()
-    vocabulary, tokens = vocabulary - bool(train_texts), tokens - train_texts  # the start context is no token
-    d1 = discounts(left_counts)
-    spare = (d1[1] * left_counts[0] + d1[2] * left_counts[1] + d1[3] * left_more) / types if types else 1.0
+def train(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", order: int = ORDER) -> Model:
+    """A model of all rows of df, kept in ``folder`` for ``score_with``."""
+    corpus = Corpus(df, F.lit(False), key, text)
+    model, _ = fit(corpus, order, folder)
+    corpus.clear()
+    return model
+
+
+def score_with(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """What ``score`` gives, for texts that the model needn't have seen; every row counts as held out."""
+    corpus = Corpus(df, F.lit(True), key, text)
+    out, all_of = corpus.chunks, {"words": 9 if model.order == 3 else 5, "bigrams": 5 if model.order == 3 else 1, "trigrams": 1}
+    levels = LEVELS[: model.order]
+    for level in levels:
+
+        def questions(batches, level=level):
+            for row in rows_of(batches):
+                yield from ask(row["chunk"], getattr(chunk_of(row), level), [], model.shards)
+
+        out = gathered(out, corpus.keep(recalled(corpus.texts.mapInArrow(questions, ASK), model.folder, level, model.shards)), level)
 
     def finish(batches):
         for row in rows_of(batches):
-            c = chunk_of(row)
-            count2 = (joined(row["bigrams"], 0) >> 1).astype(np.int64)
-            words = [joined(row["words"], k).astype(np.float64) for k in range(9 if order == 3 else 5)]
-            count, left = words[:2]
-            p1 = np.maximum(left - d1[np.minimum(left, 3).astype(int)], 0) / max(types, 1) + spare / (vocabulary + 1)
-            logs = np.log10(interpolated(count2, d2, count, words[2:5], c.of_context, p1[c.of_word]))
-            base = np.log10((count + 1) / (tokens + vocabulary + 1))
-            n = len(row["ids"])
-            sums = lambda x, n=n, c=c: np.bincount(c.text, weights=x, minlength=n)
-            n_tokens = np.bincount(c.text, minlength=n)
-            scores = sums(logs[c.bigram])
-            more = []
-            if order == 3:
-                left2, *followers = (joined(row["bigrams"], k).astype(np.int64) for k in range(1, 5))
-                lower = interpolated(left2, d2_left, words[5], words[6:9], c.of_context, p1[c.of_word])
-                count3 = (joined(row["trigrams"] or [], 0) >> 1).astype(np.int64)
-                logs3 = np.log10(interpolated(count3, d3, count2, followers, c.of_first, lower[c.of_last]))
-                own = np.empty(len(c.text))
-                own[c.first], own[c.later] = np.log10(lower)[c.bigram[c.first]], logs3[c.trigram]
-                more = [own := sums(own), 10 ** (-own / n_tokens)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(row["ids"], id_type), pa.array(row["held"], pa.bool_()), pa.array(n_tokens, pa.int64()), pa.array(sums((count > 0)[c.word]).astype(np.int64)),
-                pa.array(np.full(n, tokens, np.int64)), pa.array(sums(base[c.word])), pa.array(scores), pa.array(10 ** (-scores / n_tokens)), *map(pa.array, more),
-            ], names=out.names)
-
-    id_type = to_arrow_type(df.schema[key].dataType)
-    out = T.StructType([df.schema[key], T.StructField("held_out", T.BooleanType()), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(x, T.DoubleType()) for x in ("base_score", "score", "perplexity", *(["trigram_score", "trigram_perplexity"] if order == 3 else [])))])
-    asked = gathered(gathered(chunks, bigrams, "bigrams"), word_sums, "words")
-    return (gathered(asked, trigrams, "trigrams") if order == 3 else asked).mapInArrow(finish, out)
-
-
-def op6_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
+            got = {level: [joined(row[level], k) for k in range(all_of[level])] for level in levels}
+            yield renamed(model.rows(row, got["words"], got["bigrams"], got["trigrams"][0] if model.order == 3 else None, chunk_of(row), id_type), schema)
+
+    id_type, schema = to_arrow_type(corpus.field.dataType), score_schema(corpus.field, model.order)
+    return corpus.finished(out.mapInArrow(finish, schema))
+
+
+def renamed(batch: pa.RecordBatch, schema: T.StructType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(batch.columns, names=schema.names)
+
+
+def score(df: DataFrame, held: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, folder: str | None = None) -> DataFrame:
+    """key, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity (of the model of the order) for every row, and
+    score and perplexity of each order from 2; rows that ``held`` marks aren't learned from. With ``folder`` the model stays
+    there; else it is deleted with the rest."""
+    corpus = Corpus(df, held, key, text)
+    model, replies = fit(corpus, order, folder)
+
+    def finish(batches):
+        for row in rows_of(batches):
+            count1, count2 = ([joined(row[level], k) for k in range(n)] for level, n in (("words", 9 if order == 3 else 5), ("bigrams", 5 if order == 3 else 1)))
+            yield renamed(model.rows(row, count1, count2, joined(row["trigrams"], 0) if order == 3 else None, chunk_of(row), id_type), schema)
+
+    id_type, schema = to_arrow_type(corpus.field.dataType), score_schema(corpus.field, order)
+    asked = corpus.chunks
+    for level in LEVELS[:order]:
+        asked = gathered(asked, replies[level], level)
+    out = corpus.finished(asked.mapInArrow(finish, schema))
+    if not folder:
+        delete(corpus.spark, model.folder)
+    return out
+
+
+def op6_ngrams(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
+    """The query; it is registered with the order ``ORDER``."""
+    return score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2, order=order)

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from .decontaminate import op1_decontaminate
 from .html_text import op9_html
 from .language import op3_language
 from .licenses import op2_licenses
 from .media_gif import op5_media
-from .ngrams import op6_ngrams
+from .ngrams import ORDER, op6_ngrams
 from .packing import op10_packing
 from .secrets import op8_secrets
 from .simhash import op4_simhash
 from .toxicity import op7_toxicity
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_licenses": op2_licenses, "op3_language": op3_language, "op4_simhash": op4_simhash, "op5_media": op5_media, "op6_ngrams": op6_ngrams, "op7_toxicity": op7_toxicity, "op8_secrets": op8_secrets, "op9_html": op9_html, "op10_packing": op10_packing}
+
+def trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_ngrams(spark, sf_dir, ORDER)
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_licenses": op2_licenses, "op3_language": op3_language, "op4_simhash": op4_simhash, "op5_media": op5_media, "op6_ngrams": trigrams, "op7_toxicity": op7_toxicity, "op8_secrets": op8_secrets, "op9_html": op9_html, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
