@@ -1,17 +1,16 @@
 """Best-fit packing of tokenised documents into sequences, bulk-synchronous.
 
 ``pieces``  tokenises every whole text (an Arrow map) and cuts what is longer than a sequence.
-``sweep``   matches sizes with gaps. Documents and gaps stay range-sorted; as sizes are integers up to the sequence length,
-            a sorted list of any number of them is a list of runs, at most one for each size (documents) and for each gap
-            opened (gaps). A superstep takes the largest size left, sends its run to the successor gap (the least that
-            holds it), settles who gets which gap by rank in the two runs, puts the shrunken gaps back in order and goes
-            on. It works on run lengths alone, which don't grow with the documents, and yields moves: "ranks r.. of size
-            s go to sequences q.. at offset o".
-``place``   gives every piece its rank within its size, on all executors (sizes are split in hash buckets, so a size that
-            a third of all pieces share is dealt out too), and looks its move up in the broadcast moves.
-
-The result is best-fit decreasing. Shuffles: 40 bytes for each piece, once. The moves are bounded by gap classes times
-sizes (``MOST_MOVES``), and checked.
+``place``   supersteps over blocks. A block is a piece at first. Blocks are dealt by hash into lanes of about ``LANE`` blocks,
+            so every lane has its even share of each size and a size that a third of all pieces have is split among all lanes. In a
+            lane, blocks and gaps are range-sorted and swept: the largest size left goes to its successor gap (the least
+            that holds it), who gets which gap is settled by rank, shrunken gaps go back in order (``sweep``, which works on
+            runs of equal sizes and gaps). What a lane leaves at most half full (one sequence at most, else best fit
+            had joined two) is a block of the next superstep, which has fewer lanes by ``LANE``; the last one has a single lane.
+
+Within a lane the result is best-fit decreasing, and lanes share what they leave open; so at most one sequence more than half empty
+is left of all. Every lane is a task's work with ``LANE`` blocks at most about; nothing is collected or broadcast by the operator. Shuffles:
+24 bytes for each piece to its lane and to its place. Sweeping one global sort would need a superstep for each size.
 
 Defined cases: a null text is empty and packs as its end token; a null id is an id; repeated rows are pieces of their own;
 an empty table gives no pieces; other columns aren't read.
@@ -29,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import batches_of, materialise, table
 
 LENGTH = 1024
 END = 2
-MOST_MOVES = LENGTH * LENGTH // 2
+#: Blocks of a lane, about.
+LANE = 1 << 16
 SPECIAL = "<|endoftext|>"
 LONG_WORD = 4096
 
@@ -151,30 +150,78 @@ def sweep(runs: dict[int, int], length: int = LENGTH) -> tuple[list[tuple[int, i
     return moves, opened
 
 
-def place(parts: DataFrame, key: str = "doc_id", length: int = LENGTH) -> DataFrame:
-    """parts (columns of ``pieces``, already in the shared folder) with sequence_id and offset."""
-    spark = parts.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = parts.withColumn("_bucket", F.pmod(F.xxhash64(key, "piece"), F.lit(buckets)))
-    sizes = materialise(dealt.groupBy("length", "_bucket").agg(F.count("*").alias("n")), "sizes")
-    runs = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``length`` rows
-    moves, opened = sweep(runs, length)
-    if len(moves) > MOST_MOVES:
-        raise ValueError(f"{len(moves)} moves; the bound is {MOST_MOVES}")
-    plan = spark.createDataFrame(moves, "length long, first_rank long, n long, first_sequence long, offset long")
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    bases = sizes.select("length", "_bucket", F.coalesce(before, F.lit(0)).alias("_base"))
-    row = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(key, "piece"))
-    ranked = dealt.withColumn("_row", row).join(bases, ["length", "_bucket"]).withColumn("_rank", F.col("_base") + F.col("_row") - 1)
-    on = (ranked["length"] == plan["length"]) & (ranked["_rank"] >= plan["first_rank"]) & (ranked["_rank"] < plan["first_rank"] + plan["n"])
-    return ranked.join(F.broadcast(plan), on).select(
-        key, "piece", "start", ranked["length"], "ids_crc32", (F.col("first_sequence") + F.col("_rank") - F.col("first_rank")).alias("sequence_id"), "offset"
-    )
-
-
-def pack(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END, tokenizer: str | None = None) -> DataFrame:
+def fill_lane(blocks: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequence, offset and the sequence's fill of each block of a lane, by a sweep. A sequence is named by its first block."""
+    order = np.lexsort((blocks, sizes))
+    blocks, sizes = blocks[order], sizes[order]
+    kinds, begin, n = np.unique(sizes, return_index=True, return_counts=True)
+    at = dict(zip(kinds.tolist(), begin.tolist()))
+    moves, opened = sweep(dict(zip(kinds.tolist(), n.tolist())), length)
+    number, offset, fill = np.empty(len(blocks), np.int64), np.empty(len(blocks), np.int64), np.zeros(opened, np.int64)
+    for size, rank, count, first, place in moves:
+        k = at[size] + rank
+        number[k : k + count], offset[k : k + count] = np.arange(first, first + count), place
+        fill[first : first + count] += size
+    name = np.empty(opened, np.int64)
+    name[number[offset == 0]] = blocks[offset == 0]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return name[number][back], offset[back], fill[number][back]
+
+
+def superstep(blocks: DataFrame, lanes: int, length: int = LENGTH) -> DataFrame:
+    """block, sequence_id, offset and fill for blocks (block, size), each lane swept by itself; in the shared folder."""
+    names = ("block", "sequence_id", "offset", "fill")
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        lane = None
+
+        def swept():
+            ids, sizes = (np.concatenate(c) for c in zip(*held))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, *fill_lane(ids, sizes, length))], names=names)
+
+        for batch in batches:
+            lanes_of, ids, sizes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cuts = [0, *(np.flatnonzero(lanes_of[1:] != lanes_of[:-1]) + 1).tolist(), len(ids)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and lanes_of[a] != lane:
+                    yield from swept()
+                    held = []
+                lane = lanes_of[a]
+                held.append([ids[a:b], sizes[a:b]])
+        if held:
+            yield from swept()
+
+    dealt = blocks.select(F.pmod(F.xxhash64("block", F.lit(lanes)), F.lit(lanes)).alias("lane"), "block", "size")
+    return materialise(dealt.repartition("lane").sortWithinPartitions("lane").mapInArrow(run, "block long, sequence_id long, offset long, fill long"), "placed")
+
+
+def place(parts: DataFrame, key: str = "doc_id", length: int = LENGTH, lane: int = LANE) -> DataFrame:
+    """parts (columns of ``pieces`` and ``_block``, a number of each row's own, already in the shared folder) with sequence_id and offset."""
+    blocks = parts.select(F.col("_block").alias("block"), F.col("length").alias("size"))
+    n, placed = parts.count(), None
+    while True:
+        lanes = max(1, -(-n // lane))
+        step = superstep(blocks, lanes, length)
+        if placed is None:
+            placed = step
+        else:  # what moved as a block: at most one sequence a lane of the step before
+            moved = step.select(F.col("block").alias("sequence_id"), F.col("sequence_id").alias("_into"), F.col("offset").alias("_by"))
+            placed = placed.join(moved, "sequence_id", "left").select("block", F.coalesce("_into", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("_by", F.lit(0))).alias("offset"))
+        if lanes == 1:
+            break
+        blocks = materialise(step.where((F.col("offset") == 0) & (F.col("fill") * 2 <= length)).select(F.col("sequence_id").alias("block"), F.col("fill").alias("size")), "open")
+        n = blocks.count()
+    where = placed.select(F.col("block").alias("_block"), "sequence_id", "offset")
+    return parts.join(where, "_block").select(key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def pack(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END, tokenizer: str | None = None, lane: int = LANE) -> DataFrame:
     """Every piece of every document with its sequence and place there."""
-    return place(materialise(pieces(df, key, text, length, end, tokenizer), "pieces"), key, length)
+    return place(materialise(pieces(df, key, text, length, end, tokenizer).withColumn("_block", F.monotonically_increasing_id()), "pieces"), key, length, lane)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
