@@ -42,6 +42,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df doesn't have (names are the same in either case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def delete(what: DataFrame | SparkSession, path: str | None = None) -> None:
     """Delete a folder of the shared one: by its path, or the one that a frame of ``materialise`` reads (nothing may read it later)."""
     spark = what.sparkSession if isinstance(what, DataFrame) else what
