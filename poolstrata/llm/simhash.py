@@ -5,7 +5,9 @@
    fingerprints at most 4 bits apart are at most 2 apart in one of them. Both sides enter the table under every value
    within 1 bit of each segment (33 values a segment), so such a pair meets under some value: a ball of radius 2 by two
    small balls. What meets is verified on all 64 bits. Under one value, a search from fingerprint to fingerprint gives
-   a spanning forest and not the pairs, so a group of g fingerprints yields less than g links.
+   a spanning forest and not the pairs, so a group of g fingerprints yields less than g links. A value that more than
+   ``HOT`` fingerprints share is dealt out again: its members enter under the value and each neighbour of the two 16-bit
+   halves of their other segment (in one of these, too, a pair differs by 2 bits at most), so no task meets them all at once.
 3. ``components`` of the links, and the least id in each.
 
 Shuffles: fingerprints' table entries (66 for each distinct fingerprint, 16 bytes each), links, ids. Texts don't move.
@@ -24,13 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, table
+from .common import fresh, materialise, table
 from .components import connected_components
 
 SHINGLE = 4
 SEED = 42
 MOST_BITS = 4
 HALF = 32
+#: Members of a value that one task compares; a value with more is split.
+HOT = 4096
 
 
 def simhash(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int:
@@ -95,7 +99,24 @@ def forest(fps: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]:
     return out
 
 
-def links(distinct: DataFrame, fp: str = "fp", most: int = MOST_BITS, partitions: int | None = None) -> DataFrame:
+def split_entries(values: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries (value, part, fingerprint) of a value's members by the halves of their other segment, and these at one bit."""
+    flips = np.concatenate(([0], np.left_shift(np.int64(1), np.arange(HALF // 2, dtype=np.int64))))
+    other = np.where(values >> HALF & 1, fps, fps >> HALF) & 0xFFFFFFFF  # a value of the high segment has bit 32
+    low, high = other & 0xFFFF, other >> 16
+    parts = np.stack([low[:, None] ^ flips, (high[:, None] ^ flips) | 1 << 16], axis=1).reshape(len(fps), -1)
+    n = parts.shape[1]
+    return np.repeat(values, n), parts.reshape(-1), np.repeat(fps, n)
+
+
+def linked(groups_of: list[np.ndarray], most: int) -> list[tuple[int, int]]:
+    pairs: set[tuple[int, int]] = set()
+    for fps in groups_of:
+        pairs.update(forest(fps, most))
+    return list(pairs)
+
+
+def links(distinct: DataFrame, fp: str = "fp", most: int = MOST_BITS, partitions: int | None = None, hot: int = HOT) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of distinct fingerprints at most ``most`` (4 or less) bits apart."""
     if most > MOST_BITS:
         raise ValueError("two segments with balls of radius 1 on either side find pairs up to 4 bits apart")
@@ -108,8 +129,18 @@ def links(distinct: DataFrame, fp: str = "fp", most: int = MOST_BITS, partitions
                 values, fps = ball_entries(all_fps[k : k + 2048])
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(fps)], names=["value", "fp"])
 
+    def found(pairs):
+        if pairs:
+            x, y = zip(*pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64())], names=["a", "b", "value", "part"])
+
+    def again(value, fps):
+        for k in range(0, len(fps), 2048):
+            values, parts, members = split_entries(np.full(len(fps[k : k + 2048]), value, np.int64), fps[k : k + 2048])
+            yield pa.RecordBatch.from_arrays([pa.array(members), pa.nulls(len(members), pa.int64()), pa.array(values), pa.array(parts)], names=["a", "b", "value", "part"])
+
     def meet(batches):
-        held_v, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held_v, held_f, splitting = np.zeros(0, np.int64), np.zeros(0, np.int64), None
         for batch in _then_none(batches):
             if batch is not None:
                 held_v = np.concatenate((held_v, batch.column(0).to_numpy(zero_copy_only=False)))
@@ -117,26 +148,46 @@ def links(distinct: DataFrame, fp: str = "fp", most: int = MOST_BITS, partitions
             if not len(held_v):
                 continue
             cut = np.flatnonzero(held_v[1:] != held_v[:-1]) + 1  # values come sorted: runs are groups
-            if batch is not None and not len(cut):
-                continue
-            last = len(held_v) if batch is None else int(cut[-1])  # the last run may go on in the next batch
-            starts = np.concatenate(([0], cut[cut < last]))
-            sizes = np.diff(np.concatenate((starts, [last])))
-            twos = starts[sizes == 2]
+            starts = np.concatenate(([0], cut))
+            sizes = np.diff(np.concatenate((starts, [len(held_v)])))
+            last = len(starts) if batch is None else len(starts) - 1  # the last run may go on in the next batch
+            done, pairs = held_v[starts[:last]], []
+            twos = starts[:last][(sizes[:last] == 2) & (done != splitting if splitting is not None else True)]
             a, b = held_f[twos], held_f[twos + 1]
             close = differing(a, b) <= most
             pairs = list(zip(np.maximum(a, b)[close].tolist(), np.minimum(a, b)[close].tolist()))
-            for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                pairs += forest(held_f[s : s + n], most)
-            pairs = list(set(pairs))
-            if pairs:
-                x, y = zip(*pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
-            held_v, held_f = held_v[last:], held_f[last:]
+            for k in range(len(starts)):
+                s, n = int(starts[k]), int(sizes[k])
+                value = int(held_v[s])
+                if n > hot or value == splitting:  # split it, and what follows of it in later batches
+                    splitting = value
+                    yield from again(value, held_f[s : s + n])
+                elif k < last and n > 2:
+                    pairs += forest(held_f[s : s + n], most)
+            yield from found(list(set(pairs)))
+            if batch is None or int(held_v[starts[-1]]) == splitting:
+                last = len(starts)
+            rest = int(starts[last]) if last < len(starts) else len(held_v)
+            held_v, held_f = held_v[rest:], held_f[rest:]
+
+    def meet_parts(batches):
+        held = np.zeros((3, 0), np.int64)
+        for batch in _then_none(batches):
+            if batch is not None:
+                held = np.concatenate((held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])), 1)
+            if not held.shape[1]:
+                continue
+            starts = np.concatenate(([0], np.flatnonzero((held[:2, 1:] != held[:2, :-1]).any(0)) + 1, [held.shape[1]]))
+            last = len(starts) - 1 if batch is None else len(starts) - 2
+            yield from found(linked([held[2, a:b] for a, b in zip(starts[:last], starts[1:]) if b - a > 1], most))
+            held = held[:, starts[last] :]
 
     entries = distinct.select(fp).mapInArrow(enter, "value long, fp long")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return entries.repartition(n, "value").sortWithinPartitions("value").mapInArrow(meet, "a long, b long").distinct()
+    met = materialise(entries.repartition(n, "value").sortWithinPartitions("value").mapInArrow(meet, "a long, b long, value long, part long"), "met")
+    split = met.where("b is null").select("value", "part", F.col("a").alias("fp"))
+    more = split.repartition(n, "value", "part").sortWithinPartitions("value", "part").mapInArrow(meet_parts, "a long, b long, value long, part long")
+    return met.where("b is not null").select("a", "b").unionByName(more.select("a", "b")).distinct()
 
 
 def _then_none(batches):
@@ -144,49 +195,46 @@ def _then_none(batches):
     yield None
 
 
-def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, most: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
-    """Rows (_id and fp, for every row of df), and for every different fp: component_id (the least key that links lead to) and
-    first_fp (the fingerprint that has this key; the least one if several of the component do)."""
-    rows = materialise(fingerprints(df, key, text, words).withColumnRenamed(key, "_id"), "fingerprints")
-    distinct = materialise(rows.groupBy("fp").agg(F.min("_id").alias("least")), "distinct-fingerprints")
+def components_of(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """fp, component_id and first_fp from distinct (fp, least: what names a row, nulls last): the least name that links lead to,
+    and the fingerprint that has it."""
     joined = materialise(connected_components(links(distinct, most=most)), "components")
     members = materialise(joined.join(distinct, joined["node"] == distinct["fp"]).select("fp", "component", "least"), "members")
     first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("component_id"), F.col("fp").alias("first_fp"))).alias("first")
     best = materialise(members.groupBy("component").agg(first).select("component", "first.component_id", "first.first_fp"), "best")
     linked = materialise(members.join(best, "component").select("fp", "component_id", "first_fp"), "linked")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("first_fp", "fp").alias("first_fp"))
-    return rows, materialise(named, "named")
+    return materialise(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("first_fp", "fp").alias("first_fp")), "named")
 
 
 def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
     """key, fp and component_id (the least key that links lead to) for every row of df."""
-    rows, named = groups(df, key, text, words, most)
+    rows = materialise(fingerprints(df, key, text, words).withColumnRenamed(key, "_id"), "fingerprints")
+    named = components_of(materialise(rows.groupBy("fp").agg(F.min("_id").alias("least")), "distinct-fingerprints"), most)
     return rows.join(named, "fp").select(F.col("_id").alias(key), "fp", "component_id")
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str, name: str, words: int = SHINGLE) -> DataFrame:
     """df and each row's fingerprint in the column ``name``."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
     where = df.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            fps = pa.array([simhash(x.as_py()) for x in batch.column(where)], pa.int64())
+            fps = pa.array([simhash(x.as_py(), words) for x in batch.column(where)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, schema)
 
 
-def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of df without near-duplicates: of each component one row with the least key (nulls last). Rows are told apart by key
-    and fingerprint, so different texts that share a key, or have none, each stay. Columns and their order are df's."""
-    rows, named = groups(df, key, text)
-    keep = materialise(named.where("fp = first_fp").select(F.col("component_id").alias("_keep"), F.col("fp").alias("_keep_fp")), "keep")
-    if not rows.groupBy("_id").count().where("count > 1").limit(1).count():
-        return df.join(keep.select("_keep"), F.col(key).eqNullSafe(F.col("_keep")), "left_semi")
-    kept = df.join(keep.select("_keep").distinct(), F.col(key).eqNullSafe(F.col("_keep")), "left_semi")
-    marked = with_fingerprint(kept, text, "_row_fp")
-    return marked.join(keep, F.col(key).eqNullSafe(F.col("_keep")) & (F.col("_row_fp") == F.col("_keep_fp")), "left_semi").dropDuplicates([key, "_row_fp"]).drop("_row_fp")
+def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
+    """Rows of df without near-duplicates: of each component one row with the least key (nulls last). Every row gets a number of
+    its own, so different texts that share a key, or have none, each stay. Columns and their order are df's."""
+    fp, row = fresh(df, "_fp"), fresh(df, "_row")
+    marked = materialise(with_fingerprint(df, text, fp, words).withColumn(row, F.monotonically_increasing_id()), "marked")
+    name = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))
+    named = components_of(materialise(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(name).alias("least")), "distinct-fingerprints"), most)
+    keep = named.where("fp = first_fp").select(F.col("component_id.row").alias(row))
+    return marked.join(keep, row, "left_semi").select(*df.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
