@@ -1,11 +1,12 @@
 """Benchmark decontamination by the q-gram lemma.
 
-An item of m characters counts as leaked where a document holds a region at most k = floor(m / 10) edits away (k is held
-to m / ANCHOR - 2, so that the filters below stay lossless). Texts are compared lower-cased, white space as one space.
+An item of m characters counts as leaked where a document holds a region at most k = floor(m / 10) edits away. Texts are
+compared lower-cased, white space as one space.
 
-1. Anchors. Cut in k + 2 pieces, an item that suffers k edits keeps two pieces whole. Positions of a document whose next
-   ``ANCHOR`` characters are those a piece starts with give (item, diagonal) hits; two hits of an item within 2k
-   diagonals make candidates.
+1. Anchors. Cut in k + 2 pieces, an item that suffers k edits keeps two pieces whole. Of each piece one stretch of
+   ``ANCHOR`` characters (``SHORT_ANCHOR`` for items under 10 ``ANCHOR`` characters, whose pieces are shorter) is its anchor, the one
+   that fewest items of the block share, so common openings make no hits. Places of a document that hold an anchor give
+   (item, diagonal) hits; two hits of an item within 2k diagonals make candidates.
 2. Q-gram lemma. Candidates are gathered in overlapping diagonal bands (width W, overlap 2k). An occurrence within
    k edits shares at least m - q + 1 - k q of the item's q-grams inside its band; bands with fewer are dropped.
 3. Banded alignment of what is left, free at both ends of the document's region, gives the edits and the place.
@@ -14,7 +15,7 @@ The benchmark is the query set: it is taken in blocks of about ``BLOCK_CHARS`` c
 (its size is bounded by that), and every document is scanned against it where it lies. No shuffle.
 
 Defined cases: null texts are empty and match nothing; items that normalise to nothing match nothing; items under
-2 ``ANCHOR`` characters match only exactly, those under ``ANCHOR`` only a whole document; repeated items and documents each
+20 characters that are too short for k + 2 anchors have k + 1, one hit of which makes a candidate; those under ``ANCHOR`` match only a whole document; repeated items and documents each
 give their rows; an empty benchmark or table gives none. Only ids and texts are read; ``clean`` keeps all columns.
 """
 
@@ -32,6 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import table
 
 ANCHOR = 8
+SHORT_ANCHOR = 5
 Q = 5
 EDIT_SHARE = 0.1
 BLOCK_CHARS = 4_000_000
@@ -70,47 +72,67 @@ class Item:
     gram_places: np.ndarray
 
 
+class Anchors:
+    """Anchors of one length, by hash."""
+
+    def __init__(self, n: int, hashes: np.ndarray, places: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.n, self.hashes = n, hashes[order]
+        self.owner, self.at = places[order].T
+        self.slots = np.zeros(1 << SLOT_BITS, bool)
+        self.slots[self.hashes >> np.uint32(32 - SLOT_BITS)] = True
+
+    def hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item number, diagonal) of each place of a document that holds an anchor."""
+        h = grams(x, self.n)
+        at = np.flatnonzero(self.slots[h >> np.uint32(32 - SLOT_BITS)])
+        low, high = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
+        n = high - low
+        at, low, n = at[n > 0], low[n > 0], n[n > 0]
+        which = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+        return self.owner[which], np.repeat(at, n) - self.at[which]
+
+
 class Index:
     """Anchors and q-grams of one block of items."""
 
     def __init__(self, items: list[tuple[object, str]], share: float = EDIT_SHARE):
         self.items: list[Item] = []
         self.whole: dict[str, list[object]] = {}
-        hashes, places = [], []
+        bodies = []
         for item_id, body in items:
             text = normal(body)
-            m = len(text)
-            if m < ANCHOR:
+            if len(text) < ANCHOR:
                 self.whole.setdefault(text, []).append(item_id) if text else None
-                continue
-            need = min(2, m // ANCHOR)
-            k = max(0, min(int(m * share), m // ANCHOR - need))
-            x = points(text)
-            g = grams(x, Q)
-            order = np.argsort(g, kind="stable")
-            all_anchors = grams(x, ANCHOR)
-            for p in range(k + need):
-                at = p * m // (k + need)
-                hashes.append(int(all_anchors[at]))
-                places.append((len(self.items), at))
-            self.items.append(Item(item_id, text, x, k, need, m - Q + 1 - k * Q, g[order], order))
-        order = np.argsort(np.array(hashes, np.uint32), kind="stable") if hashes else np.zeros(0, np.int64)
-        self.hashes = np.array(hashes, np.uint32)[order]
-        self.owner, self.at = (np.array(places, np.int64).reshape(-1, 2)[order]).T
+            else:
+                bodies.append((item_id, text, points(text)))
+        self.anchors = []
+        for n in (ANCHOR, SHORT_ANCHOR):
+            own = [(*b, grams(b[2], n)) for b in bodies if (len(b[1]) >= 10 * ANCHOR) == (n == ANCHOR)]
+            common, times = np.unique(np.concatenate([np.unique(b[3]) for b in own]), return_counts=True) if own else (None, None)
+            hashes, places = [], []
+            for item_id, text, x, g in own:
+                m, k = len(text), int(len(text) * share)
+                need = 2 if m >= (k + 2) * n else 1
+                k = max(0, min(k, m // n - need))  # holds for shares over a tenth only
+                rare = times[np.searchsorted(common, g)]
+                for p in range(k + need):
+                    first, last = p * m // (k + need), (p + 1) * m // (k + need) - n
+                    at = first + int(rare[first : last + 1].argmin())
+                    hashes.append(int(g[at]))
+                    places.append((len(self.items), at))
+                q = grams(x, Q)
+                order = np.argsort(q, kind="stable")
+                self.items.append(Item(item_id, text, x, k, need, m - Q + 1 - k * Q, q[order], order))
+            if own:
+                self.anchors.append(Anchors(n, np.array(hashes, np.uint32), np.array(places, np.int64)))
         self.reach = np.array([2 * i.k for i in self.items], np.int64)
         self.single = np.array([i.need < 2 for i in self.items], bool)
-        self.slots = np.zeros(1 << SLOT_BITS, bool)
-        self.slots[self.hashes >> np.uint32(32 - SLOT_BITS)] = True
 
     def candidates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item number, diagonal) of the anchor hits in a document that have as many others of the item near as it takes."""
-        h = grams(x, ANCHOR)
-        at = np.flatnonzero(self.slots[h >> np.uint32(32 - SLOT_BITS)]) if len(self.hashes) else np.zeros(0, np.int64)
-        low, high = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-        n = high - low
-        at, low, n = at[n > 0], low[n > 0], n[n > 0]
-        which = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-        owner, diagonal = self.owner[which], np.repeat(at, n) - self.at[which]
+        hits = [a.hits(x) for a in self.anchors]
+        owner, diagonal = (np.concatenate(c) for c in zip(*hits)) if hits else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         order = np.lexsort((diagonal, owner))
         owner, diagonal = owner[order], diagonal[order]
         near = (owner[1:] == owner[:-1]) & (diagonal[1:] - diagonal[:-1] <= self.reach[owner[1:]]) if len(owner) else np.zeros(0, bool)

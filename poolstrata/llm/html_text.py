@@ -10,8 +10,8 @@ themselves, a sample of at most ``SAMPLE`` drawn by hash, each also with its tel
 pages without such tags are covered; and ``EXAMPLES``, written and labelled by hand, for what a table may lack.
 
 Defined cases: a null or empty page gives empty text; markup that never closes is closed at the page's end; text outside
-any element is a leaf of the root; scripts, styles, templates, controls, comments and the head are never text; repeated
-rows each get a row. Only page_id, url and html are read.
+any element is a leaf of the root; scripts, styles, frames, controls, comments, the head and what attributes hide are
+never text, other fallbacks (noscript, object, svg and so on) are; repeated rows each get a row. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,10 +35,11 @@ STRENGTH = 0.45  # of node features against pair potentials
 # fixed values: element kinds of HTML
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template iframe object svg annotation annotation-xml canvas audio video select option button textarea input head title".split())
-RAW = frozenset("script style textarea title noscript iframe".split())
+SILENT = frozenset("script style iframe annotation annotation-xml select option button textarea input head title".split())
+RAW = frozenset("script style textarea title iframe".split())
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"])}
 SCOPE = frozenset("ul ol table dl body html article section div td th blockquote main aside nav form".split())
+CELLS = frozenset("td th tr".split())
 TELLING = frozenset("article main nav header footer aside form section".split())
 # fixed values: words of class and id names that say what a part of a page is for
 ASIDE_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs bar comment comments cookie cookies consent copyright discussion disqus footer foot form gdpr header head login masthead menu nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing side sidebar signup social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets alert modal links".split())
@@ -91,6 +93,8 @@ def parse(page: str) -> list[Node]:
     stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # open elements, the block node that holds them, whether they silence
     leaf: Node | None = None
     silent, links, at = 0, 0, 0
+    opened: dict[str, list[int]] = {}  # where each tag's open elements are in the stack, so nothing is searched for
+    walls: tuple[list[int], list[int]] = ([], [])  # where those are that end an implied close: all, and those but for cells
 
     def say(text: str) -> None:
         nonlocal leaf
@@ -113,6 +117,10 @@ def parse(page: str) -> list[Node]:
                 leaf = None
             silent -= quiet
             links -= tag == "a"
+            opened[tag].pop()
+        for wall in walls:
+            while wall and wall[-1] >= n:
+                wall.pop()
         del stack[n:]
 
     end = len(page)
@@ -128,23 +136,17 @@ def parse(page: str) -> list[Node]:
             continue
         tag, rest = tag.lower(), found[3]
         if found[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+            if opened.get(tag):
+                close(opened[tag][-1])
             if tag in BLOCK:
                 leaf = None
             continue
         closes = CLOSES.get(tag) or (CLOSES["p"] if tag in BLOCK else None)
         if closes:
-            cut = 0
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in closes:
-                    cut = k
-                elif stack[k][0] in SCOPE and not (tag in ("td", "th", "tr") and stack[k][0] in ("td", "th")):
-                    break
-            if cut:
-                close(cut)
+            wall = walls[tag in CELLS]
+            after = [open_at[k] for t in closes if (open_at := opened.get(t)) and (k := bisect_right(open_at, wall[-1] if wall else 0)) < len(open_at)]
+            if after:
+                close(min(after))
         if tag == "br":
             say(" ") if leaf is not None else None
             continue
@@ -159,6 +161,10 @@ def parse(page: str) -> list[Node]:
             nodes.append(Node(holder, tag, names, label=int(mark[1]) if mark else nodes[holder].label))
             holder = len(nodes) - 1
         quiet = tag in SILENT or bool(rest) and hides(rest)
+        opened.setdefault(tag, []).append(len(stack))
+        if tag in SCOPE:
+            walls[0].append(len(stack))
+            walls[1].append(len(stack)) if tag not in CELLS else None
         stack.append((tag, holder, quiet))
         silent += quiet
         links += tag == "a"

@@ -4,12 +4,12 @@ Features. Character 1- to 3-grams of the whole lower-cased text, hashed to ``SLO
 of the text's n-grams, times its inverse document frequency, the latter counted over every training text (one vector of
 ``SLOTS`` counts for each partition, summed in Spark).
 Training. Follow-the-regularised-leader (proximal) with elastic-net penalties, so most weights are exactly zero, on a
-sample of at most ``SAMPLE`` labelled texts drawn by hash; a fifth of it is kept out to fit the temperature.
+sample of labelled texts drawn by hash, of at most ``SAMPLE`` texts and ``SAMPLE_SLOTS`` different slots together; a fifth of it is kept out to fit the temperature.
 Prediction. A weighted sum of table rows for each text: an Arrow map without a shuffle. The model (``SLOTS`` x languages)
 has a fixed size, whatever the corpus.
 
 Defined cases: a text that is null or has no letter gives ``und`` with score 0; texts without a label aren't trained on;
-with no training text at all every text is ``und``; repeated rows each get a row. Only id, text and the label are read.
+with no training text at all every text is ``und``; repeated rows each get a row; a null id isn't held out. Only id, text and the label are read.
 """
 
 from __future__ import annotations
@@ -22,16 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import crc_mod, table
 
 SLOTS = 1 << 16
 ORDERS = (1, 2, 3)
-#: Bound of the labelled sample that the weights are fitted on.
+#: Bounds of the labelled sample that the weights are fitted on: texts, and different slots of all of them together.
 SAMPLE = 3000
+SAMPLE_SLOTS = 12_000_000
 UNKNOWN = "und"
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-4, 1e-4
 EPOCHS = 4
+PART = 1 << 16  # slots that are looked up at a time
 SCALE = 100.0  # features are shares of a text; this brings them near 1
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
@@ -61,10 +64,9 @@ class Model:
 
     def logits(self, text: str) -> np.ndarray:
         slots = slots_of(text)
-        if len(slots) > 2000:  # counts of slots first; each slot is then weighted once
-            total = np.bincount(slots, minlength=SLOTS).astype(np.float32) @ self.table
-        else:
-            total = self.table[slots].sum(0, dtype=np.float64)
+        total = np.zeros(len(self.bias))
+        for k in range(0, len(slots), PART):
+            total += self.table[slots[k : k + PART]].sum(0, dtype=np.float64)
         return total * (SCALE / max(1, len(slots))) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -150,7 +152,9 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
                 slots, c = np.unique(slots_of(body), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([language]), pa.array([drawn], pa.int64()), pa.array([slots.astype("<u2").tobytes()]), pa.array([(c / max(1, c.sum())).astype("<f4").tobytes()])], names=["label", "draw", "slots", "shares"])
 
-    rows = picked.mapInArrow(features, "label string, draw long, slots binary, shares binary").orderBy("draw", "label").limit(sample).collect()
+    drawn = picked.mapInArrow(features, "label string, draw long, slots binary, shares binary").orderBy("draw", "label").limit(sample)
+    running = F.sum(F.length("slots") / 2).over(Window.orderBy("draw", "label", "slots"))  # of ``sample`` rows at most
+    rows = drawn.withColumn("running", running).where(F.col("running") <= SAMPLE_SLOTS).drop("running").collect()
     languages = tuple(sorted({r["label"] for r in rows}))
     if not languages:
         return Model((), np.zeros((SLOTS, 0), np.float32), np.zeros(0), 1.0)
@@ -182,7 +186,7 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_mod("doc_id", 3) == 1).alias("held_out"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"))
     model = train(docs.where(~F.col("held_out")))
     return predict(docs.drop("lang"), model, carry=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
 

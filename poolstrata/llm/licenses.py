@@ -6,7 +6,9 @@ has a Jaccard similarity of at least J = i / (3n - i), i = ceil(0.8 n), with it.
 J each; their number is the least for which all of them miss with probability ``MISS`` or less. What collides is verified:
 the share of the template's different shingles in the window, 0.8 or more.
 
-The templates are a fixed list of the caller's, broadcast; every text is scanned whole where it lies. No shuffle.
+The templates are a fixed list of the caller's, broadcast (of at most ``MOST_TEMPLATE_CHARS`` characters, which is checked);
+every text is scanned whole where it lies. No shuffle. ``TEMPLATES`` holds notices and single paragraphs, so a whole license is
+found by the paragraphs that it has; licenses without one of these aren't.
 
 Defined cases: null and short texts hold no template; templates of fewer than five words are one shingle of all their
 words, found in texts as shingles of that many words; repeated rows each give their rows; of several places of a template
@@ -29,22 +31,35 @@ from .words import ALNUM, gather, hashes, mix, words
 SHINGLE = 5
 LEAST = 0.8
 MISS = 1e-4
+#: Bound of what is broadcast.
+MOST_TEMPLATE_CHARS = 8_000_000
 
 # fixed values: license notices, as their publishers word them
 TEMPLATES = {
+    "agpl-3-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "apache-2.0-limits": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "boost-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
+    "bsd-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
     "gpl-3-line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "lgpl-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "mit-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     "mit-line": "Released under the MIT License.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
 }
 
 
@@ -68,11 +83,12 @@ class Templates:
                 s = shingle_hashes(h, size)
                 if size:
                     self.classes.setdefault((size, len(s)), {"templates": []})["templates"].append((name, np.unique(s)))
-        self.seeds = mix(np.arange(1, 257, dtype=np.uint64))
         for (_, n), c in self.classes.items():
-            i = math.ceil(least * n)
+            i = max(1, math.ceil(least * n))
             j = i / (3 * n - i)
-            c["bands"] = min(len(self.seeds), math.ceil(math.log(miss) / math.log(1 - j)))
+            c["bands"] = math.ceil(math.log(miss) / math.log(1 - j))
+        self.seeds = mix(np.arange(1, 1 + max((c["bands"] for c in self.classes.values()), default=0), dtype=np.uint64))
+        for c in self.classes.values():
             c["values"] = [np.array([int(self.permuted(s, b).min()) for _, s in c["templates"]], np.uint64) for b in range(c["bands"])]
             c["orders"] = [np.argsort(v) for v in c["values"]]
 
@@ -121,7 +137,7 @@ class Templates:
             blocks = np.flatnonzero(nth % n == 0)
             layout[n] = blocks, np.concatenate((owner[blocks][1:] == owner[blocks][:-1], [False])), np.concatenate((blocks[1:], [len(s)]))
         seen = set()
-        for band in range(max(c["bands"] for c in classes.values())):
+        for band in range(max((c["bands"] for c in classes.values()), default=0)):
             x = self.permuted(s, band)
             for n, c in classes.items():
                 if band >= c["bands"]:
@@ -142,8 +158,10 @@ class Templates:
 
 
 def scan(df: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, license, containment, start, end: the templates that each text holds."""
-    sent = df.sparkSession.sparkContext.broadcast(Templates(templates or TEMPLATES))
+    """key, license, containment, start, end: the templates that each text holds (none for an empty list of templates)."""
+    if sum(map(len, (templates or {}).values())) > MOST_TEMPLATE_CHARS:
+        raise ValueError(f"templates of more than {MOST_TEMPLATE_CHARS} characters: scan with a part of them at a time")
+    sent = df.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates))
     schema = T.StructType([df.schema[key], T.StructField("license", T.StringType()), T.StructField("containment", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     types = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32())
 

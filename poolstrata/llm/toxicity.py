@@ -4,18 +4,20 @@ Fitting takes a bounded sample of the labels (``LABELLED``); scoring and its pas
 
 Token scores. Log-odds of a token between toxic and other labelled texts, with an informative Dirichlet prior from both
 classes together (Monroe et al., 2008), over texts that hold the token; equal texts count once, so a group of copies says
-no more than one text. A token scores if the lower bound of its log-odds passes ``LEAST_BOUND``; every other token gets
-the rest's log-odds, which is below zero, so scores drift down outside toxic passages.
+no more than one text. A token scores if at least ``LEAST_TEXTS`` toxic texts hold it (of fewer no bound can be told) and
+the lower bound of its log-odds passes ``LEAST_BOUND``; all that do are kept, so the model grows with the
+labelled sample and with nothing else. Every other token gets the rest's log-odds, which is below zero, so scores drift down outside toxic passages.
 Segments. All maximal scoring segments of a text in linear time (Ruzzo and Tompa, 1999); between two scoring tokens only
 the number of others matters.
-Calibration. By extreme-value statistics (Karlin and Altschul, 1990): lambda from the background scores, K from the
+Calibration. By extreme-value statistics (Karlin and Altschul, 1990): lambda from the background scores, each token's by its
+share of the background, K from the
 maxima of the texts labelled as not toxic; a segment of score s in n tokens has E = K n exp(-lambda s). Segments with
 E under ``SIGNIFICANT`` are passages; a text's evidence is the sum of their -ln E. A logistic curve on the evidence,
 fitted on counts of labelled texts by evidence, gives the score.
 
 Defined cases: a null text is empty; a text without tokens has no evidence and gets the base rate; without labels of both
 classes every score is the smoothed base rate; repeated rows each get a row. Only id, text and labels are read; a doc_id
-with several labels counts as toxic if one of them is 1.
+with several labels counts as toxic if one of them is 1; a null doc_id has no label and isn't held out.
 """
 
 from __future__ import annotations
@@ -37,8 +39,6 @@ PRIOR_SHARE, PRIOR_LEAST = 0.01, 0.5
 LEAST_BOUND, BOUND_SD, LEAST_TEXTS = 1.0, 2.6, 3
 #: Bound of the labelled sample that the model is fitted on: where there are more labels, a share of them drawn by hash.
 LABELLED = 250_000
-#: Most tokens that may carry a score of their own (the model's size): the highest bounds stay.
-VOCABULARY = 1 << 16
 SIGNIFICANT = 0.05
 THRESHOLD = 0.7
 
@@ -135,30 +135,30 @@ def token_counts(known: DataFrame) -> DataFrame:
     return parts.groupBy("token").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_other").alias("n_other"))
 
 
-def token_scores(counts: DataFrame) -> tuple[dict[str, float], float, float]:
-    """Scores of the tokens that have one, the score of the rest, and the background share of scoring tokens."""
+def token_scores(counts: DataFrame) -> tuple[dict[str, float], float, dict[str, float]]:
+    """Scores of the tokens that have one, the score of the rest, and the background share of each scoring token."""
     counts = materialise(counts, "tokens")
     total = counts.agg(F.sum("n_toxic").alias("t"), F.sum("n_other").alias("o")).first()
     n_toxic, n_other = total["t"] or 0, total["o"] or 0
     if not n_toxic or not n_other:
-        return {}, -0.01, 0.0
+        return {}, -0.01, {}
     prior = PRIOR_SHARE * (F.col("n_toxic") + F.col("n_other")) + PRIOR_LEAST
     all_prior = PRIOR_SHARE * (n_toxic + n_other) + PRIOR_LEAST
     a, b = F.col("n_toxic") + F.col("prior"), F.col("n_other") + F.col("prior")
     odds = F.log(a / (n_toxic + all_prior - a)) - F.log(b / (n_other + all_prior - b))
     ranked = counts.where(F.col("n_toxic") >= LEAST_TEXTS).withColumn("prior", prior).withColumn("odds", odds).withColumn("bound", F.col("odds") - BOUND_SD * F.sqrt(1 / a + 1 / b))
-    rows = ranked.where(F.col("bound") >= LEAST_BOUND).orderBy(F.desc("bound"), "token").limit(VOCABULARY).collect()
+    rows = ranked.where(F.col("bound") >= LEAST_BOUND).orderBy("token").collect()
     in_toxic, in_other = sum(r["n_toxic"] for r in rows), sum(r["n_other"] + r["prior"] for r in rows)
     rest = math.log((1 - in_toxic / (n_toxic + all_prior)) / (1 - in_other / (n_other + all_prior)))
-    return {r["token"]: r["odds"] for r in rows}, min(rest, -0.01), in_other / (n_other + all_prior)
+    return {r["token"]: r["odds"] for r in rows}, min(rest, -0.01), {r["token"]: (r["n_other"] + r["prior"]) / (n_other + all_prior) for r in rows}
 
 
-def decay(weights: dict[str, float], rest: float, share: float) -> float:
+def decay(weights: dict[str, float], rest: float, shares: dict[str, float]) -> float:
     """lambda: the positive root of E[exp(lambda score)] = 1 under the background."""
     if not weights:
         return 1.0
-    w = np.array(list(weights.values()))
-    grown = lambda x: (1 - share) * math.exp(x * rest) + share * float(np.exp(x * w).mean())
+    w, p = np.array(list(weights.values())), np.array([shares[t] for t in weights])
+    grown = lambda x: (1 - p.sum()) * math.exp(x * rest) + float((p * np.exp(x * w)).sum())
     low, high = 1e-6, 1.0
     while grown(high) < 1 and high < 64:
         high *= 2
@@ -185,8 +185,8 @@ def logistic(evidence: np.ndarray, toxic: np.ndarray, other: np.ndarray) -> tupl
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from the labelled texts of df."""
     known = labelled(df, labels, key, text, label)
-    weights, rest, share = token_scores(token_counts(known))
-    model = Model(weights, rest, decay(weights, rest, share))
+    weights, rest, shares = token_scores(token_counts(known))
+    model = Model(weights, rest, decay(weights, rest, shares))
 
     def maxima(batches):
         for batch in batches:
@@ -212,7 +212,7 @@ PASSAGE = "array<struct<start: int, end: int, evidence: double>>"
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """key, the carried columns, score, evidence and passages (code points, end exclusive) for every row."""
-    sent = df.sparkSession.sparkContext.broadcast(model)  # VOCABULARY tokens at most
+    sent = df.sparkSession.sparkContext.broadcast(model)  # tokens of the bounded sample
     kept = [f for f in df.schema.fields if f.name == key or f.name in carry]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("evidence", T.DoubleType()), T.StructField("passages", T._parse_datatype_string(PASSAGE))])
@@ -234,7 +234,7 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 3) == 1).alias("held_out"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"))
     model = train(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
     found = score(docs, model, carry=("held_out",))
     return found.select("doc_id", "held_out", "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), "evidence", F.size("passages").alias("n_passages"))

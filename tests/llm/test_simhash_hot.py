@@ -48,4 +48,4 @@ def test_names_that_clash_stay(spark):
     text = " ".join(str(n) for n in range(50))
     rows = spark.createDataFrame([(3, text, 1, 2, 3), (2, text, 4, 5, 6), (2, "other words here", 7, 8, 9)], "doc_id long, text string, _keep int, _fp int, _row int")
     got = simhash.deduplicate(rows.withColumn("_ROW_", F.lit(1)))
-    assert got.columns == [*rows.columns, "_ROW_"] and sorted(tuple(r)[:5] for r in got.collect()) == [(2, "other words here", 7, 8, 9), (2, text, 4, 5, 6)]
+    assert got.columns == [*rows.columns, "_ROW_"] and sorted(tuple(r)[:5] for r in got.collect()) == sorted([(2, "other words here", 7, 8, 9), (2, text, 4, 5, 6)])
