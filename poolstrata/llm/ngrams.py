@@ -22,8 +22,8 @@ Data moved: each chunk's different n-grams, packed to about 6 bytes each, once t
 shuffle each task has a block for each shard. The chunks' texts are written once, bucketed by chunk, and don't move again;
 they and the answers are deleted when the scores are written.
 
-A stored key is the place of its bucket (four keys each on average) and 32 more bits, so a lookup meets a wrong n-gram with
-a probability of about 1e-9, however large the model is.
+A stored key is the place of its bucket (eight keys each on average) and 32 more bits, so a lookup meets a wrong n-gram with
+a probability of about 2e-9, however large the model is.
 
 Model. p(w | v) = max(c(v w) - D, 0) / c(v) + g(v) p(w); p(w) = max(left(w) - D', 0) / bigrams + g' / (V + 1), so unknown
 words share one slot. The trigram model is p(w | u v) = max(c(u v w) - D, 0) / c(u v) + g(u v) p'(w | v), where p' is the bigram
@@ -102,7 +102,11 @@ def sorted_order(h: np.ndarray) -> np.ndarray:
     both.sort()
     order = (both & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
     got = h[order]
-    return order if (got[1:] >= got[:-1]).all() else np.argsort(h, kind="stable")
+    high = both >> bits
+    for k in np.flatnonzero(got[1:] < got[:-1]).tolist():  # few: hashes that differ in their low bits only
+        run = slice(int(np.searchsorted(high, high[k])), int(np.searchsorted(high, high[k], "right")))
+        order[run] = np.sort(order[run])[np.argsort(h[np.sort(order[run])], kind="stable")]
+    return order
 
 
 def ranked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +147,12 @@ class Chunk:
         self.bigrams, self.bigram = key[order], rank[code]
         self.of_context, self.of_word = found[order] // width, found[order] % width
         self.later = np.flatnonzero(~starts)  # tokens with two before them, the start context counted
+        self.first = np.flatnonzero(starts)
+        self.at_start = np.zeros(len(self.bigrams), bool)
+        self.at_start[self.bigram[self.first]] = True
+
+    def with_trigrams(self) -> Chunk:
+        width = len(self.words)
         code, found = pd.factorize(self.bigram[self.later - 1] * width + self.word[self.later])
         key = mix(self.bigrams[found // width] * K + self.words[found % width])
         order, rank = ranked(key)
@@ -151,9 +161,7 @@ class Chunk:
         self.of_first = found[order] // width
         self.of_last = np.empty(len(self.trigrams), np.int64)
         self.of_last[self.trigram] = self.bigram[self.later]
-        self.first = np.flatnonzero(starts)
-        self.at_start = np.zeros(len(self.bigrams), bool)
-        self.at_start[self.bigram[self.first]] = True
+        return self
 
     def trigram_counts(self) -> np.ndarray:
         return np.bincount(self.trigram, weights=self.train[self.later], minlength=len(self.trigrams)).astype(np.uint64)
@@ -214,6 +222,10 @@ def chunk_of(row: dict) -> Chunk:
     return Chunk(row["texts"], np.array(row["held"], bool))
 
 
+def whole_chunk(row: dict, order: int) -> Chunk:
+    return chunk_of(row).with_trigrams() if order == 3 else chunk_of(row)
+
+
 def rows_of(batches):
     for batch in batches:
         for k in range(batch.num_rows):
@@ -228,7 +240,7 @@ def write_shard(path: str, keys: np.ndarray, columns: list[np.ndarray], shards:
     table of the different rows. A hash is kept as its bucket (an index of where each begins) and the 32 bits after it."""
     seen = np.any(columns, axis=0)  # n-grams of held-out texts alone aren't part of the model
     x, columns = keys[seen] * np.uint64(shards), [c[seen] for c in columns]
-    bits = max(1, int(len(x) // 4).bit_length())
+    bits = max(1, int(len(x) // 16).bit_length())
     row = columns[0]
     for column in columns[1:]:
         row = mix(row * K + column)
@@ -307,29 +319,33 @@ def learned(asked: DataFrame, folder: str, level: str, shards: int, totals) -> D
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("chunk")
         number, keys, values = group["shard"][0].as_py(), group["keys"], group["values"]
-        merged = np.zeros(0, np.uint64)
-        held: list[np.ndarray] = []
-        for k in range(len(keys)):
-            held.append(unpacked_sorted(keys[k].as_py()))
-            if k + 1 == len(keys) or sum(map(len, held)) > max(1 << 20, len(merged)):
-                merged, held = np.unique(np.concatenate([merged, *held])), []
-        sums = np.zeros((len(values[0]), len(merged)), np.uint64)
-        first = np.full(len(merged), -1, np.int32)
-        for k in range(len(keys)):
-            at = np.searchsorted(merged, unpacked_sorted(keys[k].as_py()))
-            own = [unpacked(v) for v in values[k].as_py()]
-            for row, column in zip(sums, own):
-                row[at] += column
-            first[at[(own[0] > 0) & (first[at] < 0)]] = k
+        asks = [unpacked_sorted(k.as_py()) for k in keys]
+        sizes = [len(k) for k in asks]
+        every = np.concatenate(asks)
+        del asks
+        order = sorted_order(every * np.uint64(shards))  # scaled: a shard's hashes agree in their high bits
+        every = every[order]
+        new = np.concatenate(([True], every[1:] != every[:-1]))
+        starts = np.flatnonzero(new)
+        sums, asker = [], np.repeat(np.arange(len(keys), dtype=np.int32), sizes)[order]
+        for c in range(len(values[0])):
+            column = np.concatenate([unpacked(v[c].as_py()) for v in values])[order]
+            sums.append(np.add.reduceat(column, starts))
+            if not c:
+                first = np.minimum.reduceat(np.where(column > 0, asker, len(keys)), starts)
         path = shard_path(folder, level, number)
-        write_shard(path, merged, list(sums), shards)
-        of_shard, first = totals(sums), first[np.any(sums, axis=0)]
-        del merged, sums
-        shard, out = Shard(path, shards), []
-        for k in range(len(keys)):
-            place = shard.places(unpacked_sorted(keys[k].as_py()))
-            mine = first[place] == k if len(first) else np.zeros(len(place), bool)
-            out.append({"shard": number, "chunk": group["chunk"][k].as_py(), "values": [*map(packed, shard.counts(place)), packed((mine & (place >= 0)).astype(np.uint8))], "totals": of_shard if k == 0 else None})
+        write_shard(path, every[starts], sums, shards)
+        of_shard, seen = totals(np.array(sums)), np.any(sums, axis=0)
+        first, kept = first[seen], np.where(seen, np.cumsum(seen) - 1, -1)  # where each is in the file
+        place = np.empty(len(every), np.int32)
+        place[order] = kept[np.cumsum(new) - 1]
+        del every, order, asker, new, sums
+        shard, out, at = Shard(path, shards), [], 0
+        for k, n in enumerate(sizes):
+            own = place[at : at + n]
+            mine = (own >= 0) & (first[own] == k) if len(first) else np.zeros(n, bool)
+            out.append({"shard": number, "chunk": group["chunk"][k].as_py(), "values": [*map(packed, shard.counts(own)), packed(mine.astype(np.uint8))], "totals": of_shard if k == 0 else None})
+            at += n
         return pa.Table.from_pylist(out, schema=ANSWER_ARROW)
 
     return materialise(asked.groupBy("shard").applyInArrow(run, ANSWER), f"ngram-{level}")
@@ -510,7 +526,7 @@ def fit(corpus: Corpus, order: int, folder: str | None) -> tuple[Model, dict[str
 
         def ask_trigrams(batches):
             for row in rows_of(batches):
-                c = chunk_of(row)
+                c = chunk_of(row).with_trigrams()
                 yield from ask(row["chunk"], c.trigrams, [c.trigram_counts()], shards)
 
         replies["trigrams"] = corpus.keep(learned(known.mapInArrow(ask_trigrams, ASK), folder, "trigrams", shards, trigram_totals))
@@ -518,7 +534,7 @@ def fit(corpus: Corpus, order: int, folder: str | None) -> tuple[Model, dict[str
 
     def ask_bigrams(batches):
         for row in rows_of(batches):
-            c = chunk_of(row)
+            c = whole_chunk(row, order)
             stats = c.bigram_stats(joined(row["trigrams"], 0), firsts(row["trigrams"])) if order == 3 else [c.bigram_counts()]
             yield from ask(row["chunk"], c.bigrams, stats, shards)
 
@@ -561,14 +577,15 @@ def score_with(df: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
         def questions(batches, level=level):
             for row in rows_of(batches):
-                yield from ask(row["chunk"], getattr(chunk_of(row), level), [], model.shards)
+                c = chunk_of(row)
+                yield from ask(row["chunk"], getattr(c.with_trigrams() if level == "trigrams" else c, level), [], model.shards)
 
         out = gathered(out, corpus.keep(recalled(corpus.texts.mapInArrow(questions, ASK), model.folder, level, model.shards)), level)
 
     def finish(batches):
         for row in rows_of(batches):
             got = {level: [joined(row[level], k) for k in range(all_of[level])] for level in levels}
-            yield renamed(model.rows(row, got["words"], got["bigrams"], got["trigrams"][0] if model.order == 3 else None, chunk_of(row), id_type), schema)
+            yield renamed(model.rows(row, got["words"], got["bigrams"], got["trigrams"][0] if model.order == 3 else None, whole_chunk(row, model.order), id_type), schema)
 
     id_type, schema = to_arrow_type(corpus.field.dataType), score_schema(corpus.field, model.order)
     return corpus.finished(out.mapInArrow(finish, schema))
@@ -588,7 +605,7 @@ def score(df: DataFrame, held: Column, key: str = "doc_id", text: str = "text",
     def finish(batches):
         for row in rows_of(batches):
             count1, count2 = ([joined(row[level], k) for k in range(n)] for level, n in (("words", 9 if order == 3 else 5), ("bigrams", 5 if order == 3 else 1)))
-            yield renamed(model.rows(row, count1, count2, joined(row["trigrams"], 0) if order == 3 else None, chunk_of(row), id_type), schema)
+            yield renamed(model.rows(row, count1, count2, joined(row["trigrams"], 0) if order == 3 else None, whole_chunk(row, order), id_type), schema)
 
     id_type, schema = to_arrow_type(corpus.field.dataType), score_schema(corpus.field, order)
     asked = corpus.chunks
