@@ -14,7 +14,7 @@ The model is what the shards keep: a file for each order and hash range in the s
 all n-grams of the training texts and the code of each one's counts (``write_shard``). A worker that answers chunks maps
 its shard's file in memory and looks their n-grams up there. ``train`` leaves the model for ``score_with``, which
 scores other texts by mapping the same files; ``score`` learns from a table and scores it in one go, so that the
-n-grams of its texts move once. Shards are ranges of hashes, so a word that makes up a third of the corpus is one entry of
+n-grams of its texts move once, and keeps the files only if it is given a folder. Shards are ranges of hashes, so a word that makes up a third of the corpus is one entry of
 each chunk's request. Their number follows from the text's bytes (``SHARD_BYTES``), so a shard's arrays don't grow
 with the corpus. Nothing is broadcast but two dozen totals.
 
@@ -308,7 +308,7 @@ def ask(chunk: int, keys: np.ndarray, values: list[np.ndarray], shards: int):
 
 
 def shard_path(folder: str, level: str, shard: int) -> str:
-    return f"{folder}/{level}-{shard:06d}"
+    return f"{folder}/{level}/{shard:06d}"
 
 
 def learned(asked: DataFrame, folder: str, level: str, shards: int, totals) -> DataFrame:
@@ -515,12 +515,17 @@ class Corpus:
 
 
 def fit(corpus: Corpus, order: int, folder: str | None) -> tuple[Model, dict[str, DataFrame]]:
-    """The model of a corpus, its files in ``folder`` (a fresh one in the shared folder by default), and the answers that its
-    chunks got by the way."""
+    """The model of a corpus, its files in ``folder``, and the answers that its chunks got by the way. Without a folder an
+    order's files are in the shared one until all chunks have been answered from them."""
     if order not in (2, 3):
         raise ValueError("models have order 2 or 3")
     spark, shards, known, replies = corpus.spark, corpus.shards(), corpus.texts, {}
-    folder = folder or f"{shared_dir(spark)}/ngram-model-{uuid.uuid4().hex}"
+    stays, folder = bool(folder), folder or f"{shared_dir(spark)}/ngram-model-{uuid.uuid4().hex}"
+
+    def learn(asked: DataFrame, level: str, totals) -> None:
+        replies[level] = corpus.keep(learned(asked, folder, level, shards, totals))
+        if not stays:
+            delete(spark, f"{folder}/{level}")
 
     if order == 3:
 
@@ -529,7 +534,7 @@ def fit(corpus: Corpus, order: int, folder: str | None) -> tuple[Model, dict[str
                 c = chunk_of(row).with_trigrams()
                 yield from ask(row["chunk"], c.trigrams, [c.trigram_counts()], shards)
 
-        replies["trigrams"] = corpus.keep(learned(known.mapInArrow(ask_trigrams, ASK), folder, "trigrams", shards, trigram_totals))
+        learn(known.mapInArrow(ask_trigrams, ASK), "trigrams", trigram_totals)
         known = gathered(known, replies["trigrams"], "trigrams")
 
     def ask_bigrams(batches):
@@ -538,7 +543,7 @@ def fit(corpus: Corpus, order: int, folder: str | None) -> tuple[Model, dict[str
             stats = c.bigram_stats(joined(row["trigrams"], 0), firsts(row["trigrams"])) if order == 3 else [c.bigram_counts()]
             yield from ask(row["chunk"], c.bigrams, stats, shards)
 
-    replies["bigrams"] = corpus.keep(learned(known.mapInArrow(ask_bigrams, ASK), folder, "bigrams", shards, bigram_totals))
+    learn(known.mapInArrow(ask_bigrams, ASK), "bigrams", bigram_totals)
 
     def ask_words(batches):
         for row in rows_of(batches):
@@ -546,7 +551,7 @@ def fit(corpus: Corpus, order: int, folder: str | None) -> tuple[Model, dict[str
             left = joined(row["bigrams"], 1) if order == 3 else None
             yield from ask(row["chunk"], c.words, c.word_stats(joined(row["bigrams"], 0), firsts(row["bigrams"]), left), shards)
 
-    replies["words"] = corpus.keep(learned(gathered(corpus.texts, replies["bigrams"], "bigrams").mapInArrow(ask_words, ASK), folder, "words", shards, word_totals))
+    learn(gathered(corpus.texts, replies["bigrams"], "bigrams").mapInArrow(ask_words, ASK), "words", word_totals)
 
     def totals(level: str, n: int) -> tuple[int, ...]:
         row = replies[level].agg(*(F.sum(F.element_at("totals", k + 1)).alias(f"t{k}") for k in range(n))).first()
@@ -556,7 +561,8 @@ def fit(corpus: Corpus, order: int, folder: str | None) -> tuple[Model, dict[str
     trained = corpus.chunks.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
     # the start context is no token
     model = Model(folder, order, shards, tokens - trained, vocabulary - bool(trained), types, tuple(left_counts), totals("bigrams", 8), totals("trigrams", 4) if order == 3 else ())
-    model.save()
+    if stays:
+        model.save()
     return model, replies
 
 
