@@ -56,7 +56,7 @@ from .words import NOT_SPACE, gather, hashes, mix, words
 
 CHUNK_BYTES = 6 << 20
 #: Bytes of text whose n-grams a shard holds, about.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 ORDER = 3
 LEVELS = ("words", "bigrams", "trigrams")
 K = np.uint64(0x9E3779B97F4A7C15)
