@@ -25,7 +25,7 @@ class Lens:
     semantics: str
     required_facts: tuple[str, ...]
     labels: tuple[str, ...]
-    classify: Callable[[DataFrame], DataFrame] | None = field(default=None, compare=False)
+    classify: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = field(default=None, compare=False)
 
 
 CATALOG: list[Lens] = [

@@ -50,8 +50,9 @@ def differing_variants(compared: DataFrame) -> DataFrame:
 
 def sampling(headers: DataFrame, left: str, right: str) -> DataFrame:
     """Skew of the two observations, the earlier side, overlap or separation of the windows, and whether tips agree."""
-    one = lambda name, s: headers.where(F.col("source_id") == s).select(F.struct("observed_at_ms", "started_ms", "completed_ms", "tip_height", "tip_hash").alias(name))
-    both = one("l", left).crossJoin(one("r", right))  # one row each
+    facts = F.struct("observed_at_ms", "started_ms", "completed_ms", "tip_height", "tip_hash")
+    latest = lambda name: F.max_by(F.when(F.col("source_id") == name, facts), F.when(F.col("source_id") == name, F.col("observed_at_ms")))
+    both = headers.where(F.col("source_id").isin(left, right)).agg(latest(left).alias("l"), latest(right).alias("r")).where("l is not null and r is not null")
     overlap = F.least("l.completed_ms", "r.completed_ms") - F.greatest("l.started_ms", "r.started_ms")
     return both.select(
         F.abs(F.col("l.observed_at_ms") - F.col("r.observed_at_ms")).alias("skew_ms"),

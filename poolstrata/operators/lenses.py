@@ -12,9 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import DATA_LABELS, FAMILIES, PROPERTY_LABELS, RULES, SHAPE_LABELS
+from ..catalog import CATALOG, DATA_LABELS, FAMILIES, PROPERTY_LABELS, RULES, SHAPE_LABELS
 from ..functions import scripts as S
 from ..functions.columns import ordered_labels
+from ..storage import written
 
 KEYS = ["source_id", "txid", "wtxid"]
 RATIO, COINJOIN_INPUTS, COINJOIN_OUTPUTS, COINJOIN_EQUAL = 5, 5, 5, 3
@@ -294,13 +295,17 @@ def rule_details(transactions: DataFrame, outputs: DataFrame, inputs: DataFrame,
         exempt, no_height = F.lit(False), F.lit(False)
     else:
         exempt, no_height = F.coalesce(F.col("creation_height") < activation_height, F.lit(False)), F.col("creation_height").isNull()
-    checked = checked.where(~exempt | missing_script)
-    each = checked.where(~missing_script).select(*KEYS, "vin", no_height.alias("unsure"), F.posexplode("matches").alias("ord", "m"))
-    hits = each.where("not unsure").select(*KEYS, "m.rule", F.col("vin").alias("place"), "ord", F.lit(1).alias("hit"), F.lit(0).alias("miss"), F.struct("m.kind", "m.pos", "m.len").alias("evidence"), F.lit(None).cast("string").alias("fact"))
-    unsure = each.where("unsure").select(*KEYS, "m.rule", "vin").distinct().select(*KEYS, "rule", F.col("vin").alias("place"), F.lit(0).alias("ord"), F.lit(0).alias("hit"), F.lit(1).alias("miss"), F.lit(None).cast("struct<kind: string, pos: int, len: int>").alias("evidence"), F.lit("creation_height").alias("fact"))
-    blind = checked.where(missing_script).select(*KEYS, F.explode(F.sequence(F.lit(2), F.lit(7))).alias("rule"), F.col("vin").alias("place"), F.lit(0).alias("ord"), F.lit(0).alias("hit"), F.lit(1).alias("miss"), F.lit(None).cast("struct<kind: string, pos: int, len: int>").alias("evidence"), F.lit("script_pubkey").alias("fact"))
+    # one array for each input, so the decoded scripts are met once: its matches, or what it can't tell
+    shape = "array<struct<rule: int, ord: int, hit: int, miss: int, evidence: struct<kind: string, pos: int, len: int>, fact: string>>"
+    row = lambda rule, ord_, hit, evidence, fact: F.struct(rule.cast("int").alias("rule"), ord_.cast("int").alias("ord"), F.lit(hit).alias("hit"), F.lit(1 - hit).alias("miss"), evidence.alias("evidence"), fact.cast("string").alias("fact"))
+    blank = F.lit(None).cast("struct<kind: string, pos: int, len: int>")
+    blind = F.transform(F.sequence(F.lit(2), F.lit(7)), lambda r: row(r, F.lit(0), 0, blank, F.lit("script_pubkey")))
+    unsure = F.transform(F.array_distinct(F.transform("matches", lambda m: m["rule"])), lambda r: row(r, F.lit(0), 0, blank, F.lit("creation_height")))
+    sure = F.transform("matches", lambda m, k: row(m["rule"], k, 1, F.struct(m["kind"].alias("kind"), m["pos"].alias("pos"), m["len"].alias("len")), F.lit(None)))
+    told = F.when(missing_script, blind).when(exempt, F.expr(f"cast(array() as {shape})")).when(no_height, unsure).otherwise(sure)
+    each = checked.select(*KEYS, F.col("vin").alias("place"), F.explode(told).alias("x")).select(*KEYS, "x.rule", "place", "x.ord", "x.hit", "x.miss", "x.evidence", "x.fact")
     large = outputs.where(oversized_output()).select(*KEYS, F.lit(1).alias("rule"), F.col("vout").alias("place"), F.lit(0).alias("ord"), F.lit(1).alias("hit"), F.lit(0).alias("miss"), F.struct(F.lit("output").alias("kind"), F.lit(None).cast("int").alias("pos"), F.length("script").alias("len")).alias("evidence"), F.lit(None).cast("string").alias("fact"))
-    rows = hits.unionByName(unsure).unionByName(blind).unionByName(large)
+    rows = each.unionByName(large)
     order = F.struct("place", "ord")
     folded = rows.groupBy(*KEYS, "rule").agg(F.sum("hit").alias("evidence_count"), F.sum("miss").alias("missing_count"), F.min_by(F.struct("place", "evidence.*"), F.when(F.col("hit") == 1, order)).alias("evidence"), F.min(F.when(F.col("hit") == 1, order)).alias("first_hit"), F.min(F.when(F.col("miss") == 1, F.col("place"))).alias("first_missing"), F.min("fact").alias("missing_fact"))
     names = F.array(*map(F.lit, RULES))
@@ -336,11 +341,21 @@ def policy_result(assessed: DataFrame) -> DataFrame:
 
 
 def classify(transactions: DataFrame, outputs: DataFrame, inputs: DataFrame) -> DataFrame:
-    """All four results of every transaction, with structure and assessment: one row a transaction, or none."""
-    found = data_protocols(transactions, detections(outputs, inputs)).drop("evidence")
-    assessed = assessments(rule_details(transactions, outputs, inputs))
+    """The results of all lenses of the catalog for every transaction, with structure and assessment: one row a transaction, or none.
+    A registered lens gives keys, state, primary_label, labels and missing_facts from (transactions, outputs, inputs). What two
+    lenses need is written once."""
+    found = written(data_protocols(transactions, detections(outputs, inputs)).drop("evidence"), "detected")
+    assessed = written(assessments(rule_details(transactions, outputs, inputs)), "assessed")
     parts = [transaction_properties(transactions, outputs, inputs), transaction_shape(transactions, outputs, inputs, found), found, policy_result(assessed)]
+    fields = ["state", "primary_label", "labels", "missing_facts"]
+    parts += [lens.classify(transactions, outputs, inputs).select(*KEYS, F.lit(lens.classifier_id).alias("classifier_id"), *fields) for lens in CATALOG if lens.classify]
     rows = reduce(DataFrame.unionByName, (p.withColumn("ord", F.lit(k)) for k, p in enumerate(parts)))
-    folded = rows.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("ord", "classifier_id", "state", "primary_label", "labels", "missing_facts"))).alias("r")).where(F.size("r") == len(parts))
-    results = F.transform("r", lambda x: F.struct(*(x[n].alias(n) for n in ("classifier_id", "state", "primary_label", "labels", "missing_facts"))))
+    folded = rows.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("ord", "classifier_id", *fields))).alias("r")).where(F.size("r") == len(parts))
+    results = F.transform("r", lambda x: F.struct(*(x[n].alias(n) for n in ("classifier_id", *fields))))
     return folded.select(*KEYS, results.alias("classifications")).join(structure_facts(outputs, inputs), KEYS).join(assessed, KEYS)
+
+
+def result_of(classifier_id: str, classifications: Column | str = "classifications") -> Column:
+    """The result of one lens among a transaction's, or NULL."""
+    column = F.col(classifications) if isinstance(classifications, str) else classifications
+    return F.try_element_at(F.filter(column, lambda x: x["classifier_id"] == classifier_id), F.lit(1))

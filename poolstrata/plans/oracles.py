@@ -69,9 +69,13 @@ long as (select lft.*, 'left' as side, case when rgt.txid is null then 'left_onl
 RESULTS = ", results as (select source_id, txid, case when k % 17 = 0 then sha256('old:' || wtxid) else wtxid end as wtxid, k % 8 as label, k % 10 = 1 as retryable, k % 4 as attempts from entry where k % 3 > 0) "
 GROUPS = BUCKETS + f", groups as (select source_id, bucket, count(*) as n, cast(sum(vsize) as bigint) as vsize, row_number() over (partition by source_id order by {ORDER}) as place from bucketed group by source_id, bucket) "
 POLLS = "with p as (select 'node-' || (user_id % 4) as source_id, event_id // 7 as generation, event_type <> 'error' as ok, 1704067200000 + event_id * 1000 as observed_at_ms, event_id % 5000 as n_entries, case when event_type = 'error' then 'failure ' || (event_id // 7) end as error from events) "
-STATUS = POLLS + """, g as (select source_id, generation, count(*) as times, bool_and(ok) as ok, min(case when not ok then error end) as error from p group by all),
-f as (select source_id, max(generation) as generation, bool_or(ok) as has, arg_max(case when ok then '' else error end, generation) as e, cast(sum(times - 1) as bigint) as dropped, count(*) as response_revision from g group by source_id)
-select source_id, generation, nullif(e, '') as last_error, case when has then case when e <> '' then 'stale' else 'ready' end else 'error' end as availability, dropped, response_revision from f"""
+#: A failure has no generation; a good poll counts if no good one of its or a later generation came before it.
+STATUS = POLLS + """, good as (select *, max(generation) over (partition by source_id order by observed_at_ms rows between unbounded preceding and 1 preceding) as before from p where ok),
+h as (select source_id, max(generation) as generation, max(observed_at_ms) filter (before is null or generation > before) as at, count(*) as n_good, count(*) filter (before is null or generation > before) as n_accepted from good group by source_id),
+e as (select source_id, count(*) filter (not ok) as n_bad, max(observed_at_ms) filter (not ok) as at, arg_max(error, observed_at_ms) filter (not ok) as error from p group by source_id)
+select e.source_id, coalesce(generation, -1) as generation, case when h.at is null or e.at > h.at then error end as last_error,
+ case when h.at is null then case when error is null then 'waiting' else 'error' end when e.at > h.at then 'stale' else 'ready' end as availability, coalesce(n_good - n_accepted, 0) as dropped, coalesce(n_accepted, 0) + n_bad as response_revision
+from e left join h using (source_id)"""
 
 #: Rule matches that the derived transactions can have, and all verdicts.
 RULE_ROWS = f""", hit as (select source_id, k, 0 as vin, null as prev_txid, 1 as number, 'output_size' as rule from outs where length(script_hex) / 2 > case when script_hex like '6a%' then 83 else 34 end
@@ -94,7 +98,7 @@ SQL: dict[str, str] = {
     "script_families": base_ctes("outputs") + f"select {FAMILY_HEX('script_hex')} as family, count(*) as n, cast(sum(value_sats) as bigint) as value_sats from outputs group by all",
     "rule_masks": WITH_CLASSIFIED + f"select source_id, coalesce({SIGNATURE}, status, 'unclassified') as region, count(*) as n, max(case when violated_mask > 0 then floor(log2(violated_mask)) + 1 end)::bigint as foundation from classified group by all",
     "signature_order": WITH_CLASSIFIED + f", s as (select distinct source_id, {SIGNATURE} as signature, violated_mask as v, unknown_mask as u from classified where status = 'violating') select source_id, signature, row_number() over (partition by source_id order by u > 0, {GRAY('v')}, {GRAY('u')}, signature) as place from s",
-    "structure_facts": RESOLVED + ", " + CANDIDATES + ", o as (select k, count(*) as output_count, cast(sum(case when script_hex = '6a5d0401020304' then 6 when script_hex like '6a08%' then 8 when script_hex like '6a4c50%' then 80 when script_hex like '6a4c51%' then 81 else 0 end) as bigint) as op_return_bytes, cast(sum(value_sats) as bigint) as output_sats from outs where source_id = 'node-a' group by k), i as (select k, any_value(txid) as txid, count(*) as input_count, cast(sum(2 * witness_items) as bigint) as witness_bytes from ins where source_id = 'node-a' group by k) select txid, input_count, output_count, op_return_bytes, output_sats, witness_bytes from o join i using (k)",
+    "structure_facts": RESOLVED + ", " + CANDIDATES + ", o as (select source_id, k, count(*) as output_count, cast(sum(case when script_hex = '6a5d0401020304' then 6 when script_hex like '6a08%' then 8 when script_hex like '6a4c50%' then 80 when script_hex like '6a4c51%' then 81 else 0 end) as bigint) as op_return_bytes, cast(sum(value_sats) as bigint) as output_sats from outs group by all), i as (select source_id, k, any_value(txid) as txid, count(*) as input_count, cast(sum(2 * witness_items) as bigint) as witness_bytes from ins group by all) select source_id, txid, input_count, output_count, op_return_bytes, output_sats, witness_bytes from o join i using (source_id, k)",
     "repeated_output": base_ctes("outputs") + ", c as (select k, value_sats // 2000000 * 2000000 as v, count(*) as n from outputs where value_sats >= 2000000 group by 1, 2), r as (select *, row_number() over (partition by k order by n desc, v desc) as i from c) select k, v as value_sats, n from r where i = 1",
     "family_counts": RESOLVED + ", " + CANDIDATES + f", s as (select source_id, k, script_hex from outs union all select source_id, k, script_hex from ins where script_hex is not null) select source_id, {FAMILY_HEX('script_hex')} as family, count(*) as n, count(distinct k) as transactions from s group by all",
     "prevout_facts": RESOLVED + "select source_id, is_parent, fact_state, count(*) as n, count(script_hex) as scripts from resolved group by all",
@@ -152,7 +156,7 @@ SQL: dict[str, str] = {
     "carry_forward": WITH_ENTRY + RESULTS + "select r.source_id, r.txid, r.label from results r join entry e on e.source_id = r.source_id and e.txid = r.txid and e.wtxid = r.wtxid",
     "materialise": WITH_ENTRY + RESULTS + "select e.source_id, e.txid, e.vsize, r.label from entry e left join results r on e.source_id = r.source_id and e.txid = r.txid and e.wtxid = r.wtxid",
     "work_set": WITH_ENTRY + RESULTS + ", j as (select e.source_id, r.txid is null as fresh, coalesce(r.retryable and r.attempts < 2, false) as again from entry e left join results r on e.source_id = r.source_id and e.txid = r.txid and e.wtxid = r.wtxid) select source_id, cast(case when fresh then 0 else 1 end as bigint) as priority, count(*) as n from j where fresh or again group by all",
-    "reconcile_responses": "with q as (select o_orderkey // 100 as b, o_orderkey as id from orders), a as (select l_orderkey // 100 as b, l_orderkey as id, count(*) as n from lineitem where l_linenumber = 1 group by all), m as (select q.b, count(*) as requests, count(a.id) as answered from q left join a on a.b = q.b and a.id = q.id group by all), t as (select b, sum(n) as got, max(n) as most from a group by all) select m.b as batch_id, requests, answered, concat_ws(',', case when most > 1 then 'duplicate' end, case when got > requests then 'excess' end) as errors from m left join t on t.b = m.b",
+    "reconcile_responses": "with q as (select o_orderkey // 100 as b, o_orderkey as id from orders), a as (select l_orderkey // 100 as b, l_orderkey as id, count(*) as n from lineitem group by all), m as (select q.b, count(*) as requests, count(a.id) as answered from q left join a on a.b = q.b and a.id = q.id group by all), t as (select b, sum(n) as got, max(n) as most from a group by all) select m.b as batch_id, requests, answered, concat_ws(',', case when most > 1 then 'duplicate' end, case when got > requests then 'excess' end) as errors from m left join t on t.b = m.b",
     "detail_lookup": WITH_ENTRY + ", q as (select sha256('tx:' || o_orderkey) as txid, s.source_id from orders, (values ('node-a'), ('node-b'), ('node-c'), ('node-d')) s(source_id)) select q.source_id, case when q.source_id = 'node-d' then 'waiting' when e.txid is null then 'not_present' when e.k % 6 = 0 then 'unclassified' else 'ready' end as outcome, count(*) as n from q left join entry e on e.source_id = q.source_id and e.txid = q.txid group by all",
     "catalog_counts": WITH_CLASSIFIED + BUCKETS + f", u as (select family, count(*) as n from fam group by all) select l.label as label_key, cast(l.ord as bigint) as label_ord, coalesce(n, 0) as n from {LABEL} l left join u on u.family = l.label",
     "capture_scan": WITH_ENTRY + "select source_id, txid, wtxid, vsize, weight, fee_sats, entered_at_ms // 1000 * 1000 as entered_at_ms, ancestor_fee_sats, descendant_vsize, replaceable from entry where source_id <> 'node-c'",
@@ -169,3 +173,8 @@ SQL: dict[str, str] = {
       select v.source_id, v.rule, case when coalesce(ev.e, 0) > 0 then 'violate' when v.m + coalesce(ev.m, 0) > 0 then 'unknown' else 'pass' end as verdict, count(*) as n from verdicts v left join ev on ev.source_id = v.source_id and ev.k = v.k and ev.number = v.number group by all""",
     "slice_report": RESOLVED + ", " + CANDIDATES + "select source_id, count(distinct txid) as attempted, count(*) filter (fact_state = 'ready') as ready, count(*) filter (fact_state = 'explicitly_missing') as explicitly_missing, count(*) filter (fact_state = 'pending') as pending from ins group by source_id",
 }
+
+
+from .contract_sql import queries as contract_sql  # noqa: E402  they build on the texts above
+
+SQL |= contract_sql(SQL)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality
-from ..schemas import ENTRY, PUBLISHED
+from ..schemas import ENTRY, FACTS, PUBLISHED, RESULT
 
 
 def write_entries(entries: DataFrame, path: str) -> None:

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in spark.checkpoint.dir; where that is unset (local runs) in a temporary one."""
+    """A fresh folder in spark.checkpoint.dir; where that is unset, in a temporary one in local mode, and an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("poolstrata.shared.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("poolstrata.shared.dir", where)
     return f"{where}/{name}-{uuid.uuid4().hex}"

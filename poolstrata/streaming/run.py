@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import shared_folder
-from .state import source_status
+from .state import revisions, source_status
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
@@ -31,6 +31,25 @@ def status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select("source_id", "generation", "last_error", "availability", "dropped", "response_revision")
 
 
+def revision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisions from deltas of the events table read as a stream: of each source the row that its last batch gave."""
+    events = spark.readStream.schema(EVENTS).format("parquet").option("pathGlobFilter", "*.parquet").load(events_path(spark, sf_dir))
+    deltas = events.select(
+        F.concat(F.lit("node-"), (F.col("event_id") % 4).cast("string")).alias("source_id"), F.lit(3).cast("bigint").alias("generation"), F.expr("event_id div 4").alias("revision"),
+        F.when(F.expr("event_id % 1009 = 1000"), 0).otherwise(F.col("event_id") % 7 + 1).cast("bigint").alias("n_changed"),
+    )
+    out = shared_folder(spark, "revisions")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    run = revisions(deltas).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", shared_folder(spark, "revisions-checkpoint")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    rows = spark.read.parquet(out)
+    payload = [c for c in rows.columns if c not in ("source_id", "batch")]
+    return rows.groupBy("source_id").agg(F.max_by(F.struct(*payload), "batch").alias("r")).select("source_id", "r.*")
+
+
 def events_path(spark: SparkSession, sf_dir: str) -> str:
     """A folder that a file stream can watch: the table's own, or a copy where the table is a single file."""
     path = f"{sf_dir}/events.parquet"

@@ -11,10 +11,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.columns import availability
 
+LAST = 1 << 53
 POLL = "source_id string, generation bigint, ok boolean, observed_at_ms bigint, n_entries bigint, error string"
 STATUS = "source_id string, generation bigint, observed_at_ms bigint, n_entries bigint, last_error string, availability string, dropped bigint, response_revision bigint"
 STATUS_STATE = "generation bigint, observed_at_ms bigint, n_entries bigint, last_error string, dropped bigint, response_revision bigint"
@@ -32,21 +34,37 @@ def _status_of(has: bool, error: str | None) -> str:
     return ("stale" if error else "ready") if has else ("error" if error else "waiting")
 
 
+def reduce_polls(part: pd.DataFrame) -> tuple[pd.DataFrame, int, tuple | None]:
+    """What a part of a source's polls comes down to: the first good poll of each generation, how many good polls there are, and
+    the last failure with the number of failures."""
+    good = part[part["ok"]].sort_values("observed_at_ms", kind="stable")
+    bad = part[~part["ok"].astype(bool)]
+    at = bad["observed_at_ms"].fillna(LAST)  # a failure without a time comes last
+    last = (int(at.max()), bad["error"].loc[at.idxmax()], len(bad)) if len(bad) else None
+    return good.drop_duplicates("generation"), len(good), last
+
+
 def fold_polls(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Polls of one source in order of generation: a good one replaces an older snapshot and clears the error; a failed one
-    keeps the snapshot and sets the error; an older or equal generation is dropped. The response revision goes up with every
-    change of what readers see."""
+    """Polls of one source in the order they arrive: a good one of a newer generation replaces the snapshot and clears the error, one of
+    an older or equal generation is dropped. A failure has no generation: it keeps the snapshot and sets the error. The response
+    revision goes up with every change of what readers see. A batch is reduced part by part, so what is held is a row for each of its
+    generations."""
     generation, observed, n, error, dropped, revision = state.get if state.exists else (-1, None, None, None, 0, 0)
-    rows = pd.concat(list(batches)).sort_values(["generation", "ok"], kind="stable")
-    for row in rows.itertuples(index=False):
-        if row.generation <= generation:
-            dropped += 1
-            continue
-        generation, revision = int(row.generation), revision + 1
-        if row.ok:
-            observed, n, error = int(row.observed_at_ms), int(row.n_entries), None
-        else:
-            error = row.error
+    first, failed, failures = None, None, 0
+    for part in batches:
+        good, count, bad = reduce_polls(part)
+        dropped += count
+        first = good if first is None else pd.concat([first, good]).sort_values("observed_at_ms", kind="stable").drop_duplicates("generation")
+        if bad:
+            failed, failures = max(failed or bad[:2], bad[:2], key=lambda x: x[0]), failures + bad[2]
+    accepted_at = -1
+    for row in first.sort_values("observed_at_ms", kind="stable").itertuples(index=False):
+        if row.generation > generation:
+            generation, observed, n, error, accepted_at = int(row.generation), int(row.observed_at_ms), int(row.n_entries), None, int(row.observed_at_ms)
+            dropped, revision = dropped - 1, revision + 1
+    revision += failures
+    if failed and failed[0] > accepted_at:
+        error = failed[1]
     state.update((generation, observed, n, error, dropped, revision))
     yield pd.DataFrame([[key[0], generation, observed, n, error, _status_of(observed is not None, error), dropped, revision]], columns=[c.split(" ")[0] for c in STATUS.split(", ")]).astype({"observed_at_ms": "Int64", "n_entries": "Int64", "last_error": "object"})
 
@@ -57,14 +75,20 @@ def source_status(polls: DataFrame) -> DataFrame:
 
 
 def status_of_polls(polls: DataFrame) -> DataFrame:
-    """What ``source_status`` reaches after all polls of a table, as plain aggregates."""
-    first = polls.groupBy("source_id", "generation").agg(F.min(F.struct("ok", "observed_at_ms", "n_entries", "error")).alias("p"), F.count("*").alias("times"))
-    g = first.select("source_id", "generation", "times", "p.*").groupBy("source_id").agg(
-        F.max("generation").alias("generation"), F.max_by(F.struct("observed_at_ms", "n_entries"), F.when(F.col("ok"), F.col("generation"))).alias("good"), F.bool_or("ok").alias("has"),
-        F.max_by(F.when(~F.col("ok"), F.col("error")), "generation").alias("last_error"), F.sum(F.col("times") - 1).alias("dropped"), F.count("*").alias("response_revision"),
+    """What ``source_status`` reaches after all polls of a table. A generation is accepted if its first good poll comes before
+    those of all later generations; the window runs over one row for each generation of a source."""
+    good = polls.where("ok").groupBy("source_id", "generation").agg(F.min_by(F.struct("observed_at_ms", "n_entries"), "observed_at_ms").alias("p"), F.count("*").alias("times"))
+    later = Window.partitionBy("source_id").orderBy(F.desc("generation")).rowsBetween(Window.unboundedPreceding, -1)
+    first_later = F.min("p.observed_at_ms").over(later)
+    marked = good.withColumn("accepted", first_later.isNull() | (F.col("p.observed_at_ms") < first_later))
+    held = marked.groupBy("source_id").agg(F.max("generation").alias("generation"), F.max_by("p", "generation").alias("p"), F.sum("times").alias("n_good"), F.count_if("accepted").alias("n_accepted"))
+    every = polls.groupBy("source_id").agg(F.count_if(~F.col("ok")).alias("n_bad"), F.max(F.when(~F.col("ok"), F.struct(F.coalesce("observed_at_ms", F.lit(LAST)).alias("observed_at_ms"), "error"))).alias("bad"))
+    g = every.join(held, "source_id", "left")
+    error = F.when(F.col("p").isNull() | (F.col("bad.observed_at_ms") > F.col("p.observed_at_ms")), F.col("bad.error"))
+    return g.select(
+        "source_id", F.coalesce("generation", F.lit(-1)).cast("bigint").alias("generation"), F.col("p.observed_at_ms").alias("observed_at_ms"), F.col("p.n_entries").alias("n_entries"), error.alias("last_error"),
+        availability(F.col("p").isNotNull(), error.isNotNull()).alias("availability"), F.coalesce(F.col("n_good") - F.col("n_accepted"), F.lit(0)).alias("dropped"), (F.coalesce("n_accepted", F.lit(0)) + F.col("n_bad")).alias("response_revision"),
     )
-    good = lambda name: F.when(F.col("has"), F.col(f"good.{name}")).alias(name)
-    return g.select("source_id", "generation", good("observed_at_ms"), good("n_entries"), "last_error", availability(F.col("has"), F.col("last_error").isNotNull()).alias("availability"), "dropped", "response_revision")
 
 
 def fold_deltas(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
