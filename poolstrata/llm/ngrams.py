@@ -117,6 +117,20 @@ def ranked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
+def coded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key's number among the different keys, and these: by one sort of keys with their places, where both fit in 64 bits."""
+    bits = np.uint64(len(keys).bit_length())
+    if not len(keys) or int(keys.max()).bit_length() + int(bits) > 64:
+        return pd.factorize(keys)
+    both = keys.astype(np.uint64) << bits | np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    key = both >> bits
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    code = np.empty(len(keys), np.int64)
+    code[(both & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)] = np.cumsum(new) - 1
+    return code, key[new].astype(np.int64)
+
+
 class Chunk:
     """Token arrays of a chunk's texts: each token's text, its word, the word before it."""
 
@@ -141,7 +155,7 @@ class Chunk:
         self.context = np.where(starts, self.start_word, np.concatenate((self.word[:1], self.word[:-1])))
         self.train_texts = int((~held).sum())
         width = len(self.words)
-        code, found = pd.factorize(self.context * width + self.word)
+        code, found = coded(self.context * width + self.word)
         key = mix(self.words[found // width] * K + self.words[found % width])
         order, rank = ranked(key)
         self.bigrams, self.bigram = key[order], rank[code]
@@ -153,7 +167,7 @@ class Chunk:
 
     def with_trigrams(self) -> Chunk:
         width = len(self.words)
-        code, found = pd.factorize(self.bigram[self.later - 1] * width + self.word[self.later])
+        code, found = coded(self.bigram[self.later - 1] * width + self.word[self.later])
         key = mix(self.bigrams[found // width] * K + self.words[found % width])
         order, rank = ranked(key)
         self.trigrams, self.trigram = key[order], rank[code]
