@@ -128,6 +128,13 @@ def first_keys(inputs: DataFrame) -> DataFrame:
     return first.select(*KEYS, F.unhex("_first").alias("arc4_key"))
 
 
+def carriers(places: Column | None = None) -> list[Column]:
+    """How many outputs carry a detection, and the first of them."""
+    if places is None:
+        return [F.lit(None).cast("int").alias("output_count"), F.lit(None).cast("array<bigint>").alias("outputs")]
+    return [F.size(places).alias("output_count"), F.slice(places, 1, MAX_CARRIERS).alias("outputs")]
+
+
 def witness_detections(inputs: DataFrame) -> DataFrame:
     rows = inputs.where(F.size("witness") > 0).withColumn("spend", S.taproot(F.col("witness")))
     control = F.col("spend.control")
@@ -137,7 +144,7 @@ def witness_detections(inputs: DataFrame) -> DataFrame:
     weak = ~strong & F.exists("witness", lambda w: S.contains_bytes(w, ORD_BYTES))
     named = F.array_compact(F.array(F.when(strong | weak, F.lit("inscription")), F.when(strong & S.is_brc20(F.col("envelope.body")), F.lit("brc20"))))
     how = F.when(strong, "decoded_envelope").otherwise("byte_pattern")
-    return rows.select(*KEYS, F.lit("witness").alias("carrier"), F.col("vin").alias("place"), how.alias("detection"), F.explode(named).alias("label"))
+    return rows.select(*KEYS, F.lit("witness").alias("carrier"), F.col("vin").alias("place"), how.alias("detection"), F.explode(named).alias("label"), *carriers())
 
 
 def op_return_detections(outputs: DataFrame, arc4_keys: DataFrame) -> DataFrame:
@@ -149,7 +156,7 @@ def op_return_detections(outputs: DataFrame, arc4_keys: DataFrame) -> DataFrame:
     clear = S.arc4_apply("arc4_key", F.when(~runes & (F.length("payload") >= len(CNTRPRTY)), F.substring("payload", 1, len(CNTRPRTY))))
     rows = rows.withColumn("clear", clear)
     label = F.when(runes, "runes").when(F.col("clear") == F.lit(CNTRPRTY), "counterparty").when(F.startswith("payload", F.lit(OMNI)), "omni").otherwise("other_op_return")
-    return rows.select(*KEYS, F.lit("op_return").alias("carrier"), F.col("vout").alias("place"), F.lit("output").alias("detection"), label.alias("label"))
+    return rows.select(*KEYS, F.lit("op_return").alias("carrier"), F.col("vout").alias("place"), F.lit("output").alias("detection"), label.alias("label"), *carriers(F.array("vout")))
 
 
 def any_marker(data: Column) -> Column:
@@ -169,18 +176,18 @@ def multisig_detections(outputs: DataFrame, arc4_keys: DataFrame) -> DataFrame:
     per_tx = rows.groupBy(*KEYS).agg(ordered("stamp_chunk").alias("stamps"), ordered("cp_chunk").alias("chunks")).join(arc4_keys, KEYS, "left")
     stream = lambda name: S.concat_binary(F.transform(name, lambda x: x["chunk"]))
     stamps = per_tx.where(F.size("stamps") > 0).withColumn("data", stream("stamps")).withColumn("clear", S.arc4_apply("arc4_key", "data")).where(any_marker(F.col("clear")))
-    stamps = stamps.select(*KEYS, F.lit("bare_multisig").alias("carrier"), F.col("stamps.vout")[0].alias("place"), F.lit("arc4_decrypted_marker").alias("detection"), F.lit("stamps").alias("label"))
+    stamps = stamps.select(*KEYS, F.lit("bare_multisig").alias("carrier"), F.col("stamps.vout")[0].alias("place"), F.lit("arc4_decrypted_marker").alias("detection"), F.lit("stamps").alias("label"), *carriers(F.col("stamps.vout")))
     # candidates in order: the joined stream where there are several chunks, then each chunk
-    single = F.transform("chunks", lambda x: F.struct((x["vout"] + 1).alias("ord"), x["vout"].alias("vout"), x["chunk"].alias("data")))
-    all_of = F.when(F.size("chunks") > 1, F.array(F.struct(F.lit(0).cast("bigint").alias("ord"), F.col("chunks.vout")[0].alias("vout"), stream("chunks").alias("data"))))
+    single = F.transform("chunks", lambda x: F.struct((x["vout"] + 1).alias("ord"), F.array(x["vout"]).alias("vouts"), x["chunk"].alias("data")))
+    all_of = F.when(F.size("chunks") > 1, F.array(F.struct(F.lit(0).cast("bigint").alias("ord"), F.col("chunks.vout").alias("vouts"), stream("chunks").alias("data"))))
     tried = per_tx.where(F.size("chunks") > 0).select(*KEYS, "arc4_key", F.explode(F.concat(F.coalesce(all_of, F.slice(single, 1, 0)), single)).alias("try"))
     tried = tried.where(F.length("try.data") >= len(CNTRPRTY)).withColumn("plain", F.startswith(F.col("try.data"), F.lit(CNTRPRTY)))
     tried = tried.withColumn("clear", F.when(F.col("plain"), F.col("try.data")).otherwise(S.arc4_apply("arc4_key", "try.data")))
     proven = F.startswith("clear", F.lit(CNTRPRTY)) | (~F.col("plain") & F.startswith(F.substring("clear", 2, len(CNTRPRTY)), F.lit(CNTRPRTY)))
-    first = tried.where(proven).groupBy(*KEYS).agg(F.min_by(F.struct(F.col("try.vout").alias("vout"), "plain", "clear"), "try.ord").alias("hit"))
+    first = tried.where(proven).groupBy(*KEYS).agg(F.min_by(F.struct(F.col("try.vouts").alias("vouts"), "plain", "clear"), "try.ord").alias("hit"))
     both = F.array_compact(F.array(F.lit("counterparty"), F.when(any_marker(F.col("hit.clear")), F.lit("stamps"))))
     how = F.when(F.col("hit.plain"), "plaintext_prefix").otherwise("arc4_decrypted_prefix")
-    counterparty = first.select(*KEYS, F.lit("bare_multisig").alias("carrier"), F.col("hit.vout").alias("place"), how.alias("detection"), F.explode(both).alias("label"))
+    counterparty = first.select(*KEYS, F.lit("bare_multisig").alias("carrier"), F.col("hit.vouts")[0].alias("place"), how.alias("detection"), F.explode(both).alias("label"), *carriers(F.col("hit.vouts")))
     return stamps.unionByName(counterparty)
 
 
@@ -190,9 +197,10 @@ def detections(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
 
 
 def data_protocols(transactions: DataFrame, found: DataFrame) -> DataFrame:
-    """Results from detections; at most 16 of them, by carrier and place, are kept as evidence."""
+    """Results from detections; at most 16 of them, by carrier and place, are kept as evidence, each with how many outputs
+    carry it and the first eight of those."""
     order = F.when(F.col("carrier") == "witness", 0).when(F.col("carrier") == "op_return", 1).otherwise(2)
-    per_tx = found.groupBy(*KEYS).agg(F.collect_set("label").alias("found"), F.slice(F.array_sort(F.collect_list(F.struct(order.alias("o"), "place", "carrier", "label", "detection"))), 1, MAX_DETECTIONS).alias("evidence"))
+    per_tx = found.groupBy(*KEYS).agg(F.collect_set("label").alias("found"), F.slice(F.array_sort(F.collect_list(F.struct(order.alias("o"), "place", "carrier", "label", "detection", "output_count", "outputs"))), 1, MAX_DETECTIONS).alias("evidence"))
     joined = transactions.select(*KEYS).join(per_tx, KEYS, "left")
     flags = {name: F.array_contains("found", name) for name in DATA_LABELS[:-1]} | {DATA_LABELS[-1]: F.col("found").isNull()}
     labels = ordered_labels(flags, DATA_LABELS)

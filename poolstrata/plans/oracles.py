@@ -176,5 +176,6 @@ SQL: dict[str, str] = {
 
 
 from .contract_sql import queries as contract_sql  # noqa: E402  they build on the texts above
+from .spends import queries as spends_sql  # noqa: E402
 
-SQL |= contract_sql(SQL)
+SQL |= contract_sql(SQL) | spends_sql(LABEL)

@@ -629,5 +629,6 @@ def slice_report(spark, sf_dir):
 
 
 from .contract import QUERIES as CONTRACT  # noqa: E402  the contract's queries use those above
+from .spends import QUERIES as SPENDS  # noqa: E402
 
-ALL |= CONTRACT
+ALL |= CONTRACT | SPENDS
