@@ -108,6 +108,23 @@ def test_license_cases(spark, odd):
     assert [(r.doc_id, r.license, r.start, r.end) for r in got] == [(1, "mit-line", 2, 32)] * 2 and licenses.scan(rows.limit(0)).count() == 0
 
 
+def test_license_places():
+    """Every copy of a template is a place: apart, touching, with a word changed, in a text of tens of thousands of words; of kindred
+    notices the nearer one is the closest."""
+    grant, notice = licenses.TEMPLATES["mit-grant"], licenses.TEMPLATES["agpl-3-notice"]
+    changed = grant.replace("documentation", "manuals")
+    filler = " ".join(f"é{n}" for n in range(20000))
+    texts = [f"{grant} {grant} {changed} {filler} {grant} {filler} {notice}", grant, "", None, f"{licenses.TEMPLATES['gpl-notice']} and {notice}"]
+    got = licenses.Templates(licenses.TEMPLATES).scan(texts)
+    grants = [r for r in got if r[:2] == (0, "mit-grant")]
+    at = [m.start() for m in re.finditer("Permission is hereby granted, free", texts[0])]
+    assert [r[3] for r in grants] == at and len(at) == 4 and [r[2] == 1.0 for r in grants] == [True, True, False, True]
+    assert all(texts[0][r[3] : r[4]] in (grant, changed) for r in grants)
+    assert {(r[1], r[5]) for r in got if r[0] == 0} == {("mit-grant", True), ("agpl-3-notice", True), ("gpl-notice", False)}
+    assert {(r[1], r[5]) for r in got if r[0] == 4} == {("gpl-notice", True), ("gpl-notice", False), ("agpl-3-notice", True)}
+    assert [r[:3] for r in got if r[0] == 1] == [(1, "mit-grant", 1.0)] and not [r for r in got if r[0] in (2, 3)]
+
+
 # ---- 3 and 7 ---------------------------------------------------------------------------------------------------------
 
 
