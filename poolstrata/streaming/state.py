@@ -91,23 +91,33 @@ def status_of_polls(polls: DataFrame) -> DataFrame:
     )
 
 
+def reduce_deltas(parts: pd.DataFrame) -> pd.DataFrame:
+    """One row for each generation and revision: how many reports it has, and the first that changes something (else 0)."""
+    changing = parts["n_changed"].where(parts["n_changed"] > 0)
+    grouped = parts.assign(n_changed=changing).groupby(["generation", "revision"], sort=True, as_index=False).agg(n_changed=("n_changed", "first"), times=("times", "sum"))
+    return grouped.fillna({"n_changed": 0})
+
+
 def fold_deltas(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Classification deltas of one source: the next revision of the current generation applies (and counts only if something
     changed), a repeat is ignored, a gap is an error; a new generation starts at revision 0; reports of a replaced one are
-    ignored."""
+    ignored. A batch is reduced part by part, so what is held is a row for each of its revisions."""
     generation, revision, applied, ignored, error, changed = state.get if state.exists else (-1, 0, 0, 0, None, 0)
-    rows = pd.concat(list(batches)).sort_values(["generation", "revision"], kind="stable")
+    rows = None
+    for part in batches:
+        part = reduce_deltas(part.assign(times=1))
+        rows = part if rows is None else reduce_deltas(pd.concat([rows, part]))
     for row in rows.itertuples(index=False):
         if row.generation > generation:
             generation, revision, error = int(row.generation), 0, None
         if row.generation < generation or row.revision <= revision:
-            ignored += 1
+            ignored += int(row.times)
         elif row.revision > revision + 1:
             error = f"gap: {row.revision} after {revision}"
         elif row.n_changed > 0:
-            revision, applied, changed = revision + 1, applied + 1, changed + int(row.n_changed)
+            revision, applied, ignored, changed = revision + 1, applied + 1, ignored + int(row.times) - 1, changed + int(row.n_changed)
         else:
-            ignored += 1
+            ignored += int(row.times)
     state.update((generation, revision, applied, ignored, error, changed))
     yield pd.DataFrame([[key[0], generation, revision, applied, ignored, error, changed]], columns=[c.split(" ")[0] for c in REVISION.split(", ")])
 

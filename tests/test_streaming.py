@@ -48,6 +48,12 @@ def test_revision_gap_is_an_error(spark, tmp_path):
     assert got["revision"] == 1 and got["error"] == "gap: 3 after 1"
 
 
+def test_repeats_within_a_batch(spark, tmp_path):
+    rows = [("a", 1, 1, 0), ("a", 1, 1, 4), ("a", 1, 1, 9), ("a", 1, 2, 0), ("a", 1, 2, 0), ("a", 0, 1, 3)]
+    got = run_stream(spark, tmp_path, [rows, [("a", 1, 2, 2), ("a", 1, 1, 7), ("a", 1, 4, 1), ("a", 1, 4, 1)]], state.DELTA, state.revisions)["a",]
+    assert (got["revision"], got["applied"], got["ignored"], got["changed"], got["error"]) == (2, 3, 5, 9, "gap: 4 after 2")  # generation 0 comes first and applies
+
+
 def test_merge_and_memory(spark):
     cols = "source_id string, txid string, generation bigint, revision bigint, label string"
     now = spark.createDataFrame([("a", "x", 2, 1, "old"), ("a", "y", 1, 9, "gone")], cols)
