@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import filter_audit
+from .alignment import op13_alignment
 from .decontaminate import op1_decontaminate
 from .html_text import op9_html
 from .language import op3_language
@@ -21,5 +22,5 @@ def trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_ngrams(spark, sf_dir, ORDER)
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_licenses": op2_licenses, "op3_language": op3_language, "op4_simhash": op4_simhash, "op5_media": op5_media, "op6_ngrams": trigrams, "op7_toxicity": op7_toxicity, "op8_secrets": op8_secrets, "op9_html": op9_html, "op10_packing": op10_packing, "op11_filter_audit": filter_audit.op11_filter_audit}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_licenses": op2_licenses, "op3_language": op3_language, "op4_simhash": op4_simhash, "op5_media": op5_media, "op6_ngrams": trigrams, "op7_toxicity": op7_toxicity, "op8_secrets": op8_secrets, "op9_html": op9_html, "op10_packing": op10_packing, "op11_filter_audit": filter_audit.op11_filter_audit, "op13_alignment": op13_alignment}
 ORACLE_SQL: dict[str, str] = {"op11_filter_audit": filter_audit.ORACLE_SQL}
