@@ -5,7 +5,7 @@
 ``reliabilities`` the votes' patterns are counted in Spark over all candidates, and expectation-maximisation (Dawid and Skene, 1979)
                   estimates each kind's share of true spans and how often each labeler says yes, nothing or no of true and of false ones.
 ``fit``           a logistic regression on the features, with the labelers' combined probabilities as soft labels, on at most ``FIT`` different
-                  candidates (those of least hash): the final span classifier.
+                  candidates (those of least hash; where candidates are many, of the share of them that has the least hashes): the final span classifier.
 ``decide``        base spans stay, whatever the classifier says. Candidates of the added kinds stay from ``LEAST`` probability on, the likeliest
                   first, where they overlap nothing that stays.
 
@@ -335,7 +335,10 @@ def train(found: DataFrame, fit: int = FIT) -> Model:
     counts = each.groupBy("kind", "votes").agg(F.count("*").alias("n")).orderBy("kind", "votes").collect()  # 3^6 patterns of a kind at most
     kind, votes = np.array([r["kind"] for r in counts], np.int64), np.array([votes_in(r["votes"]) for r in counts], np.int64).reshape(-1, len(LABELERS))
     reliable = maximise(kind, votes, np.array([r["n"] for r in counts], float))
-    drawn = each.distinct().orderBy(F.xxhash64("kind", "votes", "features"), "kind", "votes", "features").limit(fit).collect()
+    # a share of the different candidates by hash, so that no more than a few times ``fit`` compete for the sample, whatever their number
+    total, draw = max(1, sum(r["n"] for r in counts)), F.xxhash64("kind", "votes", "features")
+    share = each.where(F.pmod(draw, F.lit(1 << 30)) < F.lit(int(min(1.0, 4 * fit / total) * (1 << 30))))
+    drawn = share.distinct().orderBy(F.pmod(draw, F.lit(1 << 30)), "kind", "votes", "features").limit(fit).collect()
     target = reliable.probability(np.array([r["kind"] for r in drawn], np.int64), np.array([votes_in(r["votes"]) for r in drawn], np.int64).reshape(-1, len(LABELERS)))
     return Model(reliable, logistic([r["features"] for r in drawn], target), tuple(sorted({KINDS[r["kind"]] for r in drawn})))
 
