@@ -291,10 +291,10 @@ def oversized_output(script: Column | str = "script") -> Column:
     return (F.length(s) > F.when(F.startswith(s, S.x("6A")), MAX_OP_RETURN).otherwise(MAX_SCRIPT)) & (F.length(s) > 0)
 
 
-def rule_details(transactions: DataFrame, outputs: DataFrame, inputs: DataFrame, activation_height: int | None = None) -> DataFrame:
+def rule_details(transactions: DataFrame, outputs: DataFrame, inputs: DataFrame, activation_height: int | Column | None = None) -> DataFrame:
     """One row for each transaction and rule: verdict, counts, first evidence, first missing fact.
 
-    ``activation_height`` turns on consensus mode: inputs carry creation_height; coins created before activation are exempt,
+    ``activation_height`` (a height, or a column of the inputs) turns on consensus mode: inputs carry creation_height; coins created before activation are exempt,
     and where the height is unknown the rules that would have matched are unknown.
     """
     checked = input_matches(inputs.join(transactions.select(*KEYS, "is_coinbase").where("not is_coinbase").drop("is_coinbase"), KEYS, "left_semi"))

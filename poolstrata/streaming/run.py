@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import shared_folder
+from .keyed import CHANGE, EVENT, RAISED, RESULT, current_results, response_revisions, rocksdb
 from .state import revisions, source_status
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
@@ -50,6 +51,43 @@ def revision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source_id").agg(F.max_by(F.struct(*payload), "batch").alias("r")).select("source_id", "r.*")
 
 
+def land(parts: list[DataFrame], name: str) -> str:
+    """A folder of the shared one that a file stream can watch, with the parts landed one after the other."""
+    folder = shared_folder(parts[0].sparkSession, name)
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+    return folder
+
+
+def to_the_end(spark: SparkSession, out: DataFrame, mode: str, schema: str, name: str) -> tuple[DataFrame, str]:
+    """Run a stream over what has landed. Each micro-batch's rows replace what a failed try of it had written. Returns all rows with their
+    ``batch``, and the folder of the checkpoint, which holds the state."""
+    folder, checkpoint = shared_folder(spark, name), shared_folder(spark, f"{name}-checkpoint")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    with rocksdb(spark):
+        out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(f"{schema}, batch bigint").parquet(folder), checkpoint
+
+
+def run_results(spark: SparkSession, landed: str, keep_ms: int, files: int = 4) -> tuple[DataFrame, str]:
+    """The current results after all changes in a folder: of each transaction that is present the row of its last change."""
+    changes = spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", files).parquet(landed)
+    rows, checkpoint = to_the_end(spark, current_results(changes, keep_ms), "update", RESULT, "results")
+    payload = [c for c in rows.columns if c not in ("source_id", "txid", "batch")]
+    newest = rows.groupBy("source_id", "txid").agg(F.max_by(F.struct(*payload), "batch").alias("r")).select("source_id", "txid", "r.*")
+    return newest.where("present").drop("present"), checkpoint
+
+
+def run_revisions(spark: SparkSession, landed: str, files: int = 4) -> tuple[DataFrame, str]:
+    """Every revision that the events in a folder raise."""
+    events = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files).parquet(landed)
+    rows, checkpoint = to_the_end(spark, response_revisions(events), "append", RAISED, "raised")
+    return rows.drop("batch"), checkpoint
+
+
 def events_path(spark: SparkSession, sf_dir: str) -> str:
     """A folder that a file stream can watch: the table's own, or a copy where the table is a single file."""
     path = f"{sf_dir}/events.parquet"
