@@ -25,12 +25,14 @@ class Lens:
     semantics: str
     required_facts: tuple[str, ...]
     labels: tuple[str, ...]
-    classify: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = field(default=None, compare=False)
+    classify: Callable[..., DataFrame] | None = field(default=None, compare=False)
+    #: Lenses whose results this one reads: they are planned before it, and it gets them by id as a fourth argument.
+    needs: tuple[str, ...] = ()
 
 
 CATALOG: list[Lens] = [
     Lens("transaction_properties", "1", "exact", "multi_label", ("raw_transaction", "input_script_pubkeys"), PROPERTY_LABELS),
-    Lens("transaction_shape", "2", "heuristic", "multi_label", ("raw_transaction", "input_script_pubkeys"), SHAPE_LABELS),
+    Lens("transaction_shape", "2", "heuristic", "multi_label", ("raw_transaction", "input_script_pubkeys"), SHAPE_LABELS, needs=("data_protocols",)),
     Lens("data_protocols", "2", "fingerprint", "multi_label", ("raw_transaction",), DATA_LABELS),
     Lens("knots_bip110", "1", "policy", "rule_set", ("raw_transaction", "input_script_pubkeys"), STATUSES),
 ]
@@ -47,6 +49,21 @@ def register(lens: Lens) -> None:
     CATALOG.append(lens)
 
 
+def planned(lenses: list[Lens]) -> list[Lens]:
+    """Lenses with each after all that it needs, else in their order. A need that isn't among them, or that leads back, is an error."""
+    names, done, out = {x.classifier_id for x in lenses}, set(), []
+    for lens in lenses:
+        if missing := set(lens.needs) - names:
+            raise ValueError(f"lens {lens.classifier_id} needs {', '.join(sorted(missing))}")
+    while len(out) < len(lenses):
+        ready = next((x for x in lenses if x.classifier_id not in done and done.issuperset(x.needs)), None)
+        if ready is None:
+            raise ValueError(f"lenses need each other: {', '.join(x.classifier_id for x in lenses if x.classifier_id not in done)}")
+        done.add(ready.classifier_id)
+        out.append(ready)
+    return out
+
+
 def catalog_frame(spark: SparkSession) -> DataFrame:
     """One row for each label: a dimension of a few dozen rows."""
     rows = [(n, x.classifier_id, x.version, x.methodology, x.semantics, list(x.required_facts), k, label) for n, x in enumerate(CATALOG) for k, label in enumerate(x.labels)]

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import CATALOG, DATA_LABELS, FAMILIES, PROPERTY_LABELS, RULES, SHAPE_LABELS
+from ..catalog import CATALOG, DATA_LABELS, FAMILIES, PROPERTY_LABELS, RULES, SHAPE_LABELS, Lens, planned
 from ..functions import scripts as S
 from ..functions.columns import ordered_labels
 from ..storage import written
@@ -348,15 +348,30 @@ def policy_result(assessed: DataFrame) -> DataFrame:
 # ---- H6 --------------------------------------------------------------------------------------------------------------
 
 
-def classify(transactions: DataFrame, outputs: DataFrame, inputs: DataFrame) -> DataFrame:
+def classify(transactions: DataFrame, outputs: DataFrame, inputs: DataFrame, lenses: list[Lens] | None = None) -> DataFrame:
     """The results of all lenses of the catalog for every transaction, with structure and assessment: one row a transaction, or none.
-    A registered lens gives keys, state, primary_label, labels and missing_facts from (transactions, outputs, inputs). What two
-    lenses need is written once."""
-    found = written(data_protocols(transactions, detections(outputs, inputs)).drop("evidence"), "detected")
+
+    Lenses run in the order of their needs. A result that another lens needs is written once, and so is the assessment. A registered lens gives
+    keys, state, primary_label, labels and missing_facts from (transactions, outputs, inputs) and, where it has needs, the results that it
+    named: a dictionary of such frames by id.
+    """
+    catalog = CATALOG if lenses is None else lenses
+    needed = {name for lens in catalog for name in lens.needs}
     assessed = written(assessments(rule_details(transactions, outputs, inputs)), "assessed")
-    parts = [transaction_properties(transactions, outputs, inputs), transaction_shape(transactions, outputs, inputs, found), found, policy_result(assessed)]
+    own = {
+        "transaction_properties": lambda given: transaction_properties(transactions, outputs, inputs), "data_protocols": lambda given: data_protocols(transactions, detections(outputs, inputs)).drop("evidence"),
+        "transaction_shape": lambda given: transaction_shape(transactions, outputs, inputs, given["data_protocols"]), "knots_bip110": lambda given: policy_result(assessed),
+    }
     fields = ["state", "primary_label", "labels", "missing_facts"]
-    parts += [lens.classify(transactions, outputs, inputs).select(*KEYS, F.lit(lens.classifier_id).alias("classifier_id"), *fields) for lens in CATALOG if lens.classify]
+    found: dict[str, DataFrame] = {}
+    for lens in planned(catalog):
+        given = {name: found[name] for name in lens.needs}
+        if lens.classify is None:
+            got = own[lens.classifier_id](given)
+        else:
+            got = lens.classify(transactions, outputs, inputs, given) if lens.needs else lens.classify(transactions, outputs, inputs)
+        found[lens.classifier_id] = written(got, "lens") if lens.classifier_id in needed else got
+    parts = [found[x.classifier_id].select(*KEYS, F.lit(x.classifier_id).alias("classifier_id"), *fields) for x in catalog]
     rows = reduce(DataFrame.unionByName, (p.withColumn("ord", F.lit(k)) for k, p in enumerate(parts)))
     folded = rows.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("ord", "classifier_id", *fields))).alias("r")).where(F.size("r") == len(parts))
     results = F.transform("r", lambda x: F.struct(*(x[n].alias(n) for n in ("classifier_id", *fields))))

@@ -63,15 +63,52 @@ def lookup(keys: DataFrame, headers: DataFrame, entries: DataFrame, details: Dat
     return joined.select(*keys.columns, outcome.alias("outcome"))
 
 
+#: Rows that a page's search may leave to be sorted, and how many characters of the id each step tells apart (hex: 4,096 counts).
+NARROW, STEP = 1 << 17, 3
+
+
 def page(entries: DataFrame, number: int, size: int = 100) -> DataFrame:
-    """One page in txid order, its number clamped to what there is, with the places of its first and last match."""
-    total = entries.count()
-    last = max(0, -(-total // size) - 1)
-    number = min(max(0, number), last)
-    rows = entries.orderBy("txid").offset(number * size).limit(size)
+    """One page in txid order, its number clamped to what there is, with the places of its first and last match.
+
+    Counts by the ids' first characters tell in which range of ids the page lies; larger ranges are told apart by more
+    characters. Only rows of that range are sorted, and where entries are clustered by txid only they are read."""
+    total, number, low, high, before = seek(entries, number, size)
+    rows = entries.where((F.col("txid") >= low) & (F.substring("txid", 1, len(high)) <= high)).orderBy("txid").offset(number * size - before).limit(size)
     return rows.withColumn("page", F.lit(number)).withColumn("first_match", F.lit(min(total, number * size + 1))).withColumn("last_match", F.lit(min(total, (number + 1) * size)))
 
 
+def seek(entries: DataFrame, number: int, size: int) -> tuple[int, int, str, str, int]:
+    """(rows in all, the page's number, first and last prefix of the ids that hold the page, rows before these)."""
+    known: dict[str, list[tuple[str, int]]] = {}
+
+    def locate(index: int) -> tuple[str, int]:
+        """The prefix of few enough ids among which the row with that number is, and how many rows come before them."""
+        prefix, before = "", 0
+        while True:
+            if prefix not in known:
+                known[prefix] = prefix_counts(entries, prefix, len(prefix) + STEP)
+            for longer, n in known[prefix]:
+                if before + n > index:
+                    break
+                before += n
+            if n <= NARROW or len(longer) >= 64 or longer == prefix:
+                return longer, before
+            prefix = longer
+
+    known[""] = prefix_counts(entries, "", STEP)
+    total = sum(n for _, n in known[""])
+    number = min(max(0, number), max(0, -(-total // size) - 1))
+    if not total:
+        return 0, number, "", "", 0
+    low, before = locate(number * size)
+    return total, number, low, locate(min(total, (number + 1) * size) - 1)[0], before
+
+
+def prefix_counts(entries: DataFrame, prefix: str, length: int) -> list[tuple[str, int]]:
+    rows = entries.where(F.startswith("txid", F.lit(prefix))) if prefix else entries.where("txid is not null")
+    return [(r["p"], r["n"]) for r in rows.groupBy(F.substring("txid", 1, length).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()]
+
+
 def sample(entries: DataFrame, n: int = 8, pinned: str | None = None, groups: tuple[str, ...] = ("source_id",)) -> DataFrame:
     """The n largest of each group by vsize, then txid; a pinned transaction outside them takes the last place."""
     order = [F.desc("vsize"), F.col("txid")]

@@ -631,5 +631,6 @@ def slice_report(spark, sf_dir):
 from .contract import QUERIES as CONTRACT  # noqa: E402  the contract's queries use those above
 from .current import QUERIES as CURRENT  # noqa: E402
 from .spends import QUERIES as SPENDS  # noqa: E402
+from .stored import QUERIES as STORED  # noqa: E402
 
-ALL |= CONTRACT | CURRENT | SPENDS
+ALL |= CONTRACT | CURRENT | SPENDS | STORED
