@@ -52,22 +52,23 @@ def lowered(text: str) -> str:
 def maximal_segments(steps: list[tuple[float, float]]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments of a list of (score below or at zero, positive score) steps, as (first, last, score):
     numbers of the positive scores at either end. Linear time."""
-    kept: list[list] = []  # [first, last, sum before it, sum at its end]
+    kept: list[list] = []  # [first, last, sum before it, sum at its end, number of the nearest one before it that begins lower]
     total = 0.0
     for k, (fall, rise) in enumerate(steps):
         total += fall
-        new = [k, k, total, total + rise]
+        new = [k, k, total, total + rise, -1]
         total += rise
         while True:
             j = len(kept) - 1
             while j >= 0 and kept[j][2] >= new[2]:
-                j -= 1
+                j = kept[j][4]  # what lies between begins no lower than kept[j], so none of it is looked at again
             if j < 0 or kept[j][3] >= new[3]:
+                new[4] = j
                 kept.append(new)
                 break
-            new = [kept[j][0], new[1], kept[j][2], new[3]]
+            new = [kept[j][0], new[1], kept[j][2], new[3], -1]
             del kept[j:]
-    return [(a, b, right - left) for a, b, left, right in kept]
+    return [(a, b, right - left) for a, b, left, right, _ in kept]
 
 
 @dataclass

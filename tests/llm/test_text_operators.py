@@ -152,6 +152,16 @@ def best_segments(xs):
     return best_segments(xs[:i]) + [(i, j)] + [(a + j + 1, b + j + 1) for a, b in best_segments(xs[j + 1 :])]
 
 
+@pytest.mark.parametrize("fall, rise", [(-2.0, 1.0), (-1.0, 1.0), (-0.5, 1.0), (-1e-9, 1e-9), (-3.0, 2.999)])
+def test_segments_take_linear_time(fall, rise):
+    import time
+
+    began = time.process_time()
+    toxicity.maximal_segments([(fall, rise)] * 100_000)
+    toxicity.maximal_segments([(fall * (1 + k % 7), rise * (1 + k % 5)) for k in range(100_000)])
+    assert time.process_time() - began < 2
+
+
 def test_segments_against_brute_force():
     rng = random.Random(3)
     for _ in range(200):
