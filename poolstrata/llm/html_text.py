@@ -10,8 +10,8 @@ themselves, a sample of at most ``SAMPLE`` drawn by hash, each also with its tel
 pages without such tags are covered; and ``EXAMPLES``, written and labelled by hand, for what a table may lack.
 
 Defined cases: a null or empty page gives empty text; markup that never closes is closed at the page's end; text outside
-any element is a leaf of the root; scripts, styles, frames, controls, comments, the head and what attributes hide are
-never text, other fallbacks (noscript, object, svg and so on) are; repeated rows each get a row. Only page_id, url and html are read.
+any element is a leaf of the root; scripts, styles, frames, controls, comments, the head and what aria-hidden marks are
+never text; blocks that other attributes hide are parts like others, with a feature that says so; other fallbacks (noscript, object, svg and so on) are; repeated rows each get a row. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ CELLS = frozenset("td th tr".split())
 TELLING = frozenset("article main nav header footer aside form section".split())
 # fixed values: words of class and id names that say what a part of a page is for
 ASIDE_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs bar comment comments cookie cookies consent copyright discussion disqus footer foot form gdpr header head login masthead menu nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing side sidebar signup social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets alert modal links".split())
+#: Words that may stand beside those in one name without changing what it says ("cookie-box"); beside others they may mean something else ("share-price").
+PART_WORDS = frozenset("area bottom box block btn button card cards center col column container desktop group holder icon icons inner item items large left line list lists meta mobile module my outer page panel part posts right row section site small text title top unit wrap wrapper".split())
 CONTENT_WORDS = frozenset("article articlebody body content entry main maincontent post postcontent story text prose".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[a-zA-Z/!?][^>]*$", re.S)
@@ -64,31 +66,37 @@ EXAMPLES = (
     '<body data-label="0"><nav><a href="/1">One</a><a href="/2">Two</a></nav><div class="ad">Cheap flights to all islands, book today.</div><article data-label="1"><h1>Of bees</h1><p>Bees live in hives and gather nectar from flowers.</p><p>A hive has one queen.</p></article><section class="related"><p>More about insects in our archive.</p></section><footer>All rights reserved.</footer></body>',
     '<body data-label="0"><header><h1>Weekly</h1></header><div class="menu"><ul><li><a href="/x">Home</a></li></ul></div><article data-label="1"><h2>Salt</h2><p>Salt was once worth its weight in silver.</p><blockquote>So it is said.</blockquote><p>It is cheap now.</p></article><div class="sidebar"><p>Other stories of the week.</p></div><footer><p>Imprint</p></footer></body>',
     '<body data-label="0"><article data-label="1"><header><h1>The title in a header of the article</h1></header><p>Plain text of an article that goes on for a while and ends.</p><div><p>Nested paragraph, which belongs to the text as well.</p></div><aside data-label="0"><p>See also our guide to everything else on this site.</p></aside><p>The end.</p><footer data-label="0"><p>Filed under news</p></footer></article><div class="related-posts"><h3>Read next</h3><p>Ten things that you did not know about rivers.</p></div><div class="alert notice"><p>This page was archived and may be out of date.</p></div></body>',
+    '<body data-label="0"><div class="modal" hidden><p>Sign in to read on, it is free and takes a minute.</p></div><nav class="nav"><ul><li><a href="/">Home</a></li></ul></nav><article data-label="1"><h1>The price of tea</h1><p>Tea has been traded over land and sea for many hundreds of years.</p><section class="share-price"><h2>A share of the market</h2><p>One house held nearly all of the trade for a century and a half.</p><p>Then others came.</p></section><p hidden>Readers who open this part find how the prices were worked out.</p><div style="display:none"><p>A table of all prices by year, as far as they are known.</p><p>Not all are.</p></div><div class="side-by-side"><p>The two ports lay close together, and the ships of both went east.</p></div><p>So it ended.</p></article><div class="cookie-banner" style="display:none"><p>We and our partners store cookies on your device for this.</p></div><footer class="site-footer"><p>All rights are reserved by the publisher.</p></footer></body>',
+    '<body data-label="0"><div id="top-bar"><p>Open today from nine to five.</p></div><div class="story-body" data-label="1"><h1>Search for the source</h1><div class="search-party"><p>The search party went up the valley in the spring of that year.</p><p>They found it.</p></div><div class="menu-of-the-day"><h2>What they ate</h2><p>Bread, cheese and dried meat were all that they carried with them.</p></div><details hidden><summary>How long it took</summary><p>Nine weeks in all, of which two were lost to snow on the pass.</p></details><p>They came home in the summer.</p></div><div class="share-box"><p>Share this story with your friends and family.</p></div><div class="comments-list" hidden><p>What a story, I could read about this sort of thing all day!</p></div><div class="related-links"><ul><li><a href="/o">Other stories</a></li></ul></div></body>',
 )
 
 
 class Node:
-    __slots__ = ("parent", "tag", "names", "text", "linked", "label", "leaf")
+    __slots__ = ("parent", "tag", "names", "text", "linked", "label", "leaf", "hidden")
 
-    def __init__(self, parent: int, tag: str, names: str = "", leaf: bool = False, label: int | None = None):
-        self.parent, self.tag, self.names, self.leaf, self.label = parent, tag, names, leaf, label
+    def __init__(self, parent: int, tag: str, names: str = "", leaf: bool = False, label: int | None = None, hidden: bool = False):
+        self.parent, self.tag, self.names, self.leaf, self.label, self.hidden = parent, tag, names, leaf, label, hidden
         self.text: list[str] = []
         self.linked = 0
 
 
-def hides(attributes: str) -> bool:
-    """Whether a start tag's attributes hide its element."""
+def hides(attributes: str) -> str:
+    """How a start tag's attributes hide its element: "aria" (it is for the eye alone), "unseen" or not at all."""
     if not HIDDEN.search(attributes):
-        return False
+        return ""
+    how = ""
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and NO_DISPLAY.search(value):
-            return True
-    return False
+        if name == "hidden" or name == "style" and NO_DISPLAY.search(value):
+            return "unseen"
+        if name == "aria-hidden" and value.strip().lower() == "true":
+            how = "aria"
+    return how
 
 
-def parse(page: str) -> list[Node]:
-    """The page's nodes, parents before children, in page order. The first is the root."""
+def parse(page: str, shown_only: bool = True) -> list[Node]:
+    """The page's nodes, parents before children, in page order. The first is the root. Unless only what is shown is asked for, blocks that
+    attributes hide are nodes that are marked so."""
     nodes = [Node(-1, "#root")]
     stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # open elements, the block node that holds them, whether they silence
     leaf: Node | None = None
@@ -104,7 +112,7 @@ def parse(page: str) -> list[Node]:
             if text.isspace():
                 return
             holder = stack[-1][1]
-            leaf = Node(holder, nodes[holder].tag, leaf=True, label=nodes[holder].label)
+            leaf = Node(holder, nodes[holder].tag, leaf=True, label=nodes[holder].label, hidden=nodes[holder].hidden)
             nodes.append(leaf)
         leaf.text.append(text)
         if links:
@@ -155,12 +163,13 @@ def parse(page: str) -> list[Node]:
         if tag in VOID or rest.endswith("/") and tag not in BLOCK:
             continue
         holder = stack[-1][1]
+        hidden = hides(rest) if rest else ""
         if tag in BLOCK:
             names = " ".join(a or b or c for a, b, c in NAMES.findall(rest)) if "=" in rest else ""
             mark = LABEL.search(rest) if "data-label" in rest else None
-            nodes.append(Node(holder, tag, names, label=int(mark[1]) if mark else nodes[holder].label))
+            nodes.append(Node(holder, tag, names, label=int(mark[1]) if mark else nodes[holder].label, hidden=nodes[holder].hidden or hidden == "unseen"))
             holder = len(nodes) - 1
-        quiet = tag in SILENT or bool(rest) and hides(rest)
+        quiet = tag in SILENT or bool(hidden) and (shown_only or hidden == "aria")
         opened.setdefault(tag, []).append(len(stack))
         if tag in SCOPE:
             walls[0].append(len(stack))
@@ -182,18 +191,34 @@ def leaf_text(node: Node) -> str:
 
 def named_words(node: Node) -> set[str]:
     """Lower-case words of a node's class, id and role."""
-    return set(map(str.lower, WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", node.names))))
+    return set().union(*names_of(node))
+
+
+def names_of(node: Node) -> list[set[str]]:
+    """The lower-case words of each name in a node's class, id and role."""
+    return [set(map(str.lower, WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name)))) for name in node.names.split()]
+
+
+def named_for(node: Node) -> str:
+    """What a node's names say of it: "aside" if one is made of words for parts that are none of the text, "partly" if one has such a word beside
+    others ("share-price"), which says little; "content", or nothing."""
+    names = names_of(node)
+    aside = [name for name in names if name & ASIDE_WORDS]
+    if any(name <= ASIDE_WORDS | PART_WORDS | CONTENT_WORDS for name in aside):
+        return "aside"
+    return "partly" if aside else "content" if any(name & CONTENT_WORDS for name in names) else ""
 
 
 def features(nodes: list[Node], plain: bool = False) -> list[list[str]]:
     """Feature names of each node. ``plain``: as if telling tags and names weren't there."""
     out: list[list[str]] = []
+    said = ["" if plain or not node.names else named_for(node) for node in nodes]
     under = ["no"] * len(nodes)  # what a node stands in: a part for something else, a header outside articles, or neither
     for k, node in enumerate(nodes):
         above = under[node.parent] if node.parent >= 0 else "no"
         if plain or node.leaf or node.tag in TOP or above == "aside":
             under[k] = above
-        elif node.tag in ("nav", "aside", "footer", "form") or node.names and named_words(node) & ASIDE_WORDS:
+        elif node.tag in ("nav", "aside", "footer", "form") or said[k] == "aside":
             under[k] = "aside"
         elif node.tag == "article":
             under[k] = "article"
@@ -205,14 +230,11 @@ def features(nodes: list[Node], plain: bool = False) -> list[list[str]]:
             share = node.linked / max(1, n)
             got = [f"size:{min(8, int(math.log2(n + 1)))}", f"links:{0 if share < 0.05 else 1 if share < 0.6 else 2}", f"ends:{tail[-1:] in '.!?' and bool(tail)}", f"in:{'div' if plain and node.tag in TELLING else node.tag}"]
             got += [] if plain else [f"under:{under[k]}"]
+            got += ["unseen:leaf"] if node.hidden else []
         else:
             got = [f"tag:{'div' if plain and node.tag in TELLING else node.tag}"]
-            if node.names and not plain:
-                words = named_words(node)
-                if words & ASIDE_WORDS:
-                    got.append("names:aside")
-                elif words & CONTENT_WORDS:
-                    got.append("names:content")
+            got += [f"names:{said[k]}"] if said[k] else []
+            got += ["names:unseen"] if node.hidden else []
         out.append(got)
     return out
 
@@ -231,7 +253,8 @@ def self_labelled(nodes: list[Node]) -> bool:
         above = nodes[node.parent].label if node.parent != 0 else None
         inside = node.parent >= 0 and above == 1
         off = not node.leaf and (node.tag in ("nav", "aside", "footer", "form") or "names:aside" in named[k])
-        node.label = 1 if k == tops[0] else (0 if off else 1) if inside else 0
+        unsure = "names:partly" in named[k] or node.hidden  # such a page doesn't say what these are: they teach nothing
+        node.label = 1 if k == tops[0] else (0 if off else None if unsure else 1) if inside else 0
     return True
 
 
@@ -300,7 +323,7 @@ class Model:
     def text(self, page: str | None) -> str:
         if not page:
             return ""
-        nodes = parse(page)
+        nodes = parse(page, shown_only=False)
         found = zip(nodes, self.marginals(nodes))
         return "\n".join(t for t in (leaf_text(n) for n, p in found if n.leaf and p >= 0.5) if t)
 
@@ -315,7 +338,7 @@ def train(pages: DataFrame, key: str = "page_id", html: str = "html", sample: in
         counts: dict[tuple[str, str, int], int] = {}
         for batch in batches:
             for page in batch.column(0):
-                nodes = parse(page.as_py())
+                nodes = parse(page.as_py(), shown_only=False)
                 if self_labelled(nodes):
                     for plain in (False, True):
                         for x in observations(nodes, plain):
@@ -327,7 +350,7 @@ def train(pages: DataFrame, key: str = "page_id", html: str = "html", sample: in
     counts = {(r["kind"], r["name"], r["value"]): r["n"] for r in rows}
     scale = max(EXAMPLE_WEIGHT, sum(v for (k, _, _), v in counts.items() if k == "prior") // 400)
     for page in EXAMPLES:
-        nodes = parse(page)
+        nodes = parse(page, shown_only=False)
         for plain in (False, True):
             for x in observations(nodes, plain):
                 counts[x] = counts.get(x, 0) + scale
