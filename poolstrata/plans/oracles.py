@@ -179,5 +179,6 @@ from .contract_sql import queries as contract_sql  # noqa: E402  they build on t
 from .current import SQL as CURRENT, consensus_sql  # noqa: E402
 from .spends import queries as spends_sql  # noqa: E402
 from .stored import queries as stored_sql  # noqa: E402
+from .whole import queries as whole_sql  # noqa: E402
 
-SQL |= contract_sql(SQL) | spends_sql(LABEL) | CURRENT | stored_sql(SQL, WITH_ENTRY, WITH_CLASSIFIED, base_ctes("inputs")) | {"consensus_window": consensus_sql(RESOLVED + ", " + CANDIDATES + RULE_ROWS)}
+SQL |= contract_sql(SQL) | spends_sql(LABEL) | CURRENT | stored_sql(SQL, WITH_ENTRY, WITH_CLASSIFIED, base_ctes("inputs")) | whole_sql(SQL, WITH_ENTRY, base_ctes("entry", "outputs", "inputs"), FAMILY_HEX("script_hex"), RESOLVED + ", " + CANDIDATES, RULE_ROWS) | {"consensus_window": consensus_sql(RESOLVED + ", " + CANDIDATES + RULE_ROWS)}

@@ -632,5 +632,6 @@ from .contract import QUERIES as CONTRACT  # noqa: E402  the contract's queries
 from .current import QUERIES as CURRENT  # noqa: E402
 from .spends import QUERIES as SPENDS  # noqa: E402
 from .stored import QUERIES as STORED  # noqa: E402
+from .whole import QUERIES as WHOLE  # noqa: E402
 
-ALL |= CONTRACT | CURRENT | SPENDS | STORED
+ALL |= CONTRACT | CURRENT | SPENDS | STORED | WHOLE
