@@ -1,19 +1,18 @@
 """Best-fit packing of tokenised documents into sequences, bulk-synchronous.
 
 ``pieces``  tokenises every whole text (an Arrow map) and cuts what is longer than a sequence.
-``place``   supersteps over blocks. A block is a piece at first. Blocks are dealt by hash into lanes of about ``LANE`` blocks,
-            so every lane has its even share of each size and a size that a third of all pieces have is split among all lanes. In a
-            lane, blocks and gaps are range-sorted and swept: the largest size left goes to its successor gap (the least
-            that holds it), who gets which gap is settled by rank, shrunken gaps go back in order (``sweep``, which works on
-            runs of equal sizes and gaps). What a lane leaves at most half full (one sequence at most, else best fit
-            had joined two) is a block of the next superstep, which has fewer lanes by ``LANE``; the last one has a single lane.
+``ranked``  range-sorts all pieces by size, so that each has its rank among those of its size, whatever range it is in.
+``sweep``   the rounds: the largest size left goes to its successor gap (the least that holds it), who gets which gap is settled by rank,
+            gaps shrink, and again. A round moves a run of equal sizes into a run of equal gaps at once, so the rounds follow the number of
+            different sizes and gaps, which the sequence's length bounds, and not the number of pieces: they run on counts.
+``place``   every range looks its pieces' moves up by size and rank.
 
-Within a lane the result is best-fit decreasing, and lanes share what they leave open; so at most one sequence more than half empty
-is left of all. Every lane is a task's work with ``LANE`` blocks at most about; nothing is collected or broadcast by the operator. Shuffles:
-24 bytes for each piece to its lane and to its place. Sweeping one global sort would need a superstep for each size.
+The result is best-fit decreasing over all pieces. A size that a third of all pieces have is split among ranges, as these are cut
+within sizes too. Shuffled are the pieces' rows, once; the driver gets a count for each size, and the tasks get the moves. No task has more
+than about ``LANE`` pieces.
 
 Defined cases: a null text is empty and packs as its end token; a null id is an id; repeated rows are pieces of their own;
-an empty table gives no pieces; other columns aren't read.
+an empty table gives no pieces; other columns aren't read. Pieces of a size are ranked by their own number, so ties are settled.
 """
 
 from __future__ import annotations
@@ -25,15 +24,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import batches_of, materialise, table
+from .common import batches_of, delete, materialise, table
 
 LENGTH = 1024
 END = 2
-#: Blocks of a lane, about.
+#: Pieces of a range, about.
 LANE = 1 << 16
 SPECIAL = "<|endoftext|>"
 LONG_WORD = 4096
@@ -151,7 +152,7 @@ def sweep(runs: dict[int, int], length: int = LENGTH) -> tuple[list[tuple[int, i
 
 
 def fill_lane(blocks: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequence, offset and the sequence's fill of each block of a lane, by a sweep. A sequence is named by its first block."""
+    """Sequence, offset and the sequence's fill of each block, for blocks in memory. A sequence is named by its first block."""
     order = np.lexsort((blocks, sizes))
     blocks, sizes = blocks[order], sizes[order]
     kinds, begin, n = np.unique(sizes, return_index=True, return_counts=True)
@@ -169,59 +170,59 @@ def fill_lane(blocks: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tu
     return name[number][back], offset[back], fill[number][back]
 
 
-def superstep(blocks: DataFrame, lanes: int, length: int = LENGTH) -> DataFrame:
-    """block, sequence_id, offset and fill for blocks (block, size), each lane swept by itself; in the shared folder."""
-    names = ("block", "sequence_id", "offset", "fill")
+def ranked(parts: DataFrame, ranges: int) -> DataFrame:
+    """parts with ``_range`` and ``_rank``, a piece's number among those of its size in its range; in the shared folder."""
 
     def run(batches):
-        held: list[list[np.ndarray]] = []
-        lane = None
-
-        def swept():
-            ids, sizes = (np.concatenate(c) for c in zip(*held))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, *fill_lane(ids, sizes, length))], names=names)
-
+        here, size, n = TaskContext.get().partitionId(), None, 0
         for batch in batches:
-            lanes_of, ids, sizes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            cuts = [0, *(np.flatnonzero(lanes_of[1:] != lanes_of[:-1]) + 1).tolist(), len(ids)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if held and lanes_of[a] != lane:
-                    yield from swept()
-                    held = []
-                lane = lanes_of[a]
-                held.append([ids[a:b], sizes[a:b]])
-        if held:
-            yield from swept()
-
-    dealt = blocks.select(F.pmod(F.xxhash64("block", F.lit(lanes)), F.lit(lanes)).alias("lane"), "block", "size")
-    return materialise(dealt.repartition("lane").sortWithinPartitions("lane").mapInArrow(run, "block long, sequence_id long, offset long, fill long"), "placed")
+            sizes = batch.column("length").to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], sizes[1:] != sizes[:-1]))) if len(sizes) else np.zeros(0, np.int64)
+            ranks = np.arange(len(sizes)) - np.repeat(starts, np.diff(np.append(starts, len(sizes))))
+            if len(sizes):
+                if sizes[0] == size:  # goes on from the batch before
+                    ranks[: starts[1] if len(starts) > 1 else len(sizes)] += n
+                size, n = sizes[-1], int(ranks[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(sizes), here, np.int32)), pa.array(ranks)], names=[*batch.schema.names, "_range", "_rank"])
+
+    schema = T.StructType([*parts.schema, T.StructField("_range", T.IntegerType()), T.StructField("_rank", T.LongType())])
+    return materialise(parts.repartitionByRange(ranges, "length", "_block").sortWithinPartitions("length", "_block").mapInArrow(run, schema), "ranked")
 
 
 def place(parts: DataFrame, key: str = "doc_id", length: int = LENGTH, lane: int = LANE) -> DataFrame:
     """parts (columns of ``pieces`` and ``_block``, a number of each row's own, already in the shared folder) with sequence_id and offset."""
-    blocks = parts.select(F.col("_block").alias("block"), F.col("length").alias("size"))
-    n, placed = parts.count(), None
-    while True:
-        lanes = max(1, -(-n // lane))
-        step = superstep(blocks, lanes, length)
-        if placed is None:
-            placed = step
-        else:  # what moved as a block: at most one sequence a lane of the step before
-            moved = step.select(F.col("block").alias("sequence_id"), F.col("sequence_id").alias("_into"), F.col("offset").alias("_by"))
-            placed = placed.join(moved, "sequence_id", "left").select("block", F.coalesce("_into", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("_by", F.lit(0))).alias("offset"))
-        if lanes == 1:
-            break
-        blocks = materialise(step.where((F.col("offset") == 0) & (F.col("fill") * 2 <= length)).select(F.col("sequence_id").alias("block"), F.col("fill").alias("size")), "open")
-        n = blocks.count()
-    where = placed.select(F.col("block").alias("_block"), "sequence_id", "offset")
-    return parts.join(where, "_block").select(key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    rows = ranked(parts, max(1, -(-parts.count() // lane)))
+    counts = materialise(rows.groupBy("_range", "length").agg(F.count("*").alias("n")), "counts")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range that has the size
+    runs = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # ``length`` rows at most
+    moves = np.array(sorted(sweep(runs, length)[0]), np.int64).reshape(-1, 5)  # as many as rounds
+    sent = parts.sparkSession.sparkContext.broadcast(moves)
+    columns = [key, "piece", "start", "length", "ids_crc32"]
+
+    def run(batches):
+        sizes, ranks, _, firsts, offsets = sent.value.T
+        bounds = np.searchsorted(sizes, np.arange(length + 2))  # where each size's moves begin
+        for batch in batches:
+            own, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy() + batch.column("_before").to_numpy()
+            at = np.empty(len(own), np.int64)
+            for size in np.unique(own).tolist():
+                of = np.flatnonzero(own == size)
+                at[of] = bounds[size] + np.searchsorted(ranks[bounds[size] : bounds[size + 1]], rank[of], "right") - 1
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(firsts[at] + rank - ranks[at]), pa.array(offsets[at])], names=[*columns, "sequence_id", "offset"])
+
+    schema = T.StructType([*(parts.schema[c] for c in columns), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    placed = materialise(rows.join(counts.select("_range", "length", before.alias("_before")), ["_range", "length"]).select(*columns, "_rank", "_before").mapInArrow(run, schema), "packed")
+    delete(rows)
+    delete(counts)
+    return placed
 
 
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END, tokenizer: str | None = None, lane: int = LANE) -> DataFrame:
     """Every piece of every document with its sequence and place there."""
-    return place(materialise(pieces(df, key, text, length, end, tokenizer).withColumn("_block", F.monotonically_increasing_id()), "pieces"), key, length, lane)
+    parts = materialise(pieces(df, key, text, length, end, tokenizer).withColumn("_block", F.monotonically_increasing_id()), "pieces")
+    placed = place(parts, key, length, lane)
+    delete(parts)
+    return placed
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,3 +47,23 @@ def test_lanes_share_what_they_leave_open(spark, lane):
     assert len(got) == len(rows) and sum(2 * sum(n for _, n in p) <= 256 for p in sequences.values()) <= 1
     once = packing.sweep(dict(collections.Counter(r.length for r in got)), 256)[1]
     assert once <= len(sequences) <= once * (1.02 if lane > 3 else 1.3) + 1
+
+
+@pytest.mark.parametrize("lane", [1, 7, 1 << 16])
+def test_ranges_change_nothing(spark, lane):
+    """However the pieces are cut into ranges, all of them together are packed best-fit decreasing."""
+    rng = random.Random(1)
+    rows = [(n, "a " * rng.choice((1, 1, 1, 30, 30, 61, 100, 127, 128, 129, 200))) for n in range(300)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), length=128, lane=lane).collect()
+    sequences = collections.defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for parts in sequences.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 128
+    gaps = []
+    for s in sorted((r.length for r in got), reverse=True):
+        fit = [g for g in gaps if g >= s]
+        gaps.remove(min(fit)) if fit else None
+        gaps.append((min(fit) if fit else 128) - s)
+    assert len(sequences) == len(gaps)
