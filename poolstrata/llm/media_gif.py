@@ -32,6 +32,8 @@ BLOCK = 576  # payloads are padded to a positive multiple of this
 ROWS_PER_FRAME = 96
 DELAY_CS = 4
 BINS = 16
+#: Samples of the largest screen or frame that is drawn: some bytes can claim four billion. A canvas takes four bytes for each.
+MOST_PIXELS = 1 << 26
 
 # ---- LZW -------------------------------------------------------------------------------------------------------------
 
@@ -183,12 +185,12 @@ def gif_of(payload: bytes, width: int = WIDTH, rows: int = ROWS_PER_FRAME, delay
 
 
 class NotGif(ValueError):
-    """The bytes don't start as a GIF does."""
+    """The bytes don't start as a GIF does, or claim a larger picture than is drawn."""
 
 
-def gif_frames(data: bytes, draw: bool = True) -> Iterator[dict]:
+def gif_frames(data: bytes, draw: bool = True, most: int = MOST_PIXELS) -> Iterator[dict]:
     """Frames in order: index samples as stored, place, delay, palette, transparent index; with ``draw`` also the canvas in
-    RGBA after disposal and transparency."""
+    RGBA after disposal and transparency. A screen or frame of more than ``most`` samples raises NotGif, after the frames before it."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise NotGif("no GIF header")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -216,6 +218,8 @@ def gif_frames(data: bytes, draw: bool = True) -> Iterator[dict]:
         return b"".join(got)
 
     shared = palette(flags)
+    if draw and width * height > most:
+        raise NotGif(f"a screen of {width} x {height} samples")
     canvas = np.zeros((height, width, 4) if draw else (0, 0, 4), np.uint8)
     delay, clear, disposal = 0, -1, 0
     while at < len(data):
@@ -231,6 +235,8 @@ def gif_frames(data: bytes, draw: bool = True) -> Iterator[dict]:
         elif kind == 0x2C and at + 9 < len(data):
             left, top, w, h, packed = struct.unpack_from("<HHHHB", data, at)
             at += 9
+            if w * h > most:
+                raise NotGif(f"a frame of {w} x {h} samples")
             colours = palette(packed)
             colours = shared if colours is None else colours
             literal = data[at] if at < len(data) else 0

@@ -35,6 +35,14 @@ def test_decoded_frames_are_what_is_displayed(spark):
     assert [(f.histogram[15], f.histogram[31], f.histogram[47]) for f in row.frames] == [(4, 0, 0), (3, 0, 1), (3, 1, 0), (2, 0, 1)]
 
 
+def test_a_gif_that_claims_a_huge_picture_gives_an_error_row(spark):
+    head = lambda w, h: b"GIF89a" + struct.pack("<HHBBB", w, h, 0x80, 0, 0) + bytes(6)
+    image = lambda w, h: b"\x2c" + struct.pack("<HHHHB", 0, 0, w, h, 0) + b"\x02" + media_gif.sub_blocks(media_gif.pack_codes(media_gif.lzw_codes(bytes(4), 2), 2))
+    rows = [(1, head(65535, 65535) + image(2, 2) + b"\x3b"), (2, head(2, 2) + image(2, 2) + image(65535, 65535) + b"\x3b"), (3, head(2, 2) + image(2, 2) + b"\x3b")]
+    got = {r.doc_id: (len(r.frames), r.error) for r in media_gif.decode_gif(spark.createDataFrame([(n, bytearray(b)) for n, b in rows], "doc_id int, media binary")).collect()}
+    assert got == {1: (0, "a screen of 65535 x 65535 samples"), 2: (1, "a frame of 65535 x 65535 samples"), 3: (1, None)}
+
+
 def test_only_linked_rows_are_dropped(spark):
     other = lambda seed: " ".join(str(x) for x in np.random.default_rng(seed).integers(0, 1 << 30, 60))
     rows = [(None, other(1)), (None, other(2)), (None, other(2)), (5, other(3)), (5, other(4)), (6, other(5)), (7, other(5)), (None, other(5)), (6, other(6)), (8, other(7)), (7, other(7))]
