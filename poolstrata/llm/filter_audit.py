@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, materialise, table
+from .common import batches_of, delete, materialise, table
 
 FILTERS = "ABCDE"
 DUPLICATE = 1 << FILTERS.index("E")
@@ -77,7 +77,7 @@ def marks_of(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 def counts(found: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """part, mask (A to E), n, good and toxic: documents of each part and mask, and how many of them have each label.
 
-    found: rows of ``digests``, already in the shared folder.
+    found: rows of ``digests``, already in the shared folder. The result is there too: a row for each part and mask.
     """
     none = (F.lit(0).alias("good"), F.lit(0).alias("toxic"))
     known = found.where("id is not null").join(marks_of(labels, key), "id", "left").select(*found.columns, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("good", "toxic")))
@@ -91,7 +91,10 @@ def counts(found: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFram
     split = groups.join(firsts, "body", "left").withColumn("_copies", copies)
     cases = F.array(F.struct(F.col("mask").alias("mask"), (F.col("n") - F.col("_copies")).alias("n")), F.struct(F.col("mask").bitwiseOR(F.lit(DUPLICATE)).alias("mask"), F.col("_copies").alias("n")))
     rows = split.select("part", "good", "toxic", F.explode(cases).alias("c")).where("c.n > 0")
-    return rows.groupBy("part", "c.mask").agg(F.sum("c.n").alias("n"), F.sum(F.col("c.n") * F.col("good")).alias("good"), F.sum(F.col("c.n") * F.col("toxic")).alias("toxic"))
+    summed = rows.groupBy("part", "c.mask").agg(F.sum("c.n").alias("n"), F.sum(F.col("c.n") * F.col("good")).alias("good"), F.sum(F.col("c.n") * F.col("toxic")).alias("toxic"))
+    out = materialise(summed, "audit-counts")
+    delete(groups)
+    return out
 
 
 Weight = tuple[int, int, int]
@@ -197,7 +200,10 @@ def audit(by_mask: DataFrame, filters: str = FILTERS) -> DataFrame:
 
 def filter_audit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
     """What each filter removes in every order, for every part of df."""
-    return audit(counts(materialise(digests(df, key, text, part), "audit-digests"), labels, key))
+    found = materialise(digests(df, key, text, part), "audit-digests")
+    by_mask = counts(found, labels, key)
+    delete(found)
+    return audit(by_mask)
 
 
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
