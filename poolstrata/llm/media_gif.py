@@ -45,24 +45,22 @@ def lzw_codes(data: bytes, literal_bits: int = 8) -> list[int]:
     if not data:
         return [clear, clear + 1]
     emit = codes.append
-    table: dict[int, int] = {}
-    find = table.get
-    free, held = clear + 2, data[0]
-    for byte in memoryview(data)[1:]:
-        key = held << 8 | byte
-        known = find(key)
-        if known is not None:
-            held = known
+    table: dict[int, int] = {}  # what is held and the next sample, as one number -> the code that stands for both, in the same form
+    free, held = clear + 2, data[0] << 8
+    for byte in data[1:]:
+        key = held + byte
+        if key in table:
+            held = table[key]
             continue
-        emit(held)
-        table[key] = free
+        emit(held >> 8)
+        table[key] = free << 8
         free += 1
-        held = byte
+        held = byte << 8
         if free == 4096:
             emit(clear)
             table.clear()
             free = clear + 2
-    emit(held)
+    emit(held >> 8)
     emit(clear + 1)
     return codes
 
@@ -100,9 +98,37 @@ def code_offsets(literal_bits: int) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(code_widths(4096, literal_bits))))
 
 
-@lru_cache
-def literals(literal_bits: int) -> tuple[bytes, ...]:
-    return (*(bytes([k]) for k in range(1 << literal_bits)), b"", b"")
+def expanded(codes: np.ndarray, literal_bits: int, room: int) -> tuple[bytes, bool]:
+    """Samples of the codes between two clear codes, about ``room`` of them at most, and whether all codes were possible.
+
+    The n-th entry of the table is what the n-th code stood for and one sample more, which lies right behind it in the output.
+    So a code that names an entry is a reference to an earlier place of the output; lengths, then places, are followed
+    to literals by doubling: a step goes twice as far as the one before, over all codes at once.
+    """
+    clear = 1 << literal_bits
+    entry, number = codes.astype(np.int64) - clear - 2, np.arange(len(codes))
+    literal = codes < clear
+    wrong = np.flatnonzero(~literal & (entry >= number))  # the newest entry may be the code's own; the first code must be a literal
+    n = int(wrong[0]) if len(wrong) else len(codes)
+    if not n:
+        return b"", not len(wrong)
+    codes, literal, number = codes[:n], literal[:n], number[:n]
+    to = np.where(literal, number, entry[:n])
+    length = np.where(literal, 0, 1)
+    link = to
+    while not np.array_equal(further := link[link], link):
+        length, link = length + length[link], further
+    ends = np.cumsum(length + 1)
+    if ends[-1] > room:
+        n = int(np.searchsorted(ends, room)) + 1
+        codes, literal, to, ends, length, wrong = codes[:n], literal[:n], to[:n], ends[:n], length[:n], wrong[:0]
+    starts = ends - length - 1
+    place = np.arange(int(ends[-1])) - np.repeat(starts - starts[to], length + 1)
+    while not np.array_equal(further := place[place], place):
+        place = further
+    samples = np.zeros(len(place), np.uint8)
+    samples[starts[literal]] = codes[literal]
+    return samples[place].tobytes(), not len(wrong)
 
 
 def lzw_decode(stream: bytes, literal_bits: int, limit: int) -> bytes:
@@ -113,9 +139,8 @@ def lzw_decode(stream: bytes, literal_bits: int, limit: int) -> bytes:
     words = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
     widths = code_widths(4096, literal_bits)
     offsets = code_offsets(literal_bits)
-    base = literals(literal_bits)
-    entries, previous = list(base), b""
     out: list[bytes] = []
+    held: list[np.ndarray] = []  # codes since the last clear code
     size, at, nth = 0, 0, 0
     while at < bits and size < limit:
         if nth < 4096:
@@ -130,37 +155,19 @@ def lzw_decode(stream: bytes, literal_bits: int, limit: int) -> bytes:
         codes = (words[begin >> 3] >> (begin & 7).astype(np.uint32)) & ((1 << width) - 1).astype(np.uint32)
         stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
         stop = int(stops[0]) if len(stops) else keep
-        put, add, full = out.append, entries.append, len(entries) >= 4096
-        free = len(entries)
-        for code in codes[:stop].tolist():
-            if not previous:
-                if code >= clear:
-                    return b"".join(out)[:limit]
-                previous = base[code]
-                put(previous)
-                continue
-            if code < free:
-                entry = entries[code]
-            elif code == free and not full:
-                entry = previous + previous[:1]
-            else:
-                return b"".join(out)[:limit]
-            put(entry)
-            if not full:
-                add(previous + entry[:1])
-                free += 1
-                full = free >= 4096
-            previous = entry
-        size = sum(map(len, out)) if stop == keep else size
+        held.append(codes[:stop])
         if stop == keep:
             at, nth = int(begin[-1] + width[-1]), nth + keep
-            continue
-        if int(codes[stop]) == clear + 1:
+            if sum(map(len, held)) < limit - size:  # each code stands for a sample at least
+                continue
+        got, whole = expanded(np.concatenate(held), literal_bits, limit - size)
+        out.append(got)
+        size, held = size + len(got), []
+        if not whole or stop == keep or int(codes[stop]) == clear + 1:
             break
         at, nth = int(begin[stop] + width[stop]), 0
-        entries, previous = list(base), b""
-        out = [b"".join(out)]
-        size = len(out[0])
+    if held:
+        out.append(expanded(np.concatenate(held), literal_bits, limit - size)[0])
     return b"".join(out)[:limit]
 
 
@@ -171,11 +178,14 @@ def sub_blocks(data: bytes) -> bytes:
     return b"".join(bytes([len(part := data[k : k + 255])]) + part for k in range(0, len(data), 255)) + b"\0"
 
 
+#: A palette of 256 greys.
+GREYS = bytes(v for k in range(256) for v in (k, k, k))
+
+
 def gif_of(payload: bytes, width: int = WIDTH, rows: int = ROWS_PER_FRAME, delay_cs: int = DELAY_CS) -> bytes:
     """A GIF89a whose palette indexes are the payload's bytes, ``rows`` lines a frame; the payload is a multiple of width."""
     lines = len(payload) // width
-    ramp = bytes(v for k in range(256) for v in (k, k, k))
-    parts = [b"GIF89a", struct.pack("<HHBBB", width, min(lines, rows), 0xF7, 0, 0), ramp]
+    parts = [b"GIF89a", struct.pack("<HHBBB", width, min(lines, rows), 0xF7, 0, 0), GREYS]
     for top in range(0, lines, rows):
         high = min(rows, lines - top)
         samples = payload[top * width : (top + high) * width]
@@ -257,9 +267,12 @@ def gif_frames(data: bytes, draw: bool = True, most: int = MOST_PIXELS) -> Itera
             if draw:
                 before = canvas.copy() if disposal == 3 else None
                 area = canvas[top : top + shown.shape[0], left : left + shown.shape[1]]
-                seen = shown != clear
-                area[..., :3][seen] = colours[shown][seen]
-                area[..., 3][seen] = 255
+                if clear < 0:  # nothing is transparent
+                    area[..., :3], area[..., 3] = colours[shown], 255
+                else:
+                    seen = shown != clear
+                    area[..., :3][seen] = colours[shown][seen]
+                    area[..., 3][seen] = 255
                 yield frame | {"canvas": canvas.copy()}
                 if disposal == 2:
                     area[...] = 0
