@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
+from ..storage import written
 
 SPECTRUM_BINS, DENSITY_COLUMNS, DENSITY_ROWS = 22, 22, 14
 
@@ -96,10 +97,11 @@ def fee_and_age_lanes(entries: DataFrame) -> DataFrame:
 
 
 def all_panels(entries: DataFrame, metric: str = "count", limit: int = 6) -> dict[str, DataFrame]:
-    """The nine panels over one bucketed frame (persist it if several are collected)."""
+    """The nine panels over one bucketed frame, which is written once for all of them."""
     from . import buckets as B
 
-    bucketed = entries.withColumn("bucket", B.lens_bucket())
+    bucketed = written(entries.withColumn("bucket", B.lens_bucket()), "bucketed")
+    entries = bucketed.drop("bucket")
     groups = B.lens_buckets(entries)
     weight = "n" if metric == "count" else "vsize"
     return {

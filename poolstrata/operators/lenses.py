@@ -68,8 +68,16 @@ def most_repeated_output(outputs: DataFrame, keys: list[str] = KEYS) -> DataFram
 def families(outputs: DataFrame, inputs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """keys and family, one row for each output and each known input script."""
     scripts = outputs.select(*keys, "script").unionByName(inputs.where(F.col("script").isNotNull()).select(*keys, "script"))
-    named = scripts.withColumn("_decoded", S.decode(multisig_candidate()))
-    return named.select(*keys, S.script_family("script", F.col("_decoded")).alias("family"))
+    return with_family(scripts).select(*keys, "family")
+
+
+def with_family(rows: DataFrame) -> DataFrame:
+    """rows with the family of script (NULL for NULL). Only scripts that may be bare multisig are decoded, and only their rows leave the JVM."""
+    candidate = multisig_candidate()
+    named = lambda decoded: F.when(F.col("script").isNotNull(), S.script_family("script", decoded)).alias("family")
+    plain = rows.where(candidate.isNull()).select("*", named(F.lit(None).cast(S.DECODED_TYPE)))
+    odd = rows.where(candidate.isNotNull()).withColumn("_decoded", S.decode(candidate)).select(*rows.columns, named(F.col("_decoded")))
+    return plain.unionByName(odd)
 
 
 def family_counts(rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -85,13 +93,13 @@ def all_distinct(column: str) -> Column:
 
 
 def transaction_properties(transactions: DataFrame, outputs: DataFrame, inputs: DataFrame) -> DataFrame:
-    found = families(outputs, inputs).groupBy(*KEYS).agg(F.collect_set("family").alias("families"))
     p2tr = (S.witness_version("script") == 1) & (F.length("script") == 34)
-    per_tx = inputs.groupBy(*KEYS).agg(
-        F.bool_or(F.col("sequence") < 0xFFFFFFFE).alias("rbf"), F.bool_or(F.size("witness") > 0).alias("witness"),
-        F.bool_or(F.coalesce(p2tr, F.lit(False)) & S.annex_candidate(F.col("witness"))).alias("annex"), F.bool_or(F.col("script").isNull()).alias("unknown"),
-    )
-    joined = transactions.join(per_tx, KEYS, "left").join(found, KEYS, "left")
+    facts = {"rbf": F.col("sequence") < 0xFFFFFFFE, "witness": F.size("witness") > 0, "annex": F.coalesce(p2tr, F.lit(False)) & S.annex_candidate(F.col("witness")), "unknown": F.col("script").isNull()}
+    # outputs have no such facts, so one aggregate over both tells a transaction without inputs by their absence
+    of_inputs = inputs.select(*KEYS, "script", *(x.alias(n) for n, x in facts.items()))
+    of_outputs = outputs.select(*KEYS, "script", *(F.lit(None).cast("boolean").alias(n) for n in facts))
+    per_tx = with_family(of_inputs.unionByName(of_outputs)).groupBy(*KEYS).agg(F.collect_set("family").alias("families"), *(F.bool_or(n).alias(n) for n in facts))
+    joined = transactions.join(per_tx, KEYS, "left")
     flags = {f"version_{n}": F.col("version") == n for n in (1, 2, 3)} | {"version_other": ~F.col("version").isin(1, 2, 3), "signals_rbf": F.col("rbf"), "has_witness": F.col("witness"), "has_taproot_annex": F.col("annex")}
     flags |= {f: F.array_contains("families", f) for f in FAMILIES}
     partial = F.coalesce("unknown", F.lit(True))
@@ -313,18 +321,25 @@ def rule_details(transactions: DataFrame, outputs: DataFrame, inputs: DataFrame,
     told = F.when(missing_script, blind).when(exempt, F.expr(f"cast(array() as {shape})")).when(no_height, unsure).otherwise(sure)
     each = checked.select(*KEYS, F.col("vin").alias("place"), F.explode(told).alias("x")).select(*KEYS, "x.rule", "place", "x.ord", "x.hit", "x.miss", "x.evidence", "x.fact")
     large = outputs.where(oversized_output()).select(*KEYS, F.lit(1).alias("rule"), F.col("vout").alias("place"), F.lit(0).alias("ord"), F.lit(1).alias("hit"), F.lit(0).alias("miss"), F.struct(F.lit("output").alias("kind"), F.lit(None).cast("int").alias("pos"), F.length("script").alias("len")).alias("evidence"), F.lit(None).cast("string").alias("fact"))
-    rows = each.unionByName(large)
-    order = F.struct("place", "ord")
-    folded = rows.groupBy(*KEYS, "rule").agg(F.sum("hit").alias("evidence_count"), F.sum("miss").alias("missing_count"), F.min_by(F.struct("place", "evidence.*"), F.when(F.col("hit") == 1, order)).alias("evidence"), F.min(F.when(F.col("hit") == 1, order)).alias("first_hit"), F.min(F.when(F.col("miss") == 1, F.col("place"))).alias("first_missing"), F.min("fact").alias("missing_fact"))
+    # inputs and outputs are folded apart, so each is dealt by transaction once at most; a transaction has seven rules at most to read off
+    found = folded_rules(each, "_by_inputs"), folded_rules(large, "_by_outputs")
+    joined = transactions.select(*KEYS).join(found[0], KEYS, "left").join(found[1], KEYS, "left")
+    rules = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda r: F.struct(r.alias("number"), F.try_element_at(F.filter(F.when(r == 1, F.col("_by_outputs")).otherwise(F.col("_by_inputs")), lambda x: x["rule"] == r), F.lit(1)).alias("f")))
     names = F.array(*map(F.lit, RULES))
-    grid = transactions.select(*KEYS, F.explode(F.sequence(F.lit(1), F.lit(7))).alias("rule"))
-    n, m = F.coalesce("evidence_count", F.lit(0)), F.coalesce("missing_count", F.lit(0))
-    return grid.join(folded, [*KEYS, "rule"], "left").select(
-        *KEYS, F.col("rule").alias("number"), F.element_at(names, F.col("rule")).alias("rule"), F.when(n > 0, "violate").when(m > 0, "unknown").otherwise("pass").alias("verdict"),
-        n.alias("evidence_count"), m.alias("missing_count"), "evidence", "first_hit", "first_missing", "missing_fact",
+    n, m = F.coalesce("x.f.evidence_count", F.lit(0)), F.coalesce("x.f.missing_count", F.lit(0))
+    return joined.select(*KEYS, F.explode(rules).alias("x")).select(
+        *KEYS, F.col("x.number").alias("number"), F.element_at(names, F.col("x.number")).alias("rule"), F.when(n > 0, "violate").when(m > 0, "unknown").otherwise("pass").alias("verdict"),
+        n.alias("evidence_count"), m.alias("missing_count"), *(F.col(f"x.f.{c}").alias(c) for c in ("evidence", "first_hit", "first_missing", "missing_fact")),
     )
 
 
+def folded_rules(rows: DataFrame, name: str) -> DataFrame:
+    """keys and an array of what each rule comes to: counts, first evidence, where it is, where a fact is missing first and which."""
+    order = F.struct("place", "ord")
+    folded = rows.groupBy(*KEYS, "rule").agg(F.sum("hit").alias("evidence_count"), F.sum("miss").alias("missing_count"), F.min_by(F.struct("place", "evidence.*"), F.when(F.col("hit") == 1, order)).alias("evidence"), F.min(F.when(F.col("hit") == 1, order)).alias("first_hit"), F.min(F.when(F.col("miss") == 1, F.col("place"))).alias("first_missing"), F.min("fact").alias("missing_fact"))
+    return folded.groupBy(*KEYS).agg(F.collect_list(F.struct("rule", "evidence_count", "missing_count", "evidence", "first_hit", "first_missing", "missing_fact")).alias(name))
+
+
 def assessments(details: DataFrame) -> DataFrame:
     """keys and bip110. The primary rule is the first output's, else the first match in input and check order that no input with
     missing facts precedes."""

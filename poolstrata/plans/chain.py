@@ -26,7 +26,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(transactions, outputs, inputs) with resolved scripts, of every source; transactions without outputs are no candidates."""
     entry = members(spark, sf_dir)
-    outs = D.tx_outputs(spark, sf_dir)
+    outs = written(D.tx_outputs(spark, sf_dir), "raw-outputs")  # numbered by a window, so once
     candidates = entry.join(outs.select("k").distinct(), "k", "left_semi")
     transactions = candidates.select(*KEYS, F.expr(VERSION).cast("int").alias("version"), F.lit(False).alias("is_coinbase"))
     outputs = candidates.join(outs.drop("txid"), "k").select(*KEYS, "vout", "value_sats", "script")

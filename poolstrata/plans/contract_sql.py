@@ -21,6 +21,16 @@ def of_panel(sql: str, panel: str, weight: str = "weight") -> str:
     return f"select source_id, count(*) as cells, cast(sum({weight}) as bigint) as weight, '{panel}' as panel from ({sql}) group by source_id"
 
 
+def of_scope(sql: str) -> str:
+    """A panel's SQL over what two sources have in common, the first one's rows, weighed by vsize."""
+    entry = WITH_ENTRY.rstrip()
+    scope = entry.replace("with entry as", "with whole as", 1) + ", entry as (select * from whole where source_id = 'node-a' and txid in (select txid from whole where source_id = 'node-b'))"
+    weighed = sql.replace("count(*) as weight", "cast(sum(vsize) as bigint) as weight").replace("count(*) as n from", "sum(vsize) as n from").replace("1 as w from", "vsize as w from")
+    for column in ('as "row"', "as band"):
+        weighed = weighed.replace(f"{column} from classified", f"{column}, vsize from classified").replace(f"{column} from entry", f"{column}, vsize from entry")
+    return weighed.replace("end from entry), g", "end, vsize from entry), g").replace(entry, scope)
+
+
 def queries(sql: dict[str, str]) -> dict[str, str]:
     utxo = "with u as (select o_orderkey as k, o_orderkey // 40 as batch_id, o_orderkey // 40 % 9 = 0 as out from orders), r as (select *, case when out or k % 6 = 2 then 'omitted' when k % 6 = 1 then 'null' when k % 6 in (3, 4) then 'error' else 'value' end as outcome, case when out or k % 6 = 2 then 'retryable' when k % 6 = 0 then 'found' when k % 6 = 1 then 'null' when k % 6 = 3 then 'systemic' else 'retryable' end as \"fetch\" from u) "
     reduced = sql["policy_assessments"]
@@ -33,6 +43,10 @@ def queries(sql: dict[str, str]) -> dict[str, str]:
     places = f"select c.source_id, c.k, string_agg(cast(ord as varchar), '.' order by ord) as places, string_agg(label, ' + ' order by ord) as names from fam c join {O.LABEL} l on l.label = c.family group by all"
     ancestor = sql["ancestor_fee_spectrum"].replace("vsize as w from", "1 as w from")
     bars = O.WITH_CLASSIFIED + O.BUCKETS.replace("{", "{{").replace("}", "}}") + ", g as (select source_id, bucket, count(*) as n from bucketed group by all) select source_id, {cells} as cells, cast(sum(n) as bigint) as weight, '{panel}' as panel from g group by source_id"
+    panels = [
+        bars.format(cells="least(count(*), 8)", panel="composition"), bars.format(cells="least(count(*), 7)", panel="panel_groups"), of_panel(ancestor, "ancestor_fee_spectrum"),
+        *(of_panel(sql[n], n) for n in ("entanglement", "fee_spectrum", "joint_density", "age_mosaic", "data_spectrum", "complexity_density", "value_spectrum")),
+    ]
     named = "'node-' || "
     return {
         "utxo_answers": utxo + "select outcome, \"fetch\", count(*) as n, count(*) filter (\"fetch\" = 'found') as scripts from r group by all",
@@ -59,10 +73,8 @@ def queries(sql: dict[str, str]) -> dict[str, str]:
         "population_of_a_filter": O.SIDES + ", s as (select * from (values ('common', 'left'), ('common', 'right'), ('left_only', 'left'), ('right_only', 'right')) s(region, side), (values ('all'), ('status:violating'), ('rule:op_success')) f(filter)) select s.region, s.side, filter, count(k.txid) as n, cast(coalesce(sum(k.vsize), 0) as bigint) as vsize from s left join keyed k on k.region = s.region and k.side = s.side and (filter = 'all' or filter = 'status:violating' and status = 'violating' or filter = 'rule:op_success' and properties_state is not null and (violated_mask >> 5) & 1 = 1) group by all",
         "status_shares": WITH_CLASSIFIED + ", w as (select source_id, count(*) as whole from classified group by all) select c.source_id, count(*) as n, cast(sum(vsize) as bigint) as vsize, count(*) / any_value(whole) as share, status from classified c join w on w.source_id = c.source_id where status in ('compatible', 'violating', 'indeterminate') group by c.source_id, status",
         "incomplete_violations": WITH_CLASSIFIED + f"select source_id, count(*) as n, cast(sum(vsize) as bigint) as vsize {KNOWN} and status = 'violating' and unknown_mask > 0 group by all",
-        "nine_panels": " union all ".join(f"select * from ({panel})" for panel in [
-            bars.format(cells="least(count(*), 8)", panel="composition"), bars.format(cells="least(count(*), 7)", panel="panel_groups"), of_panel(ancestor, "ancestor_fee_spectrum"),
-            *(of_panel(sql[n], n) for n in ("entanglement", "fee_spectrum", "joint_density", "age_mosaic", "data_spectrum", "complexity_density", "value_spectrum")),
-        ]),
+        "nine_panels": " union all ".join(f"select * from ({panel})" for panel in panels),
+        "nine_panels_of_a_scope": " union all ".join(f"select 'left' as source_id, cells, weight, panel from ({of_scope(panel)})" for panel in panels),
         "scopes": O.SIDES + ", s as (select * from (values ('all'), ('common'), ('left_only'), ('right_only')) n(scope), (values ('left'), ('right')) d(side)) select scope, s.side, count(k.txid) as n from s left join keyed k on k.side = s.side and (scope = 'all' or scope = region) group by all",
         "results_by_lens": f"select p.source_id, p.state as transaction_properties, s.state as transaction_shape, 'complete' as data_protocols, v.knots_bip110, v.status, true as none, count(*) as n, cast(sum(output_count) as bigint) as outputs from ({sql['properties_labels']}) p join ({sql['shape_labels']}) s on s.source_id = p.source_id and s.txid = p.txid join ({verdict}) v on v.source_id = p.source_id and v.txid = p.txid join ({sql['structure_facts']}) f on f.source_id = p.source_id and f.txid = p.txid group by all",
         "revision_fold": "with d as (select 'node-' || (event_id % 4) as source_id, event_id // 4 as revision, case when event_id % 1009 = 1000 then 0 else event_id % 7 + 1 end as n_changed from events), z as (select source_id, min(revision) filter (n_changed = 0 and revision > 0) as stop, max(revision) as last from d group by all) select source_id, 3 as generation, coalesce(stop - 1, last) as revision, coalesce(stop - 1, last) as applied, count(*) filter (revision = 0 or revision = stop) as ignored, case when last > stop then 'gap: ' || last || ' after ' || (stop - 1) end as error, cast(sum(n_changed) filter (revision between 1 and coalesce(stop - 1, last)) as bigint) as changed from d join z using (source_id) group by source_id, stop, last",

@@ -12,7 +12,7 @@ from ..storage import written
 
 def write_entries(entries: DataFrame, path: str) -> None:
     """Entries by source and generation, in txid order within files, so that a txid or prefix prunes row groups."""
-    entries.repartition("source_id", F.substring("txid", 1, 1)).sortWithinPartitions("source_id", "txid").write.mode("append").partitionBy("source_id", "generation").parquet(path)
+    entries.repartition("source_id", "generation", F.substring("txid", 1, 1)).sortWithinPartitions("source_id", "txid").write.mode("append").partitionBy("source_id", "generation").parquet(path)
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:

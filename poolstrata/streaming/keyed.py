@@ -2,7 +2,8 @@
 
 Both are ``transformWithState`` processors over the RocksDB store, so state lives on the executors' disks and in the checkpoint, and a
 micro-batch touches only the keys that it has rows of. Rows carry ``seq``, the order of arrival within a source; a key's
-rows of one micro-batch are taken in that order, so where micro-batches begin and end changes nothing.
+rows of one micro-batch are taken in that order, so where micro-batches begin and end changes nothing. These rows are held while they
+are put in order: a few for a transaction; for a source its polls, deltas and lifecycle changes, whose number the trigger's file limit bounds.
 """
 
 from __future__ import annotations

@@ -7,9 +7,10 @@ as the sources keep current state and no history.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -69,8 +70,27 @@ def fold_polls(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -
     yield pd.DataFrame([[key[0], generation, observed, n, error, _status_of(observed is not None, error), dropped, revision]], columns=[c.split(" ")[0] for c in STATUS.split(", ")]).astype({"observed_at_ms": "Int64", "n_entries": "Int64", "last_error": "object"})
 
 
+def poll_checks() -> dict[str, Column]:
+    """What a poll must have: a source, and a good one a generation, a time and a count that are no less than 0."""
+    there = lambda name: ~F.coalesce(F.col("ok"), F.lit(False)) | (F.coalesce(F.col(name), F.lit(-1)) >= 0)
+    return {"source": F.col("source_id").isNotNull(), "outcome": F.col("ok").isNotNull(), "generation": there("generation"), "observed_at": there("observed_at_ms"), "entries": there("n_entries")}
+
+
+def valid_polls(polls: DataFrame) -> DataFrame:
+    """Polls that may be folded (of batches and of streams)."""
+    return polls.where(reduce(Column.__and__, poll_checks().values()))
+
+
+def rejected_polls(polls: DataFrame) -> DataFrame:
+    """The other polls, with the reasons."""
+    return polls.withColumn("reasons", F.array_compact(F.array(*(F.when(~ok, F.lit(name)) for name, ok in poll_checks().items())))).where(F.size("reasons") > 0)
+
+
 def source_status(polls: DataFrame) -> DataFrame:
-    """Status rows of a stream (or batch) of polls, by the guards above."""
+    """Status rows of a stream of polls, by the guards above, or of a table of polls (``status_of_polls``). Polls that aren't valid take no part."""
+    polls = valid_polls(polls)
+    if not polls.isStreaming:
+        return status_of_polls(polls)
     return polls.groupBy("source_id").applyInPandasWithState(fold_polls, STATUS, STATUS_STATE, "update", GroupStateTimeout.NoTimeout)
 
 

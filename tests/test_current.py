@@ -5,7 +5,7 @@ from builders import P2TR, P2WPKH, push, tx
 from pyspark.sql import functions as F
 
 from poolstrata.operators import deployments, slices
-from poolstrata.streaming import keyed
+from poolstrata.streaming import keyed, state
 from poolstrata.streaming.run import land, run_results, run_revisions
 
 T0 = 1_700_000_000_000
@@ -78,6 +78,18 @@ def test_one_revision_for_every_kind(spark):
     ]
 
 
+def test_polls_that_cant_be_folded(spark, tmp_path):
+    rows = [("a", 1, True, 10, 5, None), ("a", 2, True, None, 5, None), ("a", 3, True, 30, None, None), ("a", None, True, 40, 5, None), (None, 5, True, 50, 5, None), ("a", 6, None, 60, 5, None), ("a", 7, True, -1, 5, None), ("b", None, False, None, None, "down")]
+    polls = spark.createDataFrame(rows, state.POLL)
+    assert sorted(r.reasons for r in state.rejected_polls(polls).collect()) == [["entries"], ["generation"], ["observed_at"], ["observed_at"], ["outcome"], ["source"]]
+    folder = land([polls.coalesce(1)], "polls")
+    seen = []
+    stream = state.source_status(spark.readStream.schema(state.POLL).parquet(folder))
+    stream.writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    plain = lambda rows: sorted((r.source_id, r.generation, r.observed_at_ms, r.n_entries, r.last_error, r.availability, r.response_revision) for r in rows)
+    assert plain(seen) == plain(state.source_status(polls).collect()) == [("a", 1, 10, 5, None, "ready", 1), ("b", -1, None, None, "down", "error", 1)]
+
+
 # ---- retry waves -----------------------------------------------------------------------------------------------------
 
 
