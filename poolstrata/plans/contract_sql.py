@@ -22,13 +22,13 @@ def of_panel(sql: str, panel: str, weight: str = "weight") -> str:
 
 
 def of_scope(sql: str) -> str:
-    """A panel's SQL over what two sources have in common, the first one's rows, weighed by vsize."""
+    """A panel's SQL over what two sources have in common, the first one's rows, weighed by vsize, with four groups and the rest."""
     entry = WITH_ENTRY.rstrip()
     scope = entry.replace("with entry as", "with whole as", 1) + ", entry as (select * from whole where source_id = 'node-a' and txid in (select txid from whole where source_id = 'node-b'))"
     weighed = sql.replace("count(*) as weight", "cast(sum(vsize) as bigint) as weight").replace("count(*) as n from", "sum(vsize) as n from").replace("1 as w from", "vsize as w from")
     for column in ('as "row"', "as band"):
         weighed = weighed.replace(f"{column} from classified", f"{column}, vsize from classified").replace(f"{column} from entry", f"{column}, vsize from entry")
-    return weighed.replace("end from entry), g", "end, vsize from entry), g").replace(entry, scope)
+    return weighed.replace("least(count(*), 7)", "least(count(*), 5)").replace("end from entry), g", "end, vsize from entry), g").replace(entry, scope)
 
 
 def queries(sql: dict[str, str]) -> dict[str, str]:
