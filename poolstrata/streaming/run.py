@@ -12,26 +12,40 @@ from .state import revisions, source_status
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
-def status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source status from the events table read as a stream: each batch's rows are appended to a shared table, of which the row
-    of the highest response revision counts. A batch that is written again replaces itself."""
-    events = spark.readStream.schema(EVENTS).format("parquet").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 4).load(events_path(spark, sf_dir))
-    polls = events.select(
-        F.concat(F.lit("node-"), (F.col("user_id") % 4).cast("string")).alias("source_id"), F.expr("event_id div 7").alias("generation"), (F.col("event_type") != "error").alias("ok"),
-        (F.lit(1704067200000) + F.col("event_id") * 1000).alias("observed_at_ms"), (F.col("event_id") % 5000).alias("n_entries"), F.when(F.col("event_type") == "error", F.concat(F.lit("failure "), F.expr("event_id div 7").cast("string"))).alias("error"),
-    )
-    out = shared_folder(spark, "status")
+def status_stream(spark: SparkSession, sf_dir: str, most: int = 1 << 21) -> DataFrame:
+    """Source status from the events table as a stream: each batch's rows are appended to a shared table, of which the row
+    of the highest response revision counts. A batch that is written again replaces itself.
+
+    A poll's place in the stream is its event's number, whichever file it lies in. So runs of ``most`` events land one after the other, and the
+    stream takes up what has landed, as one micro-batch, before the next does: its parts are ordered by their times, and state carries on."""
+    landed, checkpoint, out = shared_folder(spark, "events"), shared_folder(spark, "status-checkpoint"), shared_folder(spark, "status")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    run = source_status(polls).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", shared_folder(spark, "status-checkpoint")).trigger(availableNow=True).start()
-    run.awaitTermination()
+    for part in in_order(spark.read.parquet(f"{sf_dir}/events.parquet"), most):
+        part.write.mode("append").parquet(landed)
+        events = spark.readStream.schema(EVENTS).parquet(landed)
+        polls = events.select(
+            F.concat(F.lit("node-"), (F.col("user_id") % 4).cast("string")).alias("source_id"), F.expr("event_id div 7").alias("generation"), (F.col("event_type") != "error").alias("ok"),
+            (F.lit(1704067200000) + F.col("event_id") * 1000).alias("observed_at_ms"), (F.col("event_id") % 5000).alias("n_entries"), F.when(F.col("event_type") == "error", F.concat(F.lit("failure "), F.expr("event_id div 7").cast("string"))).alias("error"),
+        )
+        source_status(polls).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(out).drop("batch")
     newest = rows.groupBy("source_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "source_id"]), "response_revision").alias("r")).select("source_id", "r.*")
     return newest.select("source_id", "generation", "last_error", "availability", "dropped", "response_revision")
 
 
+def in_order(events: DataFrame, most: int) -> list[DataFrame]:
+    """The events in runs of about ``most``, by their numbers; those without one come last."""
+    n, low, high = events.agg(F.count("*"), F.coalesce(F.min("event_id"), F.lit(0)), F.coalesce(F.max("event_id"), F.lit(0))).first()
+    parts = max(1, -(-n // most))
+    width = -(-(high - low + 1) // parts)
+    number = F.col("event_id")
+    tests = [(number >= low + k * width) & (number < low + (k + 1) * width) for k in range(parts)]
+    return [events.where(test | number.isNull() if k == parts - 1 else test) for k, test in enumerate(tests)]
+
+
 def revision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revisions from deltas of the events table read as a stream: of each source the row that its last batch gave."""
     events = spark.readStream.schema(EVENTS).format("parquet").option("pathGlobFilter", "*.parquet").load(events_path(spark, sf_dir))

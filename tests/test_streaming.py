@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from poolstrata.streaming import state
@@ -71,3 +72,15 @@ def test_lifecycle_and_retry(spark):
     facts = spark.createDataFrame([("ready", 0), ("explicitly_missing", 1), ("pending", 2)], "fact_state string, attempts int")
     assert [(r.fact_state, r.attempts) for r in state.retry_set(facts).collect()] == [("explicitly_missing", 2)]
     assert state.changed_since(spark.createDataFrame([("a", 3), ("b", 5)], "source_id string, response_revision bigint"), 4).select(F.col("source_id")).first()[0] == "b"
+
+
+@pytest.mark.parametrize("few", [(), (300,)])
+def test_polls_follow_their_events_whatever_file_holds_them(spark, tmp_path, few):
+    from poolstrata.plans.queries import polls
+    from poolstrata.streaming.run import status_stream
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for k in range(9, -1, -1):  # the newest come first
+        events.where(f"event_id div 100 = {k}").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/events.parquet")
+    want = state.status_of_polls(polls(spark, "/root/testdata/sf0.001")).select("source_id", "generation", "last_error", "availability", "dropped", "response_revision")
+    assert sorted(status_stream(spark, f"file://{tmp_path}", *few).collect()) == sorted(want.collect())
