@@ -214,8 +214,8 @@ def has_label(label: str, labels: str = "labels") -> Column:
     return F.coalesce(F.array_contains(labels, label), F.lit(False))
 
 
-def agreed_scripts(observations: DataFrame) -> DataFrame:
+def agreed_scripts(observations: DataFrame, owner: str | None = None) -> DataFrame:
     """(prev_txid, prev_vout, script) for outpoints all of whose observed scripts are equal; contested ones are trusted in
-    neither form."""
-    g = observations.where(F.col("script").isNotNull()).groupBy("prev_txid", "prev_vout")
+    neither form. owner: a column that prev_txid determines; rows that are dealt by it already are compared where they are, and it stays."""
+    g = observations.where(F.col("script").isNotNull()).groupBy(*([owner] if owner else []), "prev_txid", "prev_vout")
     return g.agg(F.min("script").alias("script"), F.max("script").alias("_other")).where(F.col("script") == F.col("_other")).drop("_other")
