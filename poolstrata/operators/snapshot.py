@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..catalog import STATUSES
 
 VARIANT = ["source_id", "txid", "wtxid"]
 
 
-def carry_forward(results: DataFrame, membership: DataFrame) -> DataFrame:
+def met(results: DataFrame, membership: DataFrame, owner: str | None) -> tuple[DataFrame, WindowSpec]:
+    """Rows of both, told apart by ``_member``, and the window of a variant. owner: a column of both that txid determines; rows
+    that are dealt by it already meet where they are, and a variant's text doesn't move."""
+    own = [owner] if owner else []
+    rows = results.withColumn("_member", F.lit(False)).unionByName(membership.select(*own, *VARIANT, F.lit(True).alias("_member")), allowMissingColumns=True)
+    return rows, Window.partitionBy(*own, *VARIANT)
+
+
+def is_known() -> Column:
+    """Whether a variant has all of its ids; one without is no other's equal."""
+    return reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in VARIANT))
+
+
+def carry_forward(results: DataFrame, membership: DataFrame, owner: str | None = None) -> DataFrame:
     """Results whose exact witness variant survives in the new membership."""
-    return results.join(membership.select(*VARIANT), VARIANT, "left_semi")
+    rows, variant = met(results, membership, owner)
+    return rows.withColumn("_kept", F.max("_member").over(variant) & is_known()).where("_kept and not _member").select(*results.columns)
 
 
 def materialise(membership: DataFrame, results: DataFrame) -> DataFrame:
@@ -21,11 +37,12 @@ def materialise(membership: DataFrame, results: DataFrame) -> DataFrame:
     return membership.join(results, VARIANT, "left")
 
 
-def work_set(membership: DataFrame, results: DataFrame) -> DataFrame:
+def work_set(membership: DataFrame, results: DataFrame, owner: str | None = None) -> DataFrame:
     """Entries to classify: fresh ones (priority 0), then those whose result may be retried (1)."""
-    fresh = membership.select(*VARIANT).join(results, VARIANT, "left_anti").withColumn("priority", F.lit(0))
-    again = membership.select(*VARIANT).join(results.where("retryable and attempts < 2"), VARIANT, "left_semi").withColumn("priority", F.lit(1))
-    return fresh.unionByName(again)
+    rows, variant = met(results.select(*([owner] if owner else []), *VARIANT, "retryable", "attempts"), membership, owner)
+    again = F.coalesce(F.max(F.expr("not _member and retryable and attempts < 2")).over(variant), F.lit(False))
+    asked = rows.withColumns({"_held": F.max(~F.col("_member")).over(variant) & is_known(), "_again": again & is_known()}).where("_member and (not _held or _again)")
+    return asked.select(*VARIANT, F.when(F.col("_held"), 1).otherwise(0).alias("priority"))
 
 
 def totals(entries: DataFrame) -> DataFrame:
