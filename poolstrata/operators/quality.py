@@ -95,17 +95,20 @@ def result_reasons(results: DataFrame, catalog: DataFrame) -> DataFrame:
     return joined.withColumn("reasons", reasons(checks)).where(F.size("reasons") > 0).select(*results.columns, "reasons")
 
 
-def rule_detail_reasons(details: DataFrame, assessments: DataFrame) -> DataFrame:
-    """Transactions whose seven rule rows don't agree with themselves or with the published assessment."""
-    keys = ["source_id", "txid"]
+def rule_detail_reasons(details: DataFrame, assessments: DataFrame, owner: str | None = None) -> DataFrame:
+    """Transactions whose seven rule rows don't agree with themselves or with the published assessment. owner: a column of both that txid
+    determines; rows that are dealt by it already meet where they are."""
+    keys, own = ["source_id", "txid"], [owner] if owner else []
     order = F.array(*map(F.lit, RULES))
-    folded = details.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("number", "rule", "verdict", "evidence_count", "missing_count"))).alias("rows"),
-    )
+    rows = details.select(*own, *keys, F.struct("number", "rule", "verdict", "evidence_count", "missing_count").alias("_row"))
+    told = assessments.select(*own, *keys, F.struct("bip110").alias("_told"))
+    # rows without an id are no other's equals
+    side = lambda n: F.when(F.col("source_id").isNull() | F.col("txid").isNull(), n).alias("_side")
+    met = rows.select("*", side(1)).unionByName(told.select("*", side(2)), allowMissingColumns=True).groupBy(*own, *keys, "_side").agg(F.array_sort(F.collect_list("_row")).alias("_rows"), F.collect_list("_told").alias("_all_told"))
+    joined = met.select(*keys, F.when(F.size("_rows") > 0, F.col("_rows")).alias("rows"), F.explode_outer("_all_told").alias("_told")).select(*keys, "rows", "_told.bip110")
     violated = F.transform(F.filter("rows", lambda r: r["verdict"] == "violate"), lambda r: r["rule"])
     unknown = F.transform(F.filter("rows", lambda r: r["missing_count"] > 0), lambda r: r["rule"])
     status = F.when(F.size(violated) > 0, "violating").when(F.size(unknown) > 0, "indeterminate").otherwise("compatible")
-    joined = folded.join(assessments.select(*keys, "bip110"), keys, "full_outer")
     checks = {
         "seven_rules": F.col("rows")["rule"] == order,
         "verdict_has_evidence": F.forall("rows", lambda r: (r["verdict"] == "violate") == (r["evidence_count"] > 0)),

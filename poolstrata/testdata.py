@@ -121,12 +121,12 @@ def families_of(residue: str):
     return F.element_at(F.array(*map(F.lit, RESIDUE_FAMILIES)), (F.col(residue) + 1).cast("int"))
 
 
-def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+def classified(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """Entries with results: status, rule lists, properties lens (state, labels), structure; NULL where unclassified."""
     from .catalog import FAMILIES
     from .functions.columns import rules_of_mask
 
-    rows = entries(spark, sf_dir).select("*", *(F.expr(e).alias(n) for n, e in RESULT_COLUMNS.items()))
+    rows = entries(spark, sf_dir, dealt).select("*", *(F.expr(e).alias(n) for n, e in RESULT_COLUMNS.items()))
     both = F.array(families_of("family_a"), families_of("family_b"))
     labels = F.filter(F.array(*map(F.lit, FAMILIES)), lambda x: F.array_contains(both, x))
     structure = F.struct(*(F.col(n).cast("bigint").alias(n) for n in ("input_count", "output_count", "op_return_bytes", "output_sats")), F.lit(0).cast("bigint").alias("witness_bytes"))
