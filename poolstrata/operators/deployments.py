@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import RULES
-from .lenses import KEYS, rule_details
+from .lenses import keys_of, rule_details
 
 #: Fixed value: blocks for which the rules stay active, from the activation height (inclusive) to the expiry height (exclusive).
 ACTIVE_BLOCKS = 52_416
@@ -33,11 +33,12 @@ def consensus_details(transactions: DataFrame, outputs: DataFrame, inputs: DataF
     transactions carry branch and spend_height (of the next block, or of the block), inputs creation_height. Only the transactions within a
     window are checked.
     """
+    keys = keys_of(transactions)
     placed = with_window(transactions, deployments, blocks)
     active = placed.where("activation_height is not null")
-    checked = rule_details(active, outputs.join(active.select(*KEYS), KEYS, "left_semi"), inputs.join(active.select(*KEYS, "activation_height"), KEYS), F.col("activation_height"))
+    checked = rule_details(active, outputs.join(active.select(*keys), keys, "left_semi"), inputs.join(active.select(*keys, "activation_height"), keys), F.col("activation_height"))
     names = F.array(*map(F.lit, RULES))
-    idle = placed.where("activation_height is null").select(*KEYS, F.explode(F.sequence(F.lit(1), F.lit(len(RULES)))).alias("number")).withColumn("rule", F.element_at(names, F.col("number")))
+    idle = placed.where("activation_height is null").select(*keys, F.explode(F.sequence(F.lit(1), F.lit(len(RULES)))).alias("number")).withColumn("rule", F.element_at(names, F.col("number")))
     blank = {"verdict": F.lit("pass"), "evidence_count": F.lit(0).cast("bigint"), "missing_count": F.lit(0).cast("bigint")}
     passed = idle.select(*(F.col(f.name) if f.name in idle.columns else blank.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in checked.schema))
     return checked.withColumn("rules_applied", F.lit(True)).unionByName(passed.withColumn("rules_applied", F.lit(False)))
