@@ -44,7 +44,8 @@ class CurrentResults(StatefulProcessor):
     it goes; an older or equal generation is dropped. A ``result`` row counts if it is of the held generation and variant and of
     a newer revision; reports of a replaced generation or of another variant are dropped. A transaction that no generation has refreshed for
     ``keep_ms`` of arrival time has departed: its state goes when the watermark has passed that, and rows that
-    arrive later find none, whether the timer has fired by then or not.
+    arrive later find none, whether the timer has fired by then or not. What is held always has a timer at its due time or before: one that
+    fires too early is set anew, so that a refresh costs no timer.
     """
 
     def __init__(self, keep_ms: int):
@@ -55,21 +56,18 @@ class CurrentResults(StatefulProcessor):
         self.variant = handle.getValueState("variant", VARIANT_STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.variant.get() if self.variant.exists() else None
-        armed, before = (held[5] if held else None), held
+        before = held = self.variant.get()
         for row in sorted(rows, key=lambda r: r.seq):  # of one transaction: a few for each generation
             if held and row.at_ms >= held[5]:
                 held = None
             held = self.member(held, row) if row.kind == "member" else self.result(held, row)
         if held == before:
             return
-        if armed is not None and (held is None or held[5] != armed):
-            self.handle.deleteTimer(armed)
         if held is None:
             self.variant.clear()
             yield self.gone(key, before)
             return
-        if held[5] != armed:
+        if before is None:
             self.handle.registerTimer(held[5])
         self.variant.update(held)
         yield Row(source_id=key[0], txid=key[1], seq=held[0], generation=held[1], wtxid=held[2], revision=held[3], label=held[4], present=True)
@@ -86,10 +84,14 @@ class CurrentResults(StatefulProcessor):
         return row.seq, held[1], held[2], row.revision, row.label, held[5]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held = self.variant.get() if self.variant.exists() else None
-        if held and held[5] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.variant.clear()
-            yield self.gone(key, held)
+        held = self.variant.get()
+        if held is None:
+            return
+        if held[5] > max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()):
+            self.handle.registerTimer(held[5])
+            return
+        self.variant.clear()
+        yield self.gone(key, held)
 
     def gone(self, key, held: tuple) -> Row:
         return Row(source_id=key[0], txid=key[1], seq=held[0], generation=held[1], wtxid=held[2], revision=held[3], label=None, present=False)
