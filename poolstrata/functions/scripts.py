@@ -3,6 +3,7 @@ only Python, as Arrow functions on columns of scripts."""
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -111,9 +112,47 @@ def arc4(key: bytes, data: bytes) -> bytes:
     return bytes(out)
 
 
+#: How many states (of 256 bytes) are worked on at a time.
+ARC4_ROWS = 2048
+
+
+def arc4_each(keys: list[bytes], texts: list[bytes]) -> list[bytes]:
+    """arc4 of many rows at once: each step of the schedule and each byte of the texts is one operation over all of them."""
+    order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))  # the longest first: the rows that go on are the first ones
+    out: list[bytes] = [b""] * len(texts)
+    for start in range(0, len(order), ARC4_ROWS):
+        chosen = order[start : start + ARC4_ROWS]
+        rows, sizes = np.arange(len(chosen)), np.array([len(texts[k]) for k in chosen])
+        key = np.frombuffer(b"".join((keys[k] * (255 // len(keys[k]) + 1))[:256] for k in chosen), np.uint8).reshape(-1, 256).T
+        state, j = np.repeat(np.arange(256, dtype=np.uint8)[:, None], len(chosen), axis=1), np.zeros(len(chosen), np.uint8)
+        for i in range(256):
+            here = state[i].copy()
+            j = j + here + key[i]
+            state[i] = state[j, rows]
+            state[j, rows] = here
+        stream, j = np.zeros((int(sizes[0]), len(chosen)), np.uint8), np.zeros(len(chosen), np.uint8)
+        for n in range(int(sizes[0])):
+            live = rows[: np.searchsorted(-sizes, -n)]  # those longer than n
+            i, m = (n + 1) & 255, len(live)
+            here = state[i, :m].copy()
+            j = j[:m] + here
+            there = state[j, live]
+            state[i, :m] = there
+            state[j, live] = here
+            stream[n, :m] = state[here + there, live]
+        for column, k in zip(np.ascontiguousarray(stream.T), chosen, strict=True):
+            out[k] = (np.frombuffer(texts[k], np.uint8) ^ column[: len(texts[k])]).tobytes()
+    return out
+
+
 @F.arrow_udf(T.BinaryType())
 def arc4_apply(keys: pa.Array, payloads: pa.Array) -> pa.Array:
-    return pa.array([None if k is None or not k or d is None else arc4(k, d) for k, d in zip(keys.to_pylist(), payloads.to_pylist())], pa.binary())
+    rows = list(zip(keys.to_pylist(), payloads.to_pylist(), strict=True))
+    asked = [k for k, (key, text) in enumerate(rows) if key and text is not None]
+    out: list[bytes | None] = [None] * len(rows)
+    for k, text in zip(asked, arc4_each([rows[k][0] for k in asked], [rows[k][1] for k in asked]), strict=True):
+        out[k] = text
+    return pa.array(out, pa.binary())
 
 
 def pushes_over(decoded: Column, limit: int) -> Column:

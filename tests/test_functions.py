@@ -54,6 +54,13 @@ def test_families(spark):
         assert r.native == r.want == r.decoded, r.h
 
 
+def test_arc4_of_many_rows():
+    keys = [bytes(range(n, n + n % 40 + 1)) for n in range(150)] + [bytes(300 * [7])]
+    texts = [bytes(n * n % 97) for n in range(150)] + [b"x" * 700]
+    assert S.arc4_each(keys, texts) == [S.arc4(k, t) for k, t in zip(keys, texts, strict=True)]
+    assert S.arc4_each([], []) == []
+
+
 def test_known_arc4():
     assert S.arc4(b"Key", b"Plaintext").hex().upper() == "BBF316E8D940AF0AD3"
 
