@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import RULES
-from .lenses import keys_of, rule_details
+from .lenses import keys_of, rule_details, told_by
 
 #: Fixed value: blocks for which the rules stay active, from the activation height (inclusive) to the expiry height (exclusive).
 ACTIVE_BLOCKS = 52_416
@@ -22,7 +22,7 @@ def with_window(transactions: DataFrame, deployments: DataFrame, blocks: int = A
     """transactions (with branch and spend_height) and activation_height. deployments: branch, activation_height, a row for each time
     that the rules were activated there. A branch without any, or with a NULL height only, has no window."""
     heights = deployments.groupBy("branch").agg(F.collect_set("activation_height").alias("_heights"))  # a branch has few
-    joined = transactions.join(heights, "branch", "left")
+    joined = transactions.join(F.broadcast(heights), "branch", "left")  # a row for each branch: transactions stay where they are
     return joined.withColumn("activation_height", active_from("_heights", "spend_height", blocks)).drop("_heights")
 
 
@@ -33,10 +33,10 @@ def consensus_details(transactions: DataFrame, outputs: DataFrame, inputs: DataF
     transactions carry branch and spend_height (of the next block, or of the block), inputs creation_height. Only the transactions within a
     window are checked.
     """
-    keys = keys_of(transactions)
+    keys, by = keys_of(transactions), told_by(transactions)
     placed = with_window(transactions, deployments, blocks)
     active = placed.where("activation_height is not null")
-    checked = rule_details(active, outputs.join(active.select(*keys), keys, "left_semi"), inputs.join(active.select(*keys, "activation_height"), keys), F.col("activation_height"))
+    checked = rule_details(active, outputs, inputs.join(active.select(*by, "activation_height"), by), F.col("activation_height"))
     names = F.array(*map(F.lit, RULES))
     idle = placed.where("activation_height is null").select(*keys, F.explode(F.sequence(F.lit(1), F.lit(len(RULES)))).alias("number")).withColumn("rule", F.element_at(names, F.col("number")))
     blank = {"verdict": F.lit("pass"), "evidence_count": F.lit(0).cast("bigint"), "missing_count": F.lit(0).cast("bigint")}
