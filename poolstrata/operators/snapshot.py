@@ -32,9 +32,10 @@ def carry_forward(results: DataFrame, membership: DataFrame, owner: str | None =
     return rows.withColumn("_kept", F.max("_member").over(variant) & is_known()).where("_kept and not _member").select(*results.columns)
 
 
-def materialise(membership: DataFrame, results: DataFrame) -> DataFrame:
-    """Membership with the results of the exact variant, NULL where there are none."""
-    return membership.join(results, VARIANT, "left")
+def materialise(membership: DataFrame, results: DataFrame, owner: str | None = None) -> DataFrame:
+    """Membership with the results of the exact variant, NULL where there are none. owner: a column of both that determines a source's variant, by which
+    they meet where they lie; results carry no other ids then."""
+    return membership.join(results, [owner, "source_id"] if owner else VARIANT, "left")
 
 
 def work_set(membership: DataFrame, results: DataFrame, owner: str | None = None) -> DataFrame:

@@ -8,8 +8,8 @@ from .. import testdata as D
 from ..functions import scripts as S
 from ..operators import lenses, resolve, snapshot
 from ..sources import published, transactions
-from ..storage import shared_folder, written
-from .chain import frames, raw_transactions
+from ..storage import OWNER, matched, shared_folder, written
+from .chain import frames, in_bytes, raw_transactions
 
 QUERIES = {}
 
@@ -23,22 +23,27 @@ def query(f):
 def end_to_end(spark, sf_dir):
     """Raw bytes decoded, their facts resolved, terminal transactions classified, the snapshot published and
     read back, and its statuses counted. Decoded ids are those of the bytes, so parents are confirmed coins here."""
-    raw = written(raw_transactions(spark, sf_dir), "raw")
-    good, _ = transactions.decode_transactions(raw.select("txid", "wtxid", "raw"))
-    decoded = written(good.join(raw.select("k", "wtxid"), "wtxid"), "decoded")
+    raw = raw_transactions(spark, sf_dir).withColumnRenamed("k", OWNER)
+    told = transactions.with_coinbase(transactions.decoded(raw, [OWNER])).withColumn("replaceable", S.explicit_rbf("inputs"))
+    decoded = written(told.select(OWNER, F.col("asked_txid").alias("txid"), F.col("asked_wtxid").alias("wtxid"), F.col("reason").isNull().alias("good"), "version", "is_coinbase", "replaceable", "inputs", "outputs"), "decoded")
+    good, ids = decoded.where("good"), decoded.select(OWNER, "txid", "wtxid")
     facts = [c for c in D.entry_columns(D.SPARK) if c not in ("txid", "wtxid", "replaceable")]
-    entries = D.entries(spark, sf_dir).select("source_id", "generation", "k", *facts).join(raw.select("k", "txid", "wtxid"), "k")
-    candidates = entries.select("source_id", "k").join(transactions.with_coinbase(decoded).withColumn("replaceable", S.explicit_rbf("inputs")), "k")
-    outputs = written(transactions.exploded_outputs(candidates, lenses.KEYS), "outputs")
-    asked = transactions.exploded_inputs(candidates, lenses.KEYS)
-    answers = D.tx_inputs(spark, sf_dir).groupBy("prev_txid", "prev_vout").agg(F.min("utxo_outcome").alias("outcome"), F.min("utxo_script_hex").alias("hex"))
-    confirmed = answers.select("prev_txid", "prev_vout", "outcome", F.when(F.col("outcome") == "found", F.unhex("hex")).alias("script"))
-    inputs = written(resolve.resolve_inputs(asked, entries, transactions.exploded_outputs(decoded, ["txid"]).select("txid", "vout", "script"), confirmed), "inputs")
-    terminal = written(candidates.join(resolve.terminal_candidates(inputs), ["source_id", "txid"], "left_semi").select(*lenses.KEYS, "version", "is_coinbase", "replaceable"), "terminal")
-    own = lambda rows: rows.join(terminal.select(*lenses.KEYS), lenses.KEYS, "left_semi")
-    results = lenses.classify(terminal.drop("replaceable"), own(outputs), own(inputs)).join(terminal.select(*lenses.KEYS, "replaceable"), lenses.KEYS)
+    entries = matched(D.entries_of(decoded.select(F.col(OWNER).alias("k"))).select(F.col("k").alias(OWNER), "source_id", "generation", *facts).join(ids, OWNER))
+    outputs, spent = transactions.exploded_outputs(good, [OWNER]), transactions.exploded_inputs(good, [OWNER])
+    answers = D.tx_inputs(spark, sf_dir).select(F.unhex("prev_txid").alias("prev_txid"), "prev_vout", "utxo_outcome", F.unhex("utxo_script_hex").alias("utxo")).repartition("prev_txid")
+    answers = answers.groupBy("prev_txid", "prev_vout").agg(F.min("utxo_outcome").alias("outcome"), F.min("utxo").alias("utxo"))
+    confirmed = answers.select("prev_txid", "prev_vout", "outcome", F.when(F.col("outcome") == "found", F.col("utxo")).alias("script"))
+    of_raw = in_bytes(transactions.exploded_outputs(good, ["txid"]).select("txid", "vout", "script"))
+    known = resolve.known_spends(spent.withColumn("prev_txid", F.unhex("prev_txid")), in_bytes(entries), of_raw, confirmed)
+    asked = written(lenses.input_matches(lenses.with_family(resolve.for_askers(known))), "inputs")
+    candidates = entries.select(OWNER, "source_id").join(good.select(OWNER, "version", "is_coinbase"), OWNER)
+    inputs = resolve.told_to(candidates.select(OWNER, "source_id").join(asked, OWNER))
+    by = [OWNER, "source_id"]
+    ready = written(candidates.join(resolve.terminal_candidates(inputs, by), by, "left_semi"), "terminal")
+    terminal = matched(ready.join(ids, OWNER))
+    results = lenses.classify(terminal, outputs, inputs, spent=spent).drop("txid", "wtxid").join(good.select(OWNER, "replaceable"), OWNER)
     folder = shared_folder(spark, "entries")
-    published.write_entries(snapshot.materialise(entries.drop("k"), results).withColumn("replaceable", F.coalesce("replaceable", F.lit(False))), folder)
+    published.write_entries(snapshot.materialise(entries, results, OWNER).drop(OWNER).withColumn("replaceable", F.coalesce("replaceable", F.lit(False))), folder)
     read = published.read_entries(spark, folder)
     labels = lenses.result_of("transaction_properties")["labels"]
     has = lambda label: F.count_if(F.coalesce(F.array_contains(labels, label), F.lit(False))).alias(label)
