@@ -1,4 +1,4 @@
-"""Keyed state of streams: one state row for each transaction of a source, and one revision for each source.
+"""Keyed state of streams: one state row for each transaction of a source, kept by the ids' prefixes, and one revision for each source.
 
 Both are ``transformWithState`` processors over the RocksDB store, so state lives on the executors' disks and in the checkpoint, and a
 micro-batch touches only the keys that it has rows of. Rows carry ``seq``, the order of arrival within a source; a key's
@@ -19,6 +19,7 @@ from .state import _status_of
 
 CHANGE = "source_id string, txid string, seq bigint, at_ms bigint, kind string, generation bigint, revision bigint, wtxid string, label string"
 RESULT = "source_id string, txid string, seq bigint, generation bigint, wtxid string, revision bigint, label string, present boolean"
+HELD_STATE = "txid string, seq bigint, generation bigint, wtxid string, revision bigint, label string, due_ms bigint"
 VARIANT_STATE = "seq bigint, generation bigint, wtxid string, revision bigint, label string, due_ms bigint"
 EVENT = "source_id string, seq bigint, kind string, generation bigint, revision bigint, n_changed bigint, lifecycle string, error string"
 RAISED = "source_id string, response_revision bigint, seq bigint, cause string, generation bigint, classification_revision bigint, lifecycle string, availability string, last_error string"
@@ -100,11 +101,63 @@ class CurrentResults(StatefulProcessor):
         pass
 
 
-def current_results(changes: DataFrame, keep_ms: int) -> DataFrame:
+class ResultsByPrefix(CurrentResults):
+    """``CurrentResults`` of the transactions of one source whose ids share a prefix: their states are read in one call and written in one, and a timer serves
+    them all. It stands at the earliest due time or before: as arrival never runs back, what is held anew is due after what is held already."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.variant = handle.getListState("variant", HELD_STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = self.all_held()
+        after, seen = dict(before), {}
+        for row in sorted(rows, key=lambda r: r.seq):
+            held = after.get(row.txid)
+            if held and row.at_ms >= held[5]:
+                held = None
+            after[row.txid] = self.member(held, row) if row.kind == "member" else self.result(held, row)
+            seen[row.txid] = None
+        changed = [txid for txid in seen if after[txid] != before.get(txid)]
+        if not changed:
+            return
+        self.keep({txid: held for txid, held in after.items() if held is not None}, not before)
+        for txid in changed:
+            held = after[txid]
+            if held is None:
+                yield self.gone((key[0], txid), before[txid])
+            else:
+                yield Row(source_id=key[0], txid=txid, seq=held[0], generation=held[1], wtxid=held[2], revision=held[3], label=held[4], present=True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held, now = self.all_held(), max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        due = [txid for txid, state in held.items() if state[5] <= now]
+        left = {txid: state for txid, state in held.items() if state[5] > now}
+        if due:
+            self.keep(left, True)
+        elif left:
+            self.handle.registerTimer(min(state[5] for state in left.values()))
+        for txid in due:
+            yield self.gone((key[0], txid), held[txid])
+
+    def all_held(self) -> dict[str, tuple]:
+        return {row[0]: tuple(row[1:]) for row in self.variant.get()}
+
+    def keep(self, held: dict[str, tuple], arm: bool) -> None:
+        if not held:
+            self.variant.clear()
+            return
+        self.variant.put([(txid, *state) for txid, state in held.items()])
+        if arm:
+            self.handle.registerTimer(min(state[5] for state in held.values()))
+
+
+def current_results(changes: DataFrame, keep_ms: int, prefix: int = 3) -> DataFrame:
     """A row for each transaction that a micro-batch changes, ``present`` false where it departs. changes: a stream of ``CHANGE`` rows,
-    whose ``at_ms``, the time of arrival, never runs back within the stream."""
-    stream = changes.withColumn("event_at", F.timestamp_millis("at_ms")).withWatermark("event_at", "0 seconds")
-    return stream.groupBy("source_id", "txid").transformWithState(CurrentResults(keep_ms), RESULT, "Update", "EventTime")
+    whose ``at_ms``, the time of arrival, never runs back within the stream. prefix: how many characters of an id tell which transactions' states are kept
+    together; a micro-batch writes those of the prefixes that it changes, and a checkpoint goes on with the number that it began with."""
+    stream = changes.withColumns({"event_at": F.timestamp_millis("at_ms"), "prefix": F.substring("txid", 1, prefix)}).withWatermark("event_at", "0 seconds")
+    return stream.groupBy("source_id", "prefix").transformWithState(ResultsByPrefix(keep_ms), RESULT, "Update", "EventTime")
 
 
 class Revisions(StatefulProcessor):

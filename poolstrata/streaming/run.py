@@ -86,10 +86,10 @@ def to_the_end(spark: SparkSession, out: DataFrame, mode: str, schema: str, name
     return spark.read.schema(f"{schema}, batch bigint").parquet(folder), checkpoint
 
 
-def run_results(spark: SparkSession, landed: str, keep_ms: int, files: int = 4) -> tuple[DataFrame, str]:
+def run_results(spark: SparkSession, landed: str, keep_ms: int, files: int = 4, prefix: int = 3) -> tuple[DataFrame, str]:
     """The current results after all changes in a folder: of each transaction that is present the row of its last change."""
     changes = spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", files).parquet(landed)
-    rows, checkpoint = to_the_end(spark, current_results(changes, keep_ms), "update", RESULT, "results")
+    rows, checkpoint = to_the_end(spark, current_results(changes, keep_ms, prefix), "update", RESULT, "results")
     payload = [c for c in rows.columns if c not in ("source_id", "txid", "batch")]
     newest = rows.groupBy("source_id", "txid").agg(F.max_by(F.struct(*payload), "batch").alias("r")).select("source_id", "txid", "r.*")
     return newest.where("present").drop("present"), checkpoint
