@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import written
+from ..storage import placed, written
 from .resolve import reconcile
 
 #: A raw transaction is asked for again once for each variant and generation; a fact has two attempts. The same number serves both.
@@ -46,15 +46,16 @@ def retry_waves(candidates: DataFrame, raw_answers: DataFrame, needs: DataFrame,
     each spends. raw_answers (source_id, wtxid, ask, outcome) and fact_answers (``FACT``, ask, outcome) say what the n-th lookup gives: found, null
     or retryable; one that isn't there failed. Attempts are counted in the state of variants and facts, which each wave writes to the shared
     folder, and are bounded, so there are at most ``3 * most`` waves whatever the number of candidates. A fact that several variants need is
-    asked once for all of them. status is classified, unavailable (no raw transaction) or deferred (a fact is out of attempts); a classified
+    asked once for all of them. What is needed and answered is written once and stays where it lies in every wave. status is classified, unavailable (no raw transaction) or deferred (a fact is out of attempts); a classified
     one with an explicitly missing fact is retryable in the next generation.
     """
     spark = candidates.sparkSession
+    needs, fact_answers = placed(needs.select(*VARIANT, *FACT[1:]), "needs", VARIANT), placed(fact_answers.select(*FACT, "ask", "outcome"), "fact_answers", FACT)
     variants = written(candidates.select(*VARIANT, F.col("priority").cast("int").alias("priority"), F.lit("open").alias("raw"), F.lit(0).cast("int").alias("raw_asks"), F.lit(0).cast("int").alias("wave")), "variants")
     facts = spark.createDataFrame([], f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in needs.select(*FACT).schema)}, fact string, fact_asks int")
     for wave in range(1, 3 * most + 1):
         variants = written(raw_wave(variants, raw_answers, wave, most), "variants")
-        found = variants.where("raw = 'found'").select(*VARIANT)
+        found = variants.where((F.col("raw") == "found") & (F.col("wave") == wave)).select(*VARIANT)  # what those found before need is among the facts
         facts = written(fact_wave(facts, needs.join(found, VARIANT, "left_semi").select(*FACT).distinct(), fact_answers, most), "facts")
         if variants.where("raw = 'open'").isEmpty() and facts.where("fact = 'awaiting'").isEmpty():
             break

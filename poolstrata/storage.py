@@ -39,6 +39,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return matched(spark.read.schema(df.schema).parquet(path))
 
 
+def placed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """df, written once and bucketed by keys: what is joined by them, or by them and more, stays where it lies."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", shared_folder(spark, name)).saveAsTable(table)
+    return matched(spark.table(table))
+
+
 def matched(df: DataFrame) -> DataFrame:
     """df, whose joins are sorted merges. The planner guesses sizes from the files' bytes and column types, and takes rows that were exploded or
     lengthened for a few megabytes to broadcast; these would all go through the driver. Where one side is small by its nature, the join says broadcast."""
